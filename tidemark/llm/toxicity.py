@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 FIT_ROWS = 20_000
-TERMS = 600
+TERMS = 200
 LEXICON_VOTERS = 6
 MIN_DOCS = 4
+#: A mined term must raise the log odds of toxic by so much.
+MIN_ODDS = 3.0
+PSEUDO_DOCS = 5.0
 EM_ROUNDS = 25
 #: Common English insults.
 INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb filth vermin imbecile".split())
@@ -150,12 +153,14 @@ def mine(labelled: DataFrame, keep: int = TERMS) -> tuple[dict[str, float], int,
     top = best.orderBy(size.desc(), "term").limit(keep + 1).collect()
     n_pos = sum(r.pos for r in top if r.term is None)
     n_neg = sum(r.neg for r in top if r.term is None)
-    odds = {
-        r.term: round(math.log((r.pos + 0.5) / (n_pos + 1)) - math.log((r.neg + 0.5) / (n_neg + 1)), 9)
-        for r in top
-        if r.term is not None
-    }
-    return {t: s for t, s in odds.items() if s > 1.5}, n_pos, n_neg
+    base = n_pos / max(1, n_pos + n_neg)
+    odds = {}
+    for r in top:
+        if r.term is not None and n_neg:
+            # precision, drawn towards the base rate, against the base rate
+            precision = (r.pos + PSEUDO_DOCS * base) / (r.pos + r.neg + PSEUDO_DOCS)
+            odds[r.term] = round(math.log(precision / (1 - precision)) - math.log(base / (1 - base)), 9)
+    return {t: s for t, s in odds.items() if s > MIN_ODDS}, n_pos, n_neg
 
 
 def patterns(docs: DataFrame, model: Model) -> list[tuple[tuple[int, ...], int]]:
@@ -217,7 +222,7 @@ def label_model(table: list[tuple[tuple[int, ...], int]], seeds: list[tuple[tupl
 
     # the label as a voter: how often it agrees with the posterior of the others
     p = 1 / (1 + np.exp(-np.clip(odds(seed_votes), -60, 60)))
-    agree = float(np.clip(np.mean(np.where(seed_y == 1, p, 1 - p)), 0.6, 0.995))
+    agree = float(np.clip(np.mean(np.where(seed_y == 1, p, 1 - p)), 0.6, 0.999))
     label_odds = math.log(agree / (1 - agree)) + 2.0
 
     def posterior(v, y=None):
