@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import activity, episodes, filtering, lifecycle, recall, social  # noqa: F401  they register their queries
+from tidemark.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
