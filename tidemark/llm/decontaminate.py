@@ -148,11 +148,11 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 ORACLE = """
 WITH doc_words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS w FROM documents
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents
 ),
 item_words AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS w FROM benchmark
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark
 ),
 item_windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
