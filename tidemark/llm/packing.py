@@ -31,6 +31,8 @@ from tidemark.llm.common import cut
 SEQUENCE = 2048
 GROUP = 16_384
 CACHED_WORDS = 700_000
+#: Texts whose unknown words are encoded together.
+BLOCK = 32
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _END = b"\0\0\0\0"
@@ -49,44 +51,54 @@ class Encoder:
     """Little-endian 32-bit ids of whole texts."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        from tokenizers.normalizers import Sequence as Nothing
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.words = Tokenizer.from_file(path)
-        self.words.normalizer = Nothing([])
+        # words come cut and in lower case, one space between them
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)]
+        )
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        learned: dict[str, bytes] = {}
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some):
+                data = ids.tobytes()
+                parts = [data[a:b] for a, b in zip([0, *stops], stops)]
+            else:  # not one end per word: no use of the joined text
+                parts = [np.array(e.ids, dtype="<u4").tobytes() for e in self.words.encode_batch(some, add_special_tokens=False)]
+            learned.update(zip(some, parts))
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        ids = np.array(self.words.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(words):  # not one end per word: no use of the joined text
-            parts = [np.array(e.ids, dtype="<u4").tobytes() for e in self.words.encode_batch(words, add_special_tokens=False)]
-        else:
-            data = ids.tobytes()
-            parts = [data[a:b] for a, b in zip([0, *stops], stops)]
-        self.known.update(zip(words, parts))
+        self.known.update(learned)
+        return learned
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            block = texts[at : at + 64]
-            cut_up = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.match(t) else None for t in block]
-            fresh = [w for w in set().union(*(c for c in cut_up if c)) if w not in self.known]
-            if fresh:
-                self._learn(fresh)
-                # clearing may have dropped words that this block needs
-                if lost := [w for w in set().union(*(c for c in cut_up if c)) if w not in self.known]:
-                    self._learn(lost)
-            for text, words in zip(block, cut_up):
-                if words is None:
-                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                else:
-                    yield b"".join(map(self.known.__getitem__, words))
+        for at in range(0, len(texts), BLOCK):
+            rows, fresh = [], set()
+            for text in texts[at : at + BLOCK]:
+                if "<|" in text or not _PLAIN.match(text):
+                    rows.append((None, [np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]))
+                    continue
+                words = _WORDS.findall(text.lower())
+                parts = list(map(self.known.get, words))
+                if not all(parts):
+                    fresh.update(w for w, p in zip(words, parts) if p is None)
+                rows.append((words, parts))
+            learned = self._learn(list(fresh)) if fresh else {}
+            for words, parts in rows:
+                if not all(parts):
+                    parts = [learned[w] if p is None else p for w, p in zip(words, parts)]
+                yield b"".join(parts)
 
 
 @lru_cache(maxsize=1)
