@@ -96,7 +96,7 @@ class Encoder:
                 rows.append((words, parts))
             learned = self._learn(list(fresh)) if fresh else {}
             for words, parts in rows:
-                if not all(parts):
+                if words is not None and not all(parts):
                     parts = [learned[w] if p is None else p for w, p in zip(words, parts)]
                 yield b"".join(parts)
 
