@@ -168,9 +168,18 @@ def test_quality_counts(table, request):
 
 
 def test_label_model_finds_the_good_rule():
-    good, bad = (1, 1, 1), (-1, -1, 1)
-    prior, ratios = quality.fit([(good, 90), (bad, 10), ((0, 1, 1), 20)])
-    assert prior > 0 and ratios[0][1] > 1 > 0 > ratios[0][-1] and abs(ratios[2][1]) < 0.5
+    """The second rule fires on good and bad alike and gets no weight; the first tells bad ones."""
+    prior, ratios = quality.fit([((0, 0, 1), 900), ((-1, 0, 0), 90), ((-1, -1, 0), 10), ((0, -1, 1), 100), ((0, 0, 0), 20)])
+    assert prior > 0 and ratios[0][-1] < -2 and -1 < ratios[1][-1] <= 0 < ratios[2][1] and ratios[0][0] == 0
+
+
+def test_quality_tells_junk_from_prose(spark):
+    rng = np.random.default_rng(2)
+    words = ["lorem", "ipsum", "dolor", "amet", "sit", "magna", "elit", "sed", "tempor", "labore", "minim", "veniam"]
+    prose = [" ".join(rng.choice(words, 60).tolist()) + ". More of it." for _ in range(80)]
+    junk = [" ".join(w + "%%%" for w in rng.choice(words, 60)) for _ in range(10)] + [" ".join(rng.choice(words, 60).tolist()).upper() + "!!" for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id long, text string")
+    assert [r.kept for r in quality.judge(df).orderBy("doc_id").collect()] == [True] * 80 + [False] * 20
 
 
 # 5 decontamination

@@ -1,8 +1,9 @@
 """Operator 4: quality by weak supervision, in DataFrame functions only.
 
-Rules look at counts of the text and vote good (1), bad (-1) or abstain (0). Their accuracies come from
-expectation-maximisation over the table of vote patterns, which is counted over all documents and has at most
-3**rules rows. The posterior probability of "good", not a demand that all rules pass, decides.
+Rules look at counts of the text and vote good (1), bad (-1) or abstain (0). Defect rules vote bad or abstain, two rules
+vote good on what reads like prose; an abstention is no evidence. How often each rule fires on good and on bad
+documents comes from expectation-maximisation over the table of vote patterns, which is counted over all documents
+and has at most 3**rules rows. The posterior probability of "good", not a demand that all rules pass, decides.
 
 Repeated windows are found inside the row: word hashes are doubled into hashes of 2, 4 and 8 words, and only the
 texts in which some 8-word hash occurs twice sort them. No row leaves its task.
@@ -22,9 +23,12 @@ from tidemark.llm.common import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-RULES = ("length", "word_length", "symbols", "lines", "repeats", "letters", "capitals")
+RULES = ("length", "word_length", "symbols", "lines", "repeats", "letters", "capitals", "prose", "sentences")
 EM_ROUNDS = 50
 PRIOR_GOOD = 0.8
+#: No vote weighs more than this many nats, so no rule decides whatever the others say.
+MOST = 6.0
+ANCHOR = 0.5
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -43,6 +47,7 @@ def counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length(letters).cast("long").alias("n_letters"),
         F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit(r"[.?!…。]")).cast("long").alias("n_stops"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     # zip_with pads the shorter side, so the last hashes of each doubling are void and cut off at the end
@@ -73,38 +78,52 @@ def base_failed() -> Column:
 def votes() -> dict[str, Column]:
     """One column of 1, 0 or -1 per rule."""
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    n, word = F.col("n_words"), ratio("word_chars", "n_words")
+    bad = lambda when: F.when(when, -1).otherwise(0)
+    good = lambda when: F.when(when, 1).otherwise(0)
+    n, word, symbols = F.col("n_words"), ratio("word_chars", "n_words"), ratio("n_symbols", "n_words")
+    dup, repeats = ratio("n_dup_lines", "n_lines"), ratio("n_repeat_words", "n_words")
+    letters, capitals = ratio("n_letters", "word_chars"), ratio("n_capitals", "n_letters")
+    prose = (n >= 30) & word.between(3, 10) & (symbols < 0.05) & (repeats < 0.15) & (letters > 0.75) & (capitals < 0.25)
     return {
-        "length": vote(n >= 50, n < 20),
-        "word_length": vote(word.between(3, 9), (word < 2.5) | (word > 12)),
-        "symbols": vote(ratio("n_symbols", "n_words") < 0.02, ratio("n_symbols", "n_words") > 0.2),
-        "lines": vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 3), ratio("n_dup_lines", "n_lines") > 0.3),
-        "repeats": vote((F.col("n_repeat_words") == 0) & (n >= 50), 10 * F.col("n_repeat_words") > 2 * n),
-        "letters": vote(ratio("n_letters", "word_chars") > 0.85, ratio("n_letters", "word_chars") < 0.6),
-        "capitals": vote(ratio("n_capitals", "n_letters") < 0.15, ratio("n_capitals", "n_letters") > 0.5),
+        "length": bad(n < 20),
+        "word_length": bad((word < 2.5) | (word > 14)),
+        "symbols": bad(symbols > 0.2),
+        "lines": bad((dup > 0.3) & (F.col("n_dup_lines") >= 3)),
+        "repeats": bad(repeats > 0.25),
+        "letters": bad(letters < 0.6),
+        "capitals": bad((capitals > 0.5) & (n >= 10)),
+        "prose": good(prose),
+        "sentences": good((ratio("n_stops", "n_words").between(0.01, 0.4)) & (n >= 20)),
     }
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> tuple[float, list[dict[int, float]]]:
     """Log prior odds of "good", and per rule the log-likelihood ratio of each vote, by expectation-maximisation.
 
-    ``patterns``: votes and how many documents cast them. Starts from the majority vote.
+    ``patterns``: votes and how many documents cast them. Starts from the guess that a bad vote is right. A ratio keeps
+    the sign of its vote, which fixes what the two classes mean.
     """
+    start = math.log(PRIOR_GOOD / (1 - PRIOR_GOOD))
     if not patterns:
-        return math.log(PRIOR_GOOD / (1 - PRIOR_GOOD)), [{-1: -1.0, 0: 0.0, 1: 1.0} for _ in RULES]
-    good = {v: 1 / (1 + math.exp(-(0.5 + sum(v) - 2.0 * (min(v) < 0)))) for v, _ in patterns}
+        return start, [{-1: -3.0, 0: 0.0, 1: 1.0} for _ in RULES]
+    guess = {v: 0.1 if min(v) < 0 else 0.95 if max(v) > 0 else 0.8 for v, _ in patterns}
+    good = guess
     for _ in range(rounds):
+        # the guess keeps a share in every round, as a prior on the rules
+        good = {v: ANCHOR * guess[v] + (1 - ANCHOR) * good[v] for v in good}
         mass = [sum(n * (good[v] if y else 1 - good[v]) for v, n in patterns) for y in (0, 1)]
         ratios = []
         for j in range(len(patterns[0][0])):
-            seen = {(x, y): 1.0 for x in (-1, 0, 1) for y in (0, 1)}
+            # one firing in either class before any is seen
+            fired = {(x, y): 1.0 for x in (-1, 1) for y in (0, 1)}
             for v, n in patterns:
-                seen[v[j], 1] += n * good[v]
-                seen[v[j], 0] += n * (1 - good[v])
-            ratios.append({x: math.log(seen[x, 1] / (mass[1] + 3)) - math.log(seen[x, 0] / (mass[0] + 3)) for x in (-1, 0, 1)})
-        prior = math.log((mass[1] + 1) / (mass[0] + 1))
-        good = {v: 1 / (1 + math.exp(-max(-700, min(700, prior + sum(r[x] for r, x in zip(ratios, v)))))) for v, _ in patterns}
+                if v[j]:
+                    fired[v[j], 1] += n * good[v]
+                    fired[v[j], 0] += n * (1 - good[v])
+            ratio = {x: math.log(fired[x, 1] / (mass[1] + 2)) - math.log(fired[x, 0] / (mass[0] + 2)) for x in (-1, 1)}
+            ratios.append({-1: max(-MOST, min(0.0, ratio[-1])), 0: 0.0, 1: min(MOST, max(0.0, ratio[1]))})
+        prior = max(0.0, min(MOST, math.log((mass[1] + 1) / (mass[0] + 1))))
+        good = {v: 1 / (1 + math.exp(-(prior + sum(r[x] for r, x in zip(ratios, v))))) for v, _ in patterns}
     return prior, ratios
 
 
