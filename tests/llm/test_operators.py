@@ -361,9 +361,21 @@ def test_masks_cover():
 def test_deduplicate(docs, odd):
     for df in (docs, odd):
         out = simhash.deduplicate(df)
-        kept = sorted(r.doc_id for r in out.collect())
+        kept = [r.doc_id for r in out.collect()]
         assert out.columns == df.columns
-        assert kept == sorted({c for c in (r.component_id for r in simhash.report(df).collect()) if c is not None})
+        components = {r.component_id for r in simhash.report(df).collect()}
+        assert sorted(i for i in kept if i is not None) == sorted(c for c in components if c is not None)
+        # the rows without a doc_id that link to no other, here at most one text
+        assert kept.count(None) == (None in components)
+
+
+def test_deduplicate_keeps_a_row_of_every_component(spark):
+    """Rows without a doc_id, and rows that share one over different texts, are documents too."""
+    a, b, c = ("one two three four five six", "red green blue black white grey", "north south east west up down")
+    rows = [(None, a, 1), (None, a, 1), (5, b, 2), (5, c, 3), (7, c, 4), (-1, a + " seven eight nine ten", 5), (None, None, 6), (None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long")
+    got = Counter((r.doc_id, r.text or "") for r in simhash.deduplicate(df).collect())
+    assert got == Counter([(None, a), (5, b), (5, c), (-1, rows[5][1]), (None, "")])
 
 
 # 9 packing

@@ -6,7 +6,8 @@ holds the patterns that direct comparison confirms. Patterns are the 10-word win
 item where it is shorter; each length has tables of its own.
 
 The benchmark travels to the tasks in blocks of at most ``BLOCK_WINDOWS`` windows (its count is checked first); more
-windows mean more blocks over the same documents, each of bounded size, whose hits are joined in the row.
+windows mean more passes over the same documents, with the hits so far checkpointed between them, so that driver and
+tasks hold the tables of one block at a time.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no window; an empty
 benchmark hits nothing; items that share a window are all told; rows that repeat an item_id count as one item;
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_bytes
+from tidemark.llm.common import cut, word_bytes
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -94,24 +95,27 @@ def _finder(spark, items: list[tuple[str, str | None]]):
     return find
 
 
-def _blocks(benchmark: DataFrame, block_windows: int) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size; each block is fetched by itself."""
+def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks of bounded size; each block is fetched by itself, when its turn comes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
     total = items.agg(F.sum(words)).first()[0] or 0
     n = max(1, -(-total // block_windows))
     deal = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sorted(((r.item, r.text) for r in items.filter(deal == k).collect()), key=str) for k in range(n)]
+    for k in range(n):
+        yield sorted(((r.item, r.text) for r in items.filter(deal == k).collect()), key=str)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Adds ``_n_words`` and ``_hits``, array<struct<at, len, item>> sorted by place; keeps all columns."""
-    df, parts = docs, []
+    df = docs
     for k, items in enumerate(_blocks(benchmark, block_windows)):
-        df = df.withColumn(f"_part{k}", _finder(docs.sparkSession, items)("text"))
-        parts.append(f"_part{k}")
-    hits = F.flatten(F.array(*(F.arrays_zip(F.col(f"{p}.at").alias("at"), F.col(f"{p}.len").alias("len"), F.col(f"{p}.item").alias("item")) for p in parts)))
-    return df.withColumn("_n_words", F.col("_part0.n_words")).withColumn("_hits", F.array_sort(hits)).drop(*parts)
+        if k:
+            df = cut(df)
+        df = df.withColumn("_part", _finder(docs.sparkSession, items)("text"))
+        hits = F.arrays_zip(F.col("_part.at").alias("at"), F.col("_part.len").alias("len"), F.col("_part.item").alias("item"))
+        df = df.withColumn("_hits", F.concat("_hits", hits) if k else hits).withColumn("_n_words", F.col("_part.n_words")).drop("_part")
+    return df.withColumn("_hits", F.array_sort("_hits"))
 
 
 def _covered(hits: str):

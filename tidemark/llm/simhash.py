@@ -13,7 +13,8 @@ Components then join by hooking to the smallest neighbour and jumping, with line
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any other; repeated
 rows share a fingerprint; null doc_ids have a fingerprint but never name a component that has another id; an empty
-table gives no rows; other columns are kept by ``deduplicate`` and ignored by ``fingerprints``.
+table gives no rows; other columns are kept by ``deduplicate`` and ignored by ``fingerprints``. ``deduplicate`` keeps
+one row of every component, also where rows have no doc_id or share one over different texts.
 """
 
 from __future__ import annotations
@@ -51,14 +52,20 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long): one row per input row."""
+    """doc_id, text_key, fp (the fingerprint as a signed long): one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
+
+
+def _text_key():
+    """Tells apart the texts of one doc_id, and rows without a doc_id from those that have the stand-in -1."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text")
 
 
 def masks(free: int, radius: int = RADIUS) -> list[int]:
@@ -147,13 +154,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable): one row per input row."""
+    """doc_id, text_key, fp, root, component_id (the smallest doc_id reachable): one row per input row."""
     rows = cut(fingerprints(docs))
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = components(links(groups.select("fp"), cap))
     named = groups.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    by_fp = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
     return rows.join(by_fp, "fp")
 
 
@@ -164,5 +171,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns."""
-    kept = linked(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key")))
+    kept = linked(docs).groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.text_key")
+    place = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("text_key"))
+    # the row travels as one struct, so its names can't clash with the ones used here
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), _text_key().alias("text_key")).select("row", *place)
+    return rows.join(kept.select(*place), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("row.*")
