@@ -34,22 +34,20 @@ def terms_of(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], match_all: bool = False) -> DataFrame:
-    """key, score. Only query terms leave the scan; the statistics are one row, fetched first."""
+    """key, score: one row per row of ``docs`` with a hit. Rows are counted where they stand; only one row of sums is fetched."""
     wanted = sorted({t.lower() for t in terms})
-    sized = docs.select(key, terms_of(F.col(text)).alias("w")).select(
-        key, F.size("w").alias("len"), F.filter("w", lambda t: t.isin(*wanted)).alias("w")
-    )
-    n, average = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
-    tf = sized.select(key, "len", F.explode("w").alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # one row per query term
-    df = {r.term: r.n for r in tf.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = F.lit(0.0)
-    for t in wanted:
-        known = max(1e-6, math.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)))
-        idf = F.when(F.col("term") == t, F.lit(known)).otherwise(idf)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0)))
-    hits = tf.groupBy(key).agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("matched"))
-    return (hits.filter(F.col("matched") == len(wanted)) if match_all else hits).select(key, "score")
+    times = lambda term: F.size(F.filter("w", lambda w: w == term))
+    counts = [times(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    sized = docs.select(key, terms_of(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), *counts)
+    held = [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)) for i in range(len(wanted))]
+    n, average, *df = sized.agg(F.count(F.lit(1)), F.avg("len"), *held).first()
+    score, matched = F.lit(0.0), F.lit(0)
+    for i, own in enumerate(df):
+        tf, idf = F.col(f"tf{i}"), max(1e-6, math.log((n - (own or 0) + 0.5) / ((own or 0) + 0.5)))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0)))
+        matched = matched + F.when(tf > 0, 1).otherwise(0)
+    least = len(wanted) if match_all else 1
+    return sized.filter(matched >= least).select(key, score.alias("score"))
 
 
 def substring_hits(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:

@@ -171,13 +171,13 @@ def fallback_extract(spark, sf_dir):
 
 
 @query(
-    "SELECT conv_id, string_agg('[' || i || '] ' || role || ': ' || substr(text, 1, 40), chr(10) ORDER BY i) AS prompt FROM "
+    "SELECT conv_id, string_agg('[' || i || '] ' || role || ': ' || text, chr(10) ORDER BY i) AS prompt FROM "
     "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations) GROUP BY conv_id"
 )
 def prompt_build(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     lines = F.transform(
-        "t", lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), t.role, F.lit(": "), F.substring(t.text, 1, 40))
+        "t", lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), t.role, F.lit(": "), t.text)
     )
     return turns.select("conv_id", F.array_join(lines, "\n").alias("prompt"))
 
@@ -204,10 +204,25 @@ def label_disambiguate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("n", n).select("conv_id", "turn", label.alias("label"))
 
 
-@query()
+@query(
+    """, points AS (SELECT (label * 1000000 + (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 100)::BIGINT AS session_id, vec_id AS message_id, embedding::DOUBLE[] AS e FROM embeddings),
+spans AS (SELECT session_id, greatest(max(message_id) - min(message_id), 1e-9) AS span FROM points GROUP BY session_id),
+near AS (SELECT a.session_id, a.message_id AS u, b.message_id AS v FROM points a JOIN points b ON a.session_id = b.session_id AND a.message_id <> b.message_id
+  JOIN spans s ON s.session_id = a.session_id WHERE 1 - list_cosine_similarity(a.e, b.e) + 0.05 * abs(a.message_id - b.message_id) / span <= 0.45),
+reach AS (SELECT session_id, u AS message_id, u AS root FROM near UNION SELECT n.session_id, n.v, r.root FROM reach r JOIN near n ON n.session_id = r.session_id AND n.u = r.message_id)
+SELECT session_id, message_id, coalesce(cluster, -1) AS cluster FROM points LEFT JOIN (SELECT session_id, message_id, min(root) AS cluster FROM reach GROUP BY ALL) USING (session_id, message_id)""",
+    "one AS (SELECT 1)",
+)
 def dbscan_partition(spark, sf_dir):
-    """Clusters of the vectors of each label: density clustering with time as a small part of the distance."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("session_id"), F.col("vec_id").alias("message_id"), F.col("vec_id").cast("double").alias("ts"), "embedding"
-    )
-    return clusters.dbscan(vectors, eps=0.45, min_samples=2)
+    """Density clusters within windows of a hundred vectors of a label, named by their smallest member; noise is -1.
+
+    With two samples every point that has a neighbour is a core, so clusters are the components of the near pairs.
+    """
+    n = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+    vectors = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.floor((n - 1) / 100).alias("n"))
+    vectors = vectors.select(
+        (F.col("label") * 1_000_000 + F.col("n")).cast("long").alias("session_id"), F.col("vec_id").alias("message_id"),
+        F.col("vec_id").cast("double").alias("ts"), "embedding",
+    )
+    first = F.min("message_id").over(W.partitionBy("session_id", "cluster"))
+    return clusters.dbscan(vectors, eps=0.45, min_samples=2).withColumn("cluster", F.when(F.col("cluster") < 0, F.lit(-1).cast("long")).otherwise(first))

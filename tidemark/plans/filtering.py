@@ -82,20 +82,20 @@ def filter_valid_tag(spark, sf_dir):
 @query(
     """SELECT conv_id, turn, n < 3 OR (n > 5 AND most > 0.7 * n) AS noisy FROM (SELECT conv_id, turn, length(t) AS n,
   coalesce(list_max(list_transform(list_distinct(string_split(t, '')), lambda s: len(list_filter(string_split(t, ''), lambda x: x = s)))), 0) AS most
-  FROM (SELECT conv_id, turn, trim(CASE turn % 4 WHEN 0 THEN repeat('a', 9) || 'b' WHEN 1 THEN 'hi' WHEN 2 THEN substr(text, 1, 60) ELSE '' END) AS t FROM conversations))"""
+  FROM (SELECT conv_id, turn, trim(CASE turn % 4 WHEN 0 THEN repeat('a', 9) || 'b' WHEN 1 THEN 'hi' WHEN 2 THEN text ELSE '' END) AS t FROM conversations))"""
 )
 def noise_filter(spark, sf_dir):
     n = F.col("turn") % 4
-    said = F.when(n == 0, "aaaaaaaaab").when(n == 1, "hi").when(n == 2, F.substring("text", 1, 60)).otherwise("")
+    said = F.when(n == 0, "aaaaaaaaab").when(n == 1, "hi").when(n == 2, F.col("text")).otherwise("")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
     return rows.select("conv_id", "turn", text.is_noise(F.col("said")).alias("noisy"))
 
 
 @query(
-    "SELECT conv_id, turn, trim(regexp_replace(regexp_replace('[CQ:reply,id=1]@x(123456) ' || chr(10) || substr(text, 1, 80) || ' [图片]', '\\[CQ:[^\\]]*\\]|\\([0-9]{5,}\\)', '', 'g'), '\\s+', ' ', 'g')) AS said FROM conversations"
+    "SELECT conv_id, turn, trim(regexp_replace(regexp_replace('[CQ:reply,id=1]@x(123456) ' || chr(10) || text || ' [图片]', '\\[CQ:[^\\]]*\\]|\\([0-9]{5,}\\)', '', 'g'), '\\s+', ' ', 'g')) AS said FROM conversations"
 )
 def normalize_text(spark, sf_dir):
-    raw = F.concat(F.lit("[CQ:reply,id=1]@x(123456) \n"), F.substring("text", 1, 80), F.lit(" [CQ:image,file=a.png]"))
+    raw = F.concat(F.lit("[CQ:reply,id=1]@x(123456) \n"), F.col("text"), F.lit(" [CQ:image,file=a.png]"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_message(raw).alias("said"))
 
 

@@ -63,12 +63,12 @@ def patch_fields(spark, sf_dir):
     )
 
 
-_DELTA = """delta AS (SELECT o_custkey AS c_custkey, 'n' || o_orderkey AS c_name, o_totalprice AS c_acctbal FROM orders WHERE o_custkey % 3 = 0
+_DELTA = """delta AS (SELECT o_custkey AS c_custkey, 'n' || o_orderkey AS c_name, o_totalprice AS c_acctbal FROM orders WHERE o_orderpriority = '1-URGENT'
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
 
 
 def _delta(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0")
+    rows = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     newest = O.latest(rows, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
     name = F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))
     return newest.select(F.col("o_custkey").alias("c_custkey"), name.alias("c_name"), F.col("o_totalprice").alias("c_acctbal"))
@@ -96,11 +96,11 @@ def upsert_keep_created(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT * FROM delta WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
+    "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0 UNION ALL SELECT * FROM delta WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     _DELTA,
 )
 def upsert_ignore(spark, sf_dir):
-    return O.insert_ignore(_people(spark, sf_dir).filter("c_custkey % 2 = 0"), _delta(spark, sf_dir), ["c_custkey"])
+    return O.insert_ignore(_people(spark, sf_dir).filter("c_acctbal > 0"), _delta(spark, sf_dir), ["c_custkey"])
 
 
 _ROWS = "rows_ AS (SELECT o_custkey AS k, o_orderpriority AS persona, min(o_orderkey) AS v FROM orders GROUP BY ALL)"

@@ -184,12 +184,13 @@ def format_memory_lines(spark, sf_dir):
 @query(
     "SELECT vec_id, CASE WHEN similarity >= 0.3 THEN tag ELSE vec_id END AS aligned, round(similarity, 6) AS similarity FROM ("
     "SELECT v.vec_id, c.vec_id AS tag, list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS similarity "
-    "FROM embeddings v, embeddings c WHERE c.vec_id < 16 QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY similarity DESC, c.vec_id) = 1)"
+    "FROM embeddings v, embeddings c WHERE c.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label) QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY similarity DESC, c.vec_id) = 1)"
 )
 def nearest_tag_alignment(spark, sf_dir):
-    """Each vector takes the nearest of a few canonical ones if it is near enough, else stays itself."""
+    """Each vector takes the nearest canonical one, the first of a label, if it is near enough, else stays itself."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    tags = vectors.filter("vec_id < 16").collect()  # the canonical tags: a bounded vocabulary
+    first = F.min_by("embedding", "vec_id").alias("embedding")
+    tags = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"), first).collect()  # a row per label
     best = F.array_max(
         F.array(*(F.struct(R.cosine(F.col("embedding"), F.array(*map(F.lit, map(float, t.embedding)))).alias("similarity"), F.lit(-t.vec_id).alias("tag")) for t in tags))
     )

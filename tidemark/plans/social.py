@@ -9,7 +9,7 @@ from tidemark.functions import circumplex as C
 from tidemark.operators import clusters, scope
 from tidemark.operators import social as O
 from tidemark.plans.registry import query
-from tidemark.sources.tables import IMPRESSIONS, MEMBERS, impressions, members, table
+from tidemark.sources.tables import IMPRESSIONS, MEMBERS, MEMORIES, impressions, members, memories, table
 
 _OCTANT = (
     "CASE WHEN abs(benevolence) < 1e-9 AND abs(power) < 1e-9 THEN 0 ELSE "
@@ -107,12 +107,12 @@ def reanalyze_scope(spark, sf_dir):
 
 @query(
     "SELECT observer, subject, count(*) AS shared, string_agg(event_id::VARCHAR, ',' ORDER BY event_id DESC) AS evidence FROM (SELECT a.uid AS observer, b.uid AS subject, a.event_id "
-    "FROM members a JOIN members b ON a.event_id = b.event_id AND a.uid < b.uid WHERE a.uid <= 5 QUALIFY row_number() OVER (PARTITION BY a.uid, b.uid ORDER BY a.event_id DESC) <= 100) GROUP BY ALL",
+    "FROM members a JOIN members b ON a.event_id = b.event_id AND a.uid < b.uid QUALIFY row_number() OVER (PARTITION BY a.uid, b.uid ORDER BY a.event_id DESC) <= 100) GROUP BY ALL",
     MEMBERS,
 )
 def evidence_intersection(spark, sf_dir):
-    """The newest hundred shared events of the pairs of the first people."""
-    met = O.pairs(members(spark, sf_dir), directed=False).filter("observer <= 5")
+    """The newest hundred shared events of every pair."""
+    met = O.pairs(members(spark, sf_dir), directed=False)
     n = F.row_number().over(W.partitionBy("observer", "subject").orderBy(F.col("event_id").desc()))
     newest = met.withColumn("n", n).filter("n <= 100").groupBy("observer", "subject").agg(F.sort_array(F.collect_list("event_id"), asc=False).alias("e"))
     return newest.select("observer", "subject", F.size("e").cast("long").alias("shared"), F.array_join(F.col("e").cast("array<string>"), ",").alias("evidence"))
@@ -156,40 +156,39 @@ def edge_pairs_mutual(spark, sf_dir):
     return _pairs(spark, sf_dir).select("u", "v", "mutual", F.round("affinity", 6).alias("affinity"), "messages")
 
 
-_EDGES = "edges AS (SELECT DISTINCT least(a.uid, b.uid) AS u, greatest(a.uid, b.uid) AS v FROM members a JOIN members b ON a.event_id = b.event_id AND a.uid <> b.uid WHERE a.event_id % 97 = 0)"
+_EDGES = "edges AS (SELECT parent AS u, event_id AS v FROM memories WHERE parent IS NOT NULL)"
 
 
-def _sparse_edges(spark, sf_dir):
-    """People who met at some of the events: a graph with several parts."""
-    met = O.pairs(members(spark, sf_dir).filter("event_id % 97 = 0"), directed=False)
-    return met.select(F.col("observer").alias("u"), F.col("subject").alias("v")).distinct()
+def _thread_edges(spark, sf_dir):
+    """Memories and what they inherit from: a graph with many parts, the threads."""
+    return memories(spark, sf_dir, text=False).filter("parent IS NOT NULL").select(F.col("parent").alias("u"), F.col("event_id").alias("v"))
 
 
-@query("SELECT node, count(DISTINCT other) AS degree FROM (SELECT u AS node, v AS other FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY node", MEMBERS, _EDGES)
+@query("SELECT node, count(DISTINCT other) AS degree FROM (SELECT u AS node, v AS other FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY node", MEMORIES, _EDGES)
 def degree(spark, sf_dir):
-    return O.degree(_sparse_edges(spark, sf_dir))
+    return O.degree(_thread_edges(spark, sf_dir))
 
 
-@query("SELECT DISTINCT other AS neighbour FROM (SELECT u AS node, v AS other FROM edges UNION ALL SELECT v, u FROM edges) WHERE node = 7", MEMBERS, _EDGES)
+@query("SELECT DISTINCT other AS neighbour FROM (SELECT u AS node, v AS other FROM edges UNION ALL SELECT v, u FROM edges) WHERE node = 8", MEMORIES, _EDGES)
 def ego_network(spark, sf_dir):
-    return O.ego(_sparse_edges(spark, sf_dir), 7)
+    return O.ego(_thread_edges(spark, sf_dir), 8)
 
 
 @query(
     """, both_ AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 reach AS (SELECT u AS node, u AS root FROM both_ UNION SELECT e.v, r.root FROM reach r JOIN both_ e ON e.u = r.node)
 SELECT node, min(root) AS component FROM reach GROUP BY node""",
-    MEMBERS, _EDGES,
+    MEMORIES, _EDGES,
 )
 def components(spark, sf_dir):
-    return clusters.components(_sparse_edges(spark, sf_dir))
+    return clusters.components(_thread_edges(spark, sf_dir))
 
 
-@query("SELECT s_suppkey AS uid FROM supplier WHERE s_suppkey NOT IN (SELECT u FROM edges UNION SELECT v FROM edges)", MEMBERS, _EDGES)
+@query("SELECT event_id FROM memories WHERE event_id NOT IN (SELECT u FROM edges UNION SELECT v FROM edges)", MEMORIES, _EDGES)
 def isolated_nodes(spark, sf_dir):
-    edges = _sparse_edges(spark, sf_dir)
-    ends = edges.select(F.col("u").alias("s_suppkey")).union(edges.select("v"))
-    return table(spark, sf_dir, "supplier").join(ends, "s_suppkey", "left_anti").select(F.col("s_suppkey").alias("uid"))
+    edges = _thread_edges(spark, sf_dir)
+    ends = edges.select(F.col("u").alias("event_id")).union(edges.select("v"))
+    return memories(spark, sf_dir, text=False).select("event_id").join(ends, "event_id", "left_anti")
 
 
 @query(
@@ -219,11 +218,13 @@ def edge_message_counts(spark, sf_dir):
 
 @query(
     "SELECT uid, round(300 + 200 * cos(2 * pi() * i / n - pi() / 2), 4) AS x, round(300 + 200 * sin(2 * pi() * i / n - pi() / 2), 4) AS y FROM "
-    "(SELECT s_suppkey AS uid, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier WHERE s_suppkey <= 50)"
+    "(SELECT s_suppkey AS uid, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"
 )
 def graph_circular_layout(spark, sf_dir):
-    shown = table(spark, sf_dir, "supplier").filter("s_suppkey <= 50").select(
-        F.col("s_suppkey").alias("uid"), (F.row_number().over(W.orderBy("s_suppkey")) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy()).alias("n")
+    """Places on a circle, one circle a group."""
+    group = W.partitionBy("s_nationkey")
+    shown = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("uid"), (F.row_number().over(group.orderBy("s_suppkey")) - 1).alias("i"), F.count(F.lit(1)).over(group).alias("n")
     )
     at = 2 * F.pi() * F.col("i") / F.col("n") - F.pi() / 2
     return shown.select("uid", F.round(300 + 200 * F.cos(at), 4).alias("x"), F.round(300 + 200 * F.sin(at), 4).alias("y"))
