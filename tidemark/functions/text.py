@@ -128,7 +128,7 @@ _ITEMS = (
 def parse_extraction(text: Column, last: Column) -> Column:
     """Valid items of a model's JSON array: all keys there, indices within 0..last, fields cut and clamped."""
     items = F.from_json(json_body(text, "[", "]"), _ITEMS)
-    share = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), F.lit(0.5))
+    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.5))))
     whole = lambda x: (
         x.start_idx.isNotNull() & x.end_idx.isNotNull() & x.topic.isNotNull() & x.summary.isNotNull()
         & x.chat_content_tags.isNotNull() & (x.start_idx >= 0) & (x.end_idx <= last) & (x.start_idx <= x.end_idx)
@@ -176,3 +176,8 @@ def parse_topics(text: Column) -> Column:
 def section(text: Column, marker: str) -> Column:
     """Text behind ``## marker`` up to the next heading."""
     return F.trim(F.regexp_extract(text, rf"(?s)##\s*{marker}[^\n]*\n(.*?)(?:\n##|\z)", 1))
+
+
+def with_percent(text: Column, percent: Column, limit: int = 120) -> Column:
+    """The first ``limit`` characters, with every percentage set to ``percent``."""
+    return F.regexp_replace(F.substring(text, 1, limit), F.lit(r"[0-9]+%"), F.concat(percent.cast("string"), F.lit("%")))

@@ -64,3 +64,9 @@ def ego(edges: DataFrame, node: int) -> DataFrame:
     """Edges at a node, and the neighbour of each."""
     out = edges.filter(F.col("u") == node).select(F.col("v").alias("neighbour"))
     return out.unionByName(edges.filter(F.col("v") == node).select(F.col("u").alias("neighbour"))).distinct()
+
+
+def radius(n: Column, low: Column, high: Column, smallest: float = 12.0, largest: float = 22.0) -> Column:
+    """Between the smallest and the largest by n's place between low and high; the middle if they are one."""
+    share = (n - low) / F.nullif(high - low, F.lit(0))
+    return F.coalesce(smallest + (largest - smallest) * share, F.lit((smallest + largest) / 2))
