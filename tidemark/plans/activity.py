@@ -205,12 +205,12 @@ def event_averages(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, event_type, round(avg(value) OVER w, 6) AS recent_mean, last_value(value) OVER w AS latest FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+    "SELECT event_id, event_type, round(avg(value) OVER w, 8) AS recent_mean, last_value(value) OVER w AS latest FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
 )
 def perf_phases(spark, sf_dir):
     """Mean and last value over the last fifty samples of each phase."""
     w = W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    return _events(spark, sf_dir).select("event_id", "event_type", F.round(F.avg("value").over(w), 6).alias("recent_mean"), F.last("value").over(w).alias("latest"))
+    return _events(spark, sf_dir).select("event_id", "event_type", F.round(F.avg("value").over(w), 8).alias("recent_mean"), F.last("value").over(w).alias("latest"))
 
 
 @query(

@@ -29,7 +29,7 @@ def sessionize_gap(spark, sf_dir):
 
 
 @query(
-    "SELECT user_id, session, count(*) AS n, date_sub('second', min(ts), max(ts)) AS seconds, round(avg(value), 6) AS mean_value, "
+    "SELECT user_id, session, count(*) AS n, date_sub('second', min(ts), max(ts)) AS seconds, round(avg(value), 8) AS mean_value, "
     "count(DISTINCT event_type) AS kinds FROM sessions GROUP BY ALL",
     _SESSIONS,
 )
@@ -39,7 +39,7 @@ def session_summary(spark, sf_dir):
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.expr("timestampdiff(SECOND, min(ts), max(ts))").alias("seconds"),
-            F.round(F.avg("value"), 6).alias("mean_value"),
+            F.round(F.avg("value"), 8).alias("mean_value"),
             F.countDistinct("event_type").alias("kinds"),
         )
     )

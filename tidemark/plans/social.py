@@ -64,8 +64,8 @@ def names_by_orientation(spark, sf_dir):
 
 
 @query(
-    "SELECT b.observer, b.subject, round(coalesce(0.4 * n.benevolence + 0.6 * o.benevolence, n.benevolence, o.benevolence), 6)::DOUBLE AS benevolence, "
-    "round(coalesce(0.4 * n.power + 0.6 * o.power, n.power, o.power), 6)::DOUBLE AS power FROM (SELECT observer, subject FROM impressions WHERE scope IN ('R', 'A') GROUP BY ALL) b "
+    "SELECT b.observer, b.subject, round(coalesce(0.4 * n.benevolence + 0.6 * o.benevolence, n.benevolence, o.benevolence), 6)::DOUBLE + 0.0 AS benevolence, "
+    "round(coalesce(0.4 * n.power + 0.6 * o.power, n.power, o.power), 6)::DOUBLE + 0.0 AS power FROM (SELECT observer, subject FROM impressions WHERE scope IN ('R', 'A') GROUP BY ALL) b "
     "LEFT JOIN (SELECT * FROM impressions WHERE scope = 'R') o USING (observer, subject) LEFT JOIN (SELECT * FROM impressions WHERE scope = 'A') n USING (observer, subject)",
     IMPRESSIONS,
 )
@@ -73,7 +73,8 @@ def impression_ema(spark, sf_dir):
     """The edges of one scope, moved towards those of another."""
     own = impressions(spark, sf_dir)
     out = O.smooth(own.filter("scope = 'R'"), own.filter("scope = 'A'").select("observer", "subject", "benevolence", "power"), ["observer", "subject"], ["benevolence", "power"])
-    return out.select("observer", "subject", F.round("benevolence", 6).alias("benevolence"), F.round("power", 6).alias("power"))
+    # adding zero turns -0.0 into 0.0
+    return out.select("observer", "subject", (F.round("benevolence", 6) + 0.0).alias("benevolence"), (F.round("power", 6) + 0.0).alias("power"))
 
 
 @query(
