@@ -29,16 +29,31 @@ MICRO = (
 )
 
 
-def terms_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def spaced_words(text: Column) -> Column:
+    """The longest runs of letters and digits of the lower-cased text, one space between them."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def count_words(spaced: Column) -> Column:
+    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
+
+
+def count_term(spaced: Column, term: str) -> Column:
+    """How often a word stands among words with one space between them; what is no single word never does."""
+    if not term.isalnum():
+        return F.lit(0)
+    # with a space of its own on either side, no occurrence shares one with the next
+    apart = F.concat(F.lit(" "), F.replace(spaced, F.lit(" "), F.lit("  ")), F.lit(" "))
+    found = (F.length(apart) - F.length(F.replace(apart, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)
+    return F.when(F.contains(spaced, F.lit(term)), found.cast("int")).otherwise(0)
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], match_all: bool = False) -> DataFrame:
     """key, score: one row per row of ``docs`` with a hit. Rows are counted where they stand; only one row of sums is fetched."""
     wanted = sorted({t.lower() for t in terms})
-    times = lambda term: F.size(F.filter("w", lambda w: w == term))
-    counts = [times(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    sized = docs.select(key, terms_of(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), *counts)
+    spaced = docs.select(key, spaced_words(F.col(text)).alias("w"))
+    counts = [count_term(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    sized = spaced.select(key, count_words(F.col("w")).alias("len"), *counts)
     held = [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)) for i in range(len(wanted))]
     n, average, *df = sized.agg(F.count(F.lit(1)), F.avg("len"), *held).first()
     score, matched = F.lit(0.0), F.lit(0)
@@ -47,7 +62,8 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], match_all: bool
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0)))
         matched = matched + F.when(tf > 0, 1).otherwise(0)
     least = len(wanted) if match_all else 1
-    return sized.filter(matched >= least).select(key, score.alias("score"))
+    # a filter would be pushed below the counts and repeat their work for every term
+    return sized.select(key, F.explode(F.when(matched >= least, F.array(score))).alias("score"))
 
 
 def substring_hits(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
