@@ -278,6 +278,15 @@ def test_pages_keep_their_words(spark, sf_dir):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_odd_page_rows(spark):
+    """Nulls in any column, repeated rows, a long page, and extra columns with names that the operator uses."""
+    long = "<p>" + "word " * 40_000 + "</p>"
+    rows = [(1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (2, "u", "<b>b</b>", None), (2, "u", "<b>b</b>", None), (3, "u", "", "x"), (4, "u", long, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = Counter((r.page_id, r.text) for r in html.extract(pages).collect())
+    assert got == Counter({(1, ""): 1, (None, "a"): 1, (2, "b"): 2, (3, ""): 1, (4, ("word " * 40_000).strip()): 1})
+
+
 # 8 SimHash
 
 
