@@ -181,3 +181,20 @@ def section(text: Column, marker: str) -> Column:
 def with_percent(text: Column, percent: Column, limit: int = 120) -> Column:
     """The first ``limit`` characters, with every percentage set to ``percent``."""
     return F.regexp_replace(F.substring(text, 1, limit), F.lit(r"[0-9]+%"), F.concat(percent.cast("string"), F.lit("%")))
+
+
+#: Fixed value: the namespace of URLs in name-based identifiers.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """Version 5 identifier of a name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(h, start + 1, n)
+    variant = F.lower(F.hex(F.conv(part(16, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8)).cast("long")))
+    return F.concat_ws("-", part(0, 8), part(8, 4), F.concat(F.lit("5"), part(13, 3)), F.concat(variant, part(17, 3)), part(20, 12))
+
+
+def session_id(platform: Column, group: Column, person: Column) -> Column:
+    """``platform:group``, or ``platform:private:person`` without a group."""
+    return F.when(group.isNotNull() & (group != ""), F.concat_ws(":", platform, group)).otherwise(F.concat_ws(":", platform, F.lit("private"), person))

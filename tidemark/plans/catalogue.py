@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import activity, episodes, filtering, lifecycle, persona, recall, rendering, social  # noqa: F401  they register their queries
+from tidemark.plans import activity, episodes, filtering, ingest, lifecycle, persona, recall, rendering, social  # noqa: F401  they register their queries
 from tidemark.plans.registry import QUERIES, SQL
 
 
