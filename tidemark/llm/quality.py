@@ -29,6 +29,9 @@ PRIOR_GOOD = 0.8
 #: No vote weighs more than this many nats, so no rule decides whatever the others say.
 MOST = 6.0
 ANCHOR = 0.5
+#: Where the estimation starts, by (a bad vote, good votes: 0 none, 1 some, 2 as many as any document has). A bad vote is
+#: taken to be right unless all good rules speak against it; then the prior stands.
+START = {(False, 0): PRIOR_GOOD, (False, 1): 0.95, (False, 2): 0.95, (True, 0): 0.1, (True, 1): 0.1, (True, 2): PRIOR_GOOD}
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -106,7 +109,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) ->
     start = math.log(PRIOR_GOOD / (1 - PRIOR_GOOD))
     if not patterns:
         return start, [{-1: -3.0, 0: 0.0, 1: 1.0} for _ in RULES]
-    guess = {v: 0.1 if min(v) < 0 else 0.95 if max(v) > 0 else 0.8 for v, _ in patterns}
+    most = max(v.count(1) for v, _ in patterns)
+    guess = {v: START[min(v) < 0, 2 if v.count(1) == most > 0 else int(1 in v)] for v, _ in patterns}
     good = guess
     for _ in range(rounds):
         # the guess keeps a share in every round, as a prior on the rules
