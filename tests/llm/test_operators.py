@@ -5,6 +5,7 @@ import html as html_lib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -426,6 +427,23 @@ def test_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 10 for b in out) and len(out) == 3
 
 
+@pytest.mark.parametrize("n, low, high", [(1500, 500, 1100), (600, 100, 1500)])
+def test_search_ends_without_a_gaining_step(n, low, high):
+    lengths = [int(x) for x in np.random.default_rng(5).integers(low, high, n)]
+    out = packing.improve(packing.best_fit(lengths), lengths)
+    assert sorted(i for b in out for i in b) == list(range(n))
+    fills = [sum(lengths[i] for i in b) for b in out]
+    assert max(fills) <= 2048
+    if len(out) == -(-sum(lengths) // 2048):
+        return
+    taken = [{a + b for a, b in combinations([0, *(lengths[i] for i in x)], 2)} for x in out]
+    for k, fill in enumerate(fills):
+        for j, other in enumerate(fills):
+            if j != k:
+                gains = {t - g for t in taken[k] for g in {0} | taken[j]}
+                assert not any(max(0, fill - other) < d <= 2048 - other for d in gains), (k, j)
+
+
 # 10 token counts
 
 

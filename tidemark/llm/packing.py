@@ -5,9 +5,9 @@ sequence are cut. Words are encoded once per Python worker and looked up afterwa
 the plain set take the tokenizer's own way, so the ids are always its ids.
 
 Pieces are dealt into groups of about ``GROUP`` at random; a full piece is a sequence by itself. Each group is packed by best
-fit in falling length; then the search moves documents between underfull sequences, or exchanges one for one or
-two for one, whenever that increases the sum of squared fills, so that the emptiest sequences run empty. It ends
-at the lower bound, or when ``PATIENCE`` sequences in a row could not be emptied.
+fit in falling length; then the search takes one or two documents out of an underfull sequence into any other of the
+group and gives none, one or two back, whenever that increases the sum of squared fills, so that the emptiest sequences
+run empty. It ends at the lower bound, or when no such step is left.
 
 Defined cases: a null text is empty and takes one place (id 0); repeated rows are packed one by one; an empty table
 gives no rows; other columns of the input are ignored.
@@ -149,59 +149,100 @@ def best_fit(lengths: list[int], limit: int = SEQUENCE) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], lengths: list[int], limit: int = SEQUENCE) -> list[list[int]]:
-    """Moves and exchanges out of the emptier bins into fuller ones while the sum of squared fills grows."""
+    """Steps that take one or two items out of a bin and give none, one or two back, while the sum of squared fills grows.
+
+    ``after[t, j]`` is the least room that bin j can end with when it takes items of length t in all and gives back
+    less, or ``limit + 1``. A step out of bin k gains just if that is less than the room of k, so one row's least
+    entry tells the best of all bins. The search ends at the lower bound, or when no bin has a gaining step.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
     bound = -(-sum(fill) // limit)
-    for _ in range(PASSES):
-        stirred, failures = False, 0
-        live = [k for k in range(len(bins)) if 0 < fill[k] < limit]
-        live.sort(key=lambda k: (fill[k], k))
-        fullest = live[::-1][:SEARCH_BINS]
-        for k in live:
-            if failures == PATIENCE or sum(f > 0 for f in fill) <= bound:
-                break
-            while step := next((x for i in sorted(bins[k], key=lambda i: (-lengths[i], i)) if (x := _step(i, k, fullest, bins, fill, lengths, limit))), None):
-                i, j, back = step
-                bins[k] = [x for x in bins[k] if x != i] + list(back)
-                bins[j] = [x for x in bins[j] if x not in back] + [i]
-                delta = lengths[i] - sum(lengths[b] for b in back)
-                fill[k] -= delta
-                fill[j] += delta
+    left = sum(f > 0 for f in fill)
+    live = [k for k in range(len(bins)) if 0 < fill[k] < limit]
+    if left <= bound or len(live) < 2:
+        return [b for b in bins if b]
+    held = [bins[k] for k in live]
+    room = [limit - fill[k] for k in live]
+    sums = [_sums(b, lengths) for b in held]
+    columns = np.empty((len(live), limit + 1), dtype=np.min_scalar_type(limit + 1))
+    for j in range(len(live)):
+        columns[j] = _after(sums[j], room[j], limit)
+    after = np.ascontiguousarray(columns.T)
+    del columns
+    stirred = True
+    while stirred and left > bound:
+        stirred = False
+        for k in sorted(range(len(live)), key=lambda k: (-room[k], k)):
+            while 0 < room[k] < limit and left > bound and (step := _step(k, sums[k], room[k], after)):
                 stirred = True
-            failures = 0 if not bins[k] else failures + 1
-        if not stirred:
-            break
+                t, j = step
+                out = _items(t, held[k], lengths)
+                back = _items(t - (room[j] - int(after[t, j])), held[j], lengths)
+                delta = t - sum(lengths[i] for i in back)
+                held[k] = [x for x in held[k] if x not in out] + back
+                held[j] = [x for x in held[j] if x not in back] + out
+                room[k] += delta
+                room[j] -= delta
+                left -= room[k] == limit
+                for x in (k, j):
+                    sums[x] = _sums(held[x], lengths)
+                    after[:, x] = _after(sums[x], room[x], limit)
+    for k, b in zip(live, held):
+        bins[k] = b
     return [b for b in bins if b]
 
 
-#: Fullest underfull bins into which one emptying bin looks for exchanges.
-SEARCH_BINS = 500
-#: The search ends after so many bins in a row, the emptiest first, that it could not empty.
-PATIENCE = 32
-PASSES = 8
-
-
-def _step(i: int, k: int, others: list[int], bins, fill, lengths, limit: int):
-    """Item i, a bin j and the items that it gives back so that i fits there and j ends fuller than it or bin k was."""
-    size = lengths[i]
-    for j in others:  # a move
-        if j != k and bins[j] and fill[k] < fill[j] + size <= limit:
-            return i, j, ()
-    for j in others:
-        need = size - (limit - fill[j])
-        if j == k or fill[j] < fill[k] or need <= 0:
-            continue
-        held = bins[j]
-        for b in held:  # one for one
-            if need <= lengths[b] < size:
-                return i, j, (b,)
-        for x, b in enumerate(held):  # one for two
-            for c in held[x + 1 :]:
-                if need <= lengths[b] + lengths[c] < size:
-                    return i, j, (b, c)
+def _sums(items: list[int], lengths: list[int]) -> list[int]:
+    """All lengths of one or two of the items, the longest first."""
+    once, twice = set(), set()
+    for i in items:
+        (twice if lengths[i] in once else once).add(lengths[i])
+    some = sorted(once)
+    return sorted(once | {2 * a for a in twice} | {a + b for x, a in enumerate(some) for b in some[:x]}, reverse=True)
+
+
+def _after(sums: list[int], room: int, limit: int) -> np.ndarray:
+    """Per length t the least room of a bin that takes t and gives back less, so that t fits; else limit + 1."""
+    out = np.full(limit + 1, limit + 1)
+    if room < limit:
+        gives = np.array([0, *sums[::-1]])
+        # the least gift of x or more, for each x
+        least = np.repeat(gives, np.diff(gives, prepend=-1))
+        t = np.arange(1, min(limit, len(least) - 1 + room) + 1)
+        gift = least[np.maximum(t - room, 0)]
+        out[t] = np.where(gift < t, room - t + gift, limit + 1)
+    return out
+
+
+def _step(k: int, sums: list[int], room: int, after: np.ndarray) -> tuple[int, int] | None:
+    """A length that bin k gives away, the longest first, and the bin that ends fullest with it and fuller than k was."""
+    for t in sums:
+        row = after[t]
+        own, row[k] = row[k], room
+        j = int(row.argmin())
+        gains = row[j] < room
+        row[k] = own
+        if gains:
+            return t, j
     return None
 
 
+def _items(total: int, items: list[int], lengths: list[int]) -> list[int]:
+    """No item, one or two of that length in all."""
+    if not total:
+        return []
+    seen: dict[int, int] = {}
+    for i in items:
+        if lengths[i] == total:
+            return [i]
+        seen.setdefault(lengths[i], i)
+    for i in items:
+        other = seen.get(total - lengths[i])
+        if other is not None and other != i:
+            return [i, other]
+    raise ValueError(total)
+
+
 def pack(parts: DataFrame, limit: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length``; keeps their columns."""
     # row ids are fixed by the checkpoint, so a lost executor can't change them
