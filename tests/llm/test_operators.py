@@ -5,7 +5,7 @@ import html as html_lib
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -142,6 +142,25 @@ def test_expression_labels(odd):
     assert got[14].labels == "apache,gpl,mit" and got[14].base_labels == "mit" and got[14].n_tags == 1 and got[14].n_choices == 2
 
 
+def test_long_expressions():
+    names = [f"lic-{k:03d}" for k in range(200)]
+    told = lambda x: licenses.look(f"SPDX-License-Identifier: {x}\nend")
+    for line in (" AND ".join(names), f"({' AND '.join(names)})", f"{'(' * 90}{' AND '.join(names)}{')' * 90} and"):
+        got = told(line)
+        assert got[5].split(",") == names and got[6:8] == (1, 1)
+    pairs = [f"({a} OR {b} WITH some-exception)" for a, b in zip(names[::2], names[1::2])]
+    for n, ways in ((9, 512), (20, 2**20), (100, licenses.MOST)):
+        got = told(" AND ".join(pairs[:n]))
+        assert got[5].split(",") == names[: 2 * n] and got[6:8] == (1, ways) and got[8] == 0.875
+
+
+def test_readable_starts():
+    for n in range(1, 7):
+        for tokens in product(["a", "or", "with", "(", ")"], repeat=n):
+            known = (licenses.to_postfix(list(tokens[:end])) for end in range(n, 0, -1))
+            assert licenses.readable_start(" ".join(tokens)) == next((x for x in known if x), None), tokens
+
+
 # 4 quality
 
 

@@ -2,13 +2,14 @@
 
 One automaton over the word sequence of a text (lower-cased A-Z, words joined by single spaces) finds the three base
 phrases, further notice phrases and the identifier tag. Behind a tag stands an expression with ``and``, ``or``,
-``with`` and parentheses; it is read from the raw text and evaluated to the licences that must hold together in some
-choice.
+``with`` and parentheses; its longest readable start is read from the raw text, at any length. ``n_choices`` counts the
+ways to take one side of every ``or`` (a sum for ``or``, a product for ``and``; a repeated licence counts each time).
 
 Score: 0 without evidence, else 1 - 0.5 ** (places + 3 * readable tags): more evidence, closer to 1.
 
 Defined cases: null and empty texts have no words, places or labels and score 0; an expression that can't be read
-gives no label; overlapping places count each; repeated rows are told alike; other columns are ignored.
+gives no label; more choices than a long holds count as ``MOST``; overlapping places count each; repeated rows are told
+alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ FAMILIES = (("mit", "mit"), ("apache", "apache"), ("gpl", "gpl"), ("lgpl", "lgpl
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, n_tags long, n_choices long, score double"
-#: Choices of one expression beyond which it counts as unreadable (and/or nests can double them at each step).
-MAX_CHOICES = 256
+#: The largest long: ``n_choices`` stays there instead of running over.
+MOST = 2**63 - 1
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -84,8 +85,8 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def choices(postfix: list[str]) -> frozenset[frozenset[str]] | None:
-    """Sets of licences of which one must hold in full."""
+def choices(postfix: list[str]) -> frozenset[frozenset[str]]:
+    """Sets of licences of which one must hold in full. They can double at each step, so the scan only counts them."""
     stack: list[frozenset[frozenset[str]]] = []
     for t in postfix:
         if t not in _RANK:
@@ -98,20 +99,53 @@ def choices(postfix: list[str]) -> frozenset[frozenset[str]] | None:
             stack.append(left)
         else:
             stack.append(frozenset(a | b for a in left for b in right))
-        if len(stack[-1]) > MAX_CHOICES:
-            return None
     return stack[0]
 
 
+def operands(postfix: list[str]) -> tuple[set[str], int]:
+    """The licences of an expression, and in how many ways one side of every ``or`` can be taken."""
+    names: list[str] = []
+    stack: list[tuple[int, int]] = []  # ways, and where the operand's names start
+    for t in postfix:
+        if t not in _RANK:
+            stack.append((1, len(names)))
+            names.append(t)
+            continue
+        (right, start), (left, first) = stack.pop(), stack.pop()
+        if t == "with":  # an exception goes with the licence before it
+            del names[start:]
+            stack.append((left, first))
+        else:
+            stack.append((min(left + right if t == "or" else left * right, MOST), first))
+    return set(names), stack[0][0]
+
+
+def readable_start(raw: str) -> list[str] | None:
+    """The longest start that is an expression, as postfix: prose may follow the expression on its line."""
+    tokens = _TOKEN.findall(raw)
+    end = depth = 0
+    operand_next = True
+    for k, t in enumerate(tokens):
+        # what needs an operand before it stands wrong where one is due, and the other way round
+        if (t == ")" or t.lower() in _RANK) == operand_next:
+            break
+        if t == "(":
+            depth += 1
+        elif t == ")":
+            depth -= 1
+            if depth < 0:
+                break
+        else:
+            operand_next = t.lower() in _RANK
+        if not operand_next and not depth:
+            end = k + 1
+    return to_postfix(tokens[:end]) if end else None
+
+
 def read_expression(raw: str) -> frozenset[frozenset[str]] | None:
-    """Choices of the longest readable start: prose may follow the expression on its line."""
-    tokens = _TOKEN.findall(raw)[:64]
-    last = next((i for i, t in enumerate(tokens) if i and t != ")" and t.lower() not in _RANK and tokens[i - 1].lower() not in _RANK and tokens[i - 1] != "("), len(tokens))
-    for end in range(last, 0, -1):
-        postfix = to_postfix(tokens[:end])
-        if postfix:
-            return choices(postfix)
-    return None
+    """Choices of the longest readable start."""
+    postfix = readable_start(raw)
+    return choices(postfix) if postfix else None
 
 
 def label_of(identifier: str) -> str:
@@ -150,11 +184,12 @@ def look(text: str | None) -> tuple:
     n_tags = n_choices = 0
     if tagged:
         for m in _TAG.finditer(text):
-            found = read_expression(m[1])
-            if found:
+            postfix = readable_start(m[1])
+            if postfix:
+                names, ways = operands(postfix)
                 n_tags += 1
-                n_choices += len(found)
-                labels |= {label_of(x) for choice in found for x in choice}
+                n_choices = min(n_choices + ways, MOST)
+                labels |= {label_of(x) for x in names}
     base_labels = {label for _, label in base}
     starts = [w for w, _ in base]
     evidence = len(base) + more + 3 * n_tags
