@@ -90,6 +90,31 @@ def test_random_tokens_are_told_from_text(spark):
     assert not any(got[i] for i in range(len(keys), len(keys) + len(plain)))
 
 
+def test_every_shape_of_secret(spark):
+    rng = np.random.default_rng(4)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    lower = upper.lower()
+    key = lambda some, n: "".join(rng.choice(list(some), n))
+    shapes = {
+        "upper36": lambda: key(upper + digits, 32),
+        "uuid": lambda: "-".join(key("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "upper uuid": lambda: "-".join(key("0123456789ABCDEF", n) for n in (8, 4, 4, 4, 12)),
+        "prefixed": lambda: f"xoxb-{key(digits, 12)}-{key(digits, 12)}-{key(lower + digits, 24)}",
+        "decimal": lambda: key(digits, 22),  # 24 are a base pattern
+        "lower": lambda: key(lower, 32),
+        "upper": lambda: key(upper, 32),
+        "mixed": lambda: key(lower + upper, 32),
+        "parted": lambda: "_".join(key(lower + digits, 8) for _ in range(4)),
+    }
+    words = "the configuration of several international organisations requires considerable administrative attention".split()
+    plain = {"slug": lambda: "-".join(rng.choice(words, 6)), "joined": lambda: "".join(rng.choice(words, 6)), "rule": lambda: "-" * 40}
+    planted = [(name, f"see {make()} here") for name, make in (shapes | plain).items() for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(planted)], "doc_id long, text string")
+    found = Counter(planted[r.doc_id][0] for r in secrets.scan(df).collect() if r.n_random)
+    assert all(found[x] >= 26 for x in shapes), found
+    assert all(found[x] <= 3 for x in plain), found
+
+
 def test_redaction(odd, spark):
     out = secrets.redact(odd)
     assert out.columns == odd.columns

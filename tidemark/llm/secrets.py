@@ -1,13 +1,17 @@
 """Operator 2: secrets by fixed patterns and by a battery of randomness tests, in DataFrame functions only.
 
-Base patterns give the kinds ``assign``, ``access`` and ``hex``. The battery looks at long tokens with a digit,
-infers the encoding from the characters, and computes under "these symbols are uniform and independent": a
-chi-squared test of the symbol counts, a runs test about the middle of the alphabet and a lag-one serial
-correlation test, joined by Fisher's rule. Tokens that are *not* random are the discoveries of a
-Benjamini-Hochberg procedure run apart for each length class (longer tokens have more power, and their p-values
-would otherwise drive the cut for short ones). What is left is added as kind ``random``.
-
-The first pass makes one small table (length class x p-value bin, at most 4 x 401 rows); the second makes the spans.
+Base patterns give the kinds ``assign``, ``access`` and ``hex``. The battery looks at long tokens, infers the
+encoding from the characters (every token has one), and computes under "these symbols are uniform and independent": a
+chi-squared test of the symbol counts, a runs test about the middle of the alphabet, a lag-one serial
+correlation test and, where the alphabet has all letters, a chi-squared test of the common letters against the rest
+(which tells words), joined by Fisher's rule. ``-``, ``_``, ``+`` and ``/`` are symbols in tokens with a digit and both
+cases, else separators; a token with separators is tested whole without them, and by each long part between them.
+Tokens that are *not* random are the discoveries of a Benjamini-Hochberg procedure run apart for each length class
+(longer tokens have more power, and their p-values would otherwise drive the cut for short ones) and family (words
+would drive the cut for keys). What is left is added as kind ``random``, a part only if its whole is not.
+
+The first pass makes one small table (length class and family x p-value bin, at most 16 x 401 rows); the second makes
+the spans.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged row by row alike; a table without
 candidates has no cut; other columns of the input are ignored by ``scan`` and kept by ``redact``.
@@ -22,18 +26,29 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: A whole token of 20 or more symbols of which one is a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: A whole token of 20 or more symbols, and a part between separators.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+PART = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
+SYMBOLS = 20
 KINDS = ("assign", "access", "hex", "random")
-#: Encodings in the order in which they are tried: pattern, alphabet.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALL = _UPPER + _LOWER + _DIGITS + "+/"
+#: Encodings without separators, in the order in which they are tried: pattern, alphabet. All else is ``_ALL``.
 ENCODINGS = (
-    (r"^[0-9]+$", ""),
+    (r"^[0-9]+$", _DIGITS),
     (r"^[0-9a-f]+$", "0123456789abcdef"),
     (r"^[0-9A-F]+$", "0123456789ABCDEF"),
-    (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    (r"^[A-Z]+$", _UPPER),
+    (r"^[a-z]+$", _LOWER),
+    (r"^[A-Za-z]+$", _UPPER + _LOWER),
+    (r"^[A-Z2-7]+$", _UPPER + "234567"),
+    (r"^[0-9a-z]+$", _DIGITS + _LOWER),
+    (r"^[0-9A-Z]+$", _DIGITS + _UPPER),
 )
+#: Fixed value: the most common letters of running text.
+COMMON = "etaoinsr"
+#: Families of the procedure: tokens in one piece, letters alone, tokens with separators, parts of those.
+PIECE, LETTERS, SEPARATED, PARTS = range(4)
 FALSE_DISCOVERY_RATE = 0.05
 BINS = 400
 LENGTH_CLASSES = (32, 64, 128)
@@ -77,18 +92,32 @@ def _tail(z: Column) -> Column:
 
 
 def _p_values(candidates: Column) -> Column:
-    """array<struct<start, end, n, p>> of the candidates with an encoding. Each transform binds what the next uses."""
+    """array<struct<start, end, family, n, p>> of the candidates. Each transform binds what the next uses."""
 
     def encoded(c):
-        symbols = F.translate(F.rtrim(c.token, F.lit("=")), "-_", "+/")
-        letters = F.lit("")
+        body = F.rtrim(c.token, F.lit("="))
+        bare = F.translate(body, "-_+/", "")
+        whole = body.rlike("[0-9]") & body.rlike("[a-z]") & body.rlike("[A-Z]")
+        letters = F.lit(_ALL)
         for pattern, alphabet in reversed(ENCODINGS):
-            letters = F.when(symbols.rlike(pattern), F.lit(alphabet)).otherwise(letters)
-        return F.struct(c.start.alias("start"), c.end.alias("end"), symbols.alias("symbols"), letters.alias("letters"))
+            letters = F.when(bare.rlike(pattern), F.lit(alphabet)).otherwise(letters)
+        family = F.when(c.part, PARTS).when(whole, PIECE).when(bare != body, SEPARATED).when(bare.rlike("[0-9]"), PIECE).otherwise(LETTERS)
+        symbols = F.when(whole, F.translate(body, "-_", "+/")).otherwise(bare)
+        return F.struct(c.start.alias("start"), c.end.alias("end"), family.alias("family"), symbols.alias("symbols"), letters.alias("letters"))
 
     def coded(c):
         codes = F.transform(F.split(c.symbols, ""), lambda s: F.instr(c.letters, s) - 1)
-        return F.struct(c.start.alias("start"), c.end.alias("end"), F.length(c.letters).cast("double").alias("k"), codes.alias("codes"))
+        low = F.lower(c.symbols)
+        count = lambda some: (F.length(low) - F.length(F.translate(low, some, ""))).cast("double")
+        return F.struct(
+            c.start.alias("start"),
+            c.end.alias("end"),
+            c.family.alias("family"),
+            F.length(c.letters).cast("double").alias("k"),
+            count(_LOWER).alias("n_letters"),
+            count(COMMON).alias("n_common"),
+            codes.alias("codes"),
+        )
 
     def summed(c):
         total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -96,6 +125,9 @@ def _p_values(candidates: Column) -> Column:
         return F.struct(
             c.start.alias("start"),
             c.end.alias("end"),
+            c.family.alias("family"),
+            c.n_letters.alias("n_letters"),
+            c.n_common.alias("n_common"),
             c.k.alias("k"),
             F.size(c.codes).cast("double").alias("n"),
             c.codes.alias("codes"),
@@ -117,9 +149,13 @@ def _p_values(candidates: Column) -> Column:
 
     def correlated(c):
         total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        share = len(COMMON) / len(_LOWER)
         return F.struct(
             c.start.alias("start"),
             c.end.alias("end"),
+            c.family.alias("family"),
+            ((c.k >= 26) & (c.n_letters > 0)).alias("words"),
+            ((c.n_common - share * c.n_letters) / F.sqrt(share * (1 - share) * F.greatest(c.n_letters, F.lit(1.0)))).alias("z_words"),
             c.n.alias("n"),
             ((c.k / c.n * c.squares - c.n - (c.k - 1)) / F.sqrt(2 * (c.k - 1) * (1 - 1 / c.n))).alias("z_uniform"),
             (2 * c.high * (c.n - c.high) / c.n + 1).alias("mu"),
@@ -139,19 +175,25 @@ def _p_values(candidates: Column) -> Column:
         z_runs = F.when(spread > 0, (c.runs - c.mu) / F.sqrt(spread)).otherwise(40.0)
         z_serial = F.when(c.variation > 0, (c.lagged / c.variation + 1 / c.n) * F.sqrt(c.n)).otherwise(40.0)
         logs = [F.log(F.greatest(p, F.lit(1e-300))) for p in (_tail(c.z_uniform), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))]
-        return F.struct(c.start.alias("start"), c.end.alias("end"), c.n.alias("n"), (-(logs[0] + logs[1] + logs[2])).alias("x"))
+        words = F.when(c.words, F.log(F.greatest(_tail(c.z_words), F.lit(1e-300)))).otherwise(0.0)
+        x = -(logs[0] + logs[1] + logs[2] + words)
+        return F.struct(c.start.alias("start"), c.end.alias("end"), c.family.alias("family"), c.words.alias("words"), c.n.alias("n"), x.alias("x"))
 
     def joined(c):
-        # Fisher's rule for three tests: chi-squared with six degrees of freedom has a closed tail
-        p = F.exp(-c.x) * (1 + c.x + c.x * c.x / 2)
-        return F.struct(c.start.alias("start"), c.end.alias("end"), c.n.alias("n"), F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0)).alias("p"))
+        # Fisher's rule for three or four tests: chi-squared with six or eight degrees of freedom has a closed tail
+        p = F.exp(-c.x) * (1 + c.x + c.x * c.x / 2 + F.when(c.words, c.x * c.x * c.x / 6).otherwise(0.0))
+        return F.struct(c.start.alias("start"), c.end.alias("end"), c.family.alias("family"), c.n.alias("n"), F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0)).alias("p"))
 
-    out = F.filter(F.transform(candidates, encoded), lambda c: c.letters != "")
+    out = F.filter(F.transform(candidates, encoded), lambda c: F.length(c.symbols) >= SYMBOLS)
     for step in (coded, summed, correlated, tested, joined):
         out = F.transform(out, step)
     return out
 
 
+def _kind(c: Column) -> Column:
+    return c["family"] * (len(LENGTH_CLASSES) + 1) + _length_class(c["n"])
+
+
 def _length_class(n: Column) -> Column:
     out = F.lit(len(LENGTH_CLASSES))
     for i, limit in reversed(list(enumerate(LENGTH_CLASSES))):
@@ -165,16 +207,24 @@ def _bin(p: Column) -> Column:
 
 def _tested(docs: DataFrame) -> DataFrame:
     df = _placed(docs.withColumn("_text", F.coalesce("text", F.lit(""))), "_candidates", CANDIDATE)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,n:double,p:double>>")
-    return df.withColumn("_tested", F.when(F.size("_candidates") > 0, _p_values(F.col("_candidates"))).otherwise(empty)).drop("_candidates")
+    df = _placed(df, "_parts", PART)
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,family:int,n:double,p:double>>")
+    within = lambda x: F.exists(
+        "_candidates", lambda c: (c.start <= x.start) & (x.end <= c.end) & (F.length(F.rtrim(c.token, F.lit("="))) > F.length(x.token))
+    )
+    marked = lambda cs, part: F.transform(
+        cs, lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.token.alias("token"), F.lit(part).alias("part"))
+    )
+    candidates = F.concat(marked("_candidates", False), marked(F.filter("_parts", within), True))
+    return df.withColumn("_tested", F.when(F.size("_candidates") > 0, _p_values(candidates)).otherwise(empty)).drop("_candidates", "_parts")
 
 
 def fit_cuts(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
-    """Per length class the first p-value bin from which on a token counts as not random."""
+    """Per family and length class the first p-value bin from which on a token counts as not random."""
     bins = (
         _tested(docs.select("text"))
         .select(F.explode("_tested").alias("c"))
-        .groupBy(_length_class(F.col("c.n")).alias("kind"), _bin(F.col("c.p")).alias("bin"))
+        .groupBy(_kind(F.col("c")).alias("kind"), _bin(F.col("c.p")).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     below = F.sum("n").over(W.partitionBy("kind").orderBy(F.col("bin").desc()))
@@ -185,7 +235,7 @@ def fit_cuts(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> dict[int, i
         .groupBy("kind")
         .agg(F.min("bin").alias("cut"))
     )
-    return {r.kind: r.cut for r in cuts.collect()}  # one row per length class
+    return {r.kind: r.cut for r in cuts.collect()}  # one row per family and length class
 
 
 def with_spans(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
@@ -204,12 +254,15 @@ def with_spans(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
     def is_random(c):
         limit = F.lit(BINS + 1)
         for kind, first in sorted(cuts.items()):
-            limit = F.when(_length_class(c.n) == kind, F.lit(first)).otherwise(limit)
+            limit = F.when(_kind(c) == kind, F.lit(first)).otherwise(limit)
         free = ~F.exists("_base", lambda b: (b.start < c.end) & (c.start < b.end))
         return (_bin(c.p) < limit) & free
 
+    df = df.withColumn("_random", F.filter("_tested", is_random))
+    wholes = F.filter("_random", lambda c: c.family != PARTS)
+    new = lambda c: (c.family != PARTS) | ~F.exists(wholes, lambda w: (w.start <= c.start) & (c.end <= w.end))
     added = F.transform(
-        F.filter("_tested", is_random), lambda c: F.struct(c.start.alias("start"), F.lit(3).alias("kind"), c.end.alias("end"))
+        F.filter("_random", new), lambda c: F.struct(c.start.alias("start"), F.lit(3).alias("kind"), c.end.alias("end"))
     )
     return df.withColumn("_spans", F.array_sort(F.concat("_base", added)))
 
