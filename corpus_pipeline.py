@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, packing, secrets, simhash, toxicity
-from tidemark.llm.common import DOCUMENT_COLUMNS, cut, read
+from tidemark.llm.common import DOCUMENT_COLUMNS, read
+from tidemark.operators.lineage import shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +46,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; what a stage returns is written as Parquet in the shared folder and reread."""
     docs = read(spark, sf_dir, "documents")
-    cut(spark.range(1))  # a session without a checkpoint folder gets one
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    shared = shared_folder(spark)
     for name, stage in STAGES[:-1]:
         path = f"{shared}/corpus-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -49,4 +49,5 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    there = [importlib.util.find_spec(x) is not None for x in ("corpus_pipeline", "tidemark.llm")]
+    assert ("pipeline" in entry.queries()) == all(there)

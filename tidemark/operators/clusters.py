@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import cut
+
 DBSCAN_SCHEMA = "session_id long, message_id long, cluster long"
 #: Members of a session that are compared at once; distances are made in blocks of rows, never as a whole matrix.
 BLOCK = 512
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the checkpoint folder that all executors share; sessions without one (tests) get their own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for the ends of undirected edges (u, v)."""
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
