@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.operators.lineage import cut  # noqa: F401  the operators take it from here
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,20 +26,3 @@ def word_bytes(text: str | None) -> list[bytes]:
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that all executors share and reads it back from there.
-
-    The folder is ``spark.checkpoint.dir``; only a session without it (tests) gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint()
-
-
-def mix(*cols):
-    """A non-negative 63-bit hash."""
-    return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
