@@ -5,13 +5,16 @@ can move without missing an occurrence; where it says 0, the bucket of that suff
 holds the patterns that direct comparison confirms. Patterns are the 10-word windows of the items, and the whole
 item where it is shorter; each length has tables of its own.
 
-The benchmark travels to the tasks in blocks of at most ``BLOCK_WINDOWS`` windows (its count is checked first); more
-windows mean more passes over the same documents, with the hits so far checkpointed between them, so that driver and
-tasks hold the tables of one block at a time.
+The benchmark travels to the tasks as pairs (window, item) in blocks of at most ``BLOCK_WINDOWS``: pairs, not items, are
+dealt by hash, and the blocks are counted before the first one is fetched, so neither a huge item nor a window that many
+items share makes a block larger. More pairs mean more passes over the same documents, with the hits so far checkpointed
+between them, so that driver and tasks hold the tables of one block at a time. A worker builds the tables of a block once.
+
+A document carries the merged intervals of its hit words and the distinct items, not their product.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no window; an empty
 benchmark hits nothing; items that share a window are all told; rows that repeat an item_id count as one item;
-repeated documents are judged row by row; other columns are kept by ``flag`` and ignored by ``report``.
+repeated documents are judged row by row; other columns are kept by ``with_hits`` and ignored by ``report``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ from tidemark.llm.common import cut, word_bytes
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
 
-_HITS = "n_words bigint, at array<int>, len array<int>, item array<string>"
+_HITS = "n_words bigint, at array<int>, end array<int>, item array<string>"
 
 
 class WuManber:
@@ -69,53 +73,92 @@ def windows(words: list[bytes], width: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
 
 
-def tables(items: list[tuple[str, str | None]]) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text in items:
-        for w in windows(word_bytes(text)):
-            if item not in by_length[len(w)][w]:
-                by_length[len(w)][w].append(item)
-    return [WuManber(dict(p), n) for n, p in sorted(by_length.items())]
+class Block:
+    """Pairs of a window (words with one space between them) and an item; the tables are made where they are used, once."""
 
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.pairs, self.made = pairs, None
 
-def _finder(spark, items: list[tuple[str, str | None]]):
-    shared = spark.sparkContext.broadcast(items)
+    def tables(self) -> list[WuManber]:
+        if self.made is None:
+            by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
+            for window, item in self.pairs:
+                words = tuple(window.encode("utf-8", "surrogatepass").split(b" "))
+                by_length[len(words)][words].append(item)
+            self.made = [WuManber(dict(p), n) for n, p in sorted(by_length.items())]
+        return self.made
 
-    def hits(text: str | None, searches: list[WuManber]) -> tuple:
+    def hits(self, text: str | None) -> tuple[int, list[int], list[int], list[str]]:
+        """Number of words, starts and ends of the merged intervals of hit words, and the distinct items."""
         words = word_bytes(text)
-        found = [(start, s.length, x) for s in searches for start, p in s.find(words) for x in s.items[p]]
-        return len(words), *([x[k] for x in found] for k in range(3))
+        spans, windows_ = set(), set()
+        for search in self.tables():
+            for at, window in search.find(words):
+                spans.add((at, at + search.length))
+                windows_.add((search.length, window))
+        items = {search.length: search.items for search in self.tables()}
+        starts, ends = [], []
+        for at, end in sorted(spans):
+            if ends and at <= ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(at)
+                ends.append(end)
+        return len(words), starts, ends, sorted({x for n, w in windows_ for x in items[n][w]})
+
+
+def _finder(spark, block: Block):
+    shared = spark.sparkContext.broadcast(block)
 
     @F.pandas_udf(_HITS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        searches = tables(shared.value)
-        for texts in batches:
-            yield pd.DataFrame([hits(t, searches) for t in texts], columns=["n_words", "at", "len", "item"])
+    def find(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.hits(t) for t in texts], columns=["n_words", "at", "end", "item"])
 
     return find
 
 
-def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size; each block is fetched by itself, when its turn comes."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
-    total = items.agg(F.sum(words)).first()[0] or 0
+def pairs_of(benchmark: DataFrame) -> DataFrame:
+    """window, item: each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                told = sorted({b" ".join(w).decode("utf-8", "surrogatepass") for w in windows(word_bytes(text))})
+                for at in range(0, len(told), 10_000):
+                    some = told[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([item] * len(some), pa.string())], names=["window", "item"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string"))
+    return items.mapInArrow(run, "window string, item string").distinct()
+
+
+def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[Block]:
+    """Blocks of bounded size; each is fetched by itself, when its turn comes. At least one, which may be empty."""
+    pairs = cut(pairs_of(benchmark))
+    total = pairs.count()
     n = max(1, -(-total // block_windows))
-    deal = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    while True:
+        deal = F.pmod(F.xxhash64("window", "item"), F.lit(n)).alias("block")
+        most = pairs.groupBy(deal).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= block_windows:
+            break
+        n += 1 + n // 8
     for k in range(n):
-        yield sorted(((r.item, r.text) for r in items.filter(deal == k).collect()), key=str)
+        yield Block(sorted((r.window, r.item) for r in pairs.filter(deal == k).collect()))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Adds ``_n_words`` and ``_hits``, array<struct<at, len, item>> sorted by place; keeps all columns."""
+    """Adds ``_n_words``, ``_hits`` (array<struct<at, end>> in order) and ``_items`` (distinct, in order); keeps all columns."""
     df = docs
-    for k, items in enumerate(_blocks(benchmark, block_windows)):
+    for k, block in enumerate(_blocks(benchmark, block_windows)):
         if k:
             df = cut(df)
-        df = df.withColumn("_part", _finder(docs.sparkSession, items)("text"))
-        hits = F.arrays_zip(F.col("_part.at").alias("at"), F.col("_part.len").alias("len"), F.col("_part.item").alias("item"))
-        df = df.withColumn("_hits", F.concat("_hits", hits) if k else hits).withColumn("_n_words", F.col("_part.n_words")).drop("_part")
-    return df.withColumn("_hits", F.array_sort("_hits"))
+        df = df.withColumn("_part", _finder(docs.sparkSession, block)("text"))
+        hits = F.arrays_zip(F.col("_part.at").alias("at"), F.col("_part.end").alias("end"))
+        df = df.withColumn("_hits", F.concat("_hits", hits) if k else hits)
+        df = df.withColumn("_items", F.array_union("_items", "_part.item") if k else F.col("_part.item"))
+        df = df.withColumn("_n_words", F.col("_part.n_words")).drop("_part")
+    return df.withColumn("_hits", F.array_sort("_hits")).withColumn("_items", F.array_sort("_items"))
 
 
 def _covered(hits: str):
@@ -124,8 +167,8 @@ def _covered(hits: str):
         hits,
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
         lambda a, x: F.struct(
-            F.greatest(a.end, x["at"] + x["len"]).alias("end"),
-            (a.n + F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(a.end, x["at"]))).alias("n"),
+            F.greatest(a.end, x.end).alias("end"),
+            (a.n + F.greatest(F.lit(0), x.end - F.greatest(a.end, x["at"]))).alias("n"),
         ),
         lambda a: a.n,
     )
@@ -134,8 +177,7 @@ def _covered(hits: str):
 def report(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per input row."""
     df = with_hits(docs.select("doc_id", "text"), benchmark, block_windows)
-    items = F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item"])))
-    df = df.select("doc_id", F.col("_n_words").alias("n_words"), _covered("_hits").alias("n_hit"), items.alias("items"))
+    df = df.select("doc_id", F.col("_n_words").alias("n_words"), _covered("_hits").alias("n_hit"), F.col("_items").alias("items"))
     return df.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -1,9 +1,11 @@
 """Operator 3: licence notices by Aho-Corasick, and licence expressions by a shunting-yard parser.
 
 One automaton over the word sequence of a text (lower-cased A-Z, words joined by single spaces) finds the three base
-phrases, further notice phrases and the identifier tag. Behind a tag stands an expression with ``and``, ``or``,
-``with`` and parentheses; its longest readable start is read from the raw text, at any length. ``n_choices`` counts the
-ways to take one side of every ``or`` (a sum for ``or``, a product for ``and``; a repeated licence counts each time).
+phrases, further notice phrases and the identifier tag. Where the automaton has found a tag and a colon follows, an
+expression with ``and``, ``or``, ``with`` and parentheses is read from the raw text, to the end of the line and at any
+length. Operands are known identifiers: a name of ``FAMILIES``, a version and ``only``, ``or-later`` or ``+``, or a
+``LicenseRef-``; the longest start that is an expression counts, so prose behind it is left out. ``n_choices`` counts
+the ways to take one side of every ``or`` (a sum for ``or``, a product for ``and``; a repeated licence counts each time).
 
 Score: 0 without evidence, else 1 - 0.5 ** (places + 3 * readable tags): more evidence, closer to 1.
 
@@ -39,11 +41,20 @@ NOTICES = {
     "unlicense": "public-domain",
 }
 TAG = "spdx license identifier"
-_TAG = re.compile(r"(?i)spdx-license-identifier:[ \t]*([A-Za-z0-9.+\-() \t]*)")
+_EXPRESSION = re.compile(r"[ \t]*:[ \t]*([A-Za-z0-9.+\-() \t]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
-#: Identifier prefixes and their labels.
-FAMILIES = (("mit", "mit"), ("apache", "apache"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"),
-            ("mpl", "mpl"), ("cc", "cc"), ("isc", "isc"), ("unlicense", "public-domain"))
+#: Words of the raw text, as the automaton counts them.
+_RAW_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Names of licences in identifiers, and the labels of those that have a notice.
+FAMILIES = {
+    "mit": "mit", "mit-0": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl", "bsd": "bsd", "0bsd": "bsd",
+    "mpl": "mpl", "cc0": "cc", "cc-by": "cc", "cc-by-sa": "cc", "cc-by-nc": "cc", "cc-by-nd": "cc", "cc-by-nc-sa": "cc", "cc-by-nc-nd": "cc",
+    "isc": "isc", "unlicense": "public-domain", "zlib": "zlib", "epl": "epl", "eupl": "eupl", "cddl": "cddl", "cpl": "cpl", "bsl": "bsl",
+    "artistic": "artistic", "wtfpl": "wtfpl", "python": "python", "psf": "psf", "openssl": "openssl", "ofl": "ofl", "postgresql": "postgresql",
+    "ncsa": "ncsa", "x11": "x11", "w3c": "w3c", "unicode": "unicode", "afl": "afl", "osl": "osl", "vim": "vim", "ruby": "ruby", "ms-pl": "ms-pl",
+}
+_IDENTIFIER = re.compile(r"(?:licenseref|documentref)-[a-z0-9.\-]+|(%s)(?:-v?[0-9][a-z0-9.]*(?:-[a-z0-9.]+)*?)?(?:-only|-or-later|\+)?" % "|".join(sorted(map(re.escape, FAMILIES), key=len, reverse=True)))
+_EXCEPTION = re.compile(r"[a-z0-9.\-]*exception[a-z0-9.\-]*|llgpl|swi-exception|[a-z]+-linking")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, n_tags long, n_choices long, score double"
@@ -121,13 +132,14 @@ def operands(postfix: list[str]) -> tuple[set[str], int]:
 
 
 def readable_start(raw: str) -> list[str] | None:
-    """The longest start that is an expression, as postfix: prose may follow the expression on its line."""
+    """The longest start that is an expression of known names, as postfix: prose may follow the expression on its line."""
     tokens = _TOKEN.findall(raw)
     end = depth = 0
-    operand_next = True
+    operand_next, names = True, _IDENTIFIER
     for k, t in enumerate(tokens):
+        low = t.lower()
         # what needs an operand before it stands wrong where one is due, and the other way round
-        if (t == ")" or t.lower() in _RANK) == operand_next:
+        if (t == ")" or low in _RANK) == operand_next:
             break
         if t == "(":
             depth += 1
@@ -135,8 +147,12 @@ def readable_start(raw: str) -> list[str] | None:
             depth -= 1
             if depth < 0:
                 break
+        elif low in _RANK:
+            operand_next, names = True, _EXCEPTION if low == "with" else _IDENTIFIER
+        elif names.fullmatch(low):
+            operand_next = False
         else:
-            operand_next = t.lower() in _RANK
+            break
         if not operand_next and not depth:
             end = k + 1
     return to_postfix(tokens[:end]) if end else None
@@ -149,7 +165,8 @@ def read_expression(raw: str) -> frozenset[frozenset[str]] | None:
 
 
 def label_of(identifier: str) -> str:
-    return next((label for prefix, label in FAMILIES if identifier.startswith(prefix)), identifier)
+    name = _IDENTIFIER.fullmatch(identifier)
+    return FAMILIES[name[1]] if name and name[1] else identifier
 
 
 @lru_cache(maxsize=1)
@@ -167,24 +184,27 @@ def look(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, n_tags, n_choices, score."""
     words = word_bytes(text)
     joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    base, labels, more, tagged = [], set(), 0, False
+    base, labels, more, tags = [], set(), 0, []
     word = at = 0
     for end, phrase in _automaton().iter(joined):
         start = end - len(phrase) - 1
-        if phrase in BASE:
+        if phrase in BASE or phrase == TAG:
             # ends grow, but a longer phrase may start before the last one that was counted
             word = word + joined.count(" ", at, start) if start >= at else word - joined.count(" ", start, at)
             at = start
+        if phrase in BASE:
             base.append((word, BASE[phrase]))
         elif phrase == TAG:
-            tagged = True
+            tags.append(word + TAG.count(" "))
         else:
             more += 1
             labels.add(NOTICES[phrase])
     n_tags = n_choices = 0
-    if tagged:
-        for m in _TAG.finditer(text):
-            postfix = readable_start(m[1])
+    if tags:
+        ends = [m.end() for m in _RAW_WORD.finditer(text)]
+        for last in tags:
+            found = _EXPRESSION.match(text, ends[last])
+            postfix = readable_start(found[1]) if found else None
             if postfix:
                 names, ways = operands(postfix)
                 n_tags += 1

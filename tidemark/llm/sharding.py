@@ -1,11 +1,11 @@
 """Operator 1: a reproducible shuffle into shards by a Feistel permutation of global row numbers.
 
-Rows are numbered 0..n-1 in the order (bucket, doc_id, size, crc), where the bucket is
-``pmod(doc_id, buckets)``; no task sees more than its buckets, and the bucket offsets are at most ``buckets``
-numbers. A row's permuted number p gives shard ``p % shards`` and slot ``p // shards``, so shard sizes differ by
+Rows are numbered 0..n-1 in the order (bucket, doc_id, size, crc), where the bucket is a hash of the three, so ids with
+a stride or without a value spread like any others; no task sees more than its buckets, and the bucket offsets are at
+most ``buckets`` numbers. A row's permuted number p gives shard ``p % shards`` and slot ``p // shards``, so shard sizes differ by
 one row at most (law ``rows``), slots have no gaps, and ``row_number`` computes the way back.
 
-Defined cases: a null text has size 1 and the CRC of no bytes; a null doc_id is numbered in bucket 0, first; rows
+Defined cases: a null text has size 1 and the CRC of no bytes; a null doc_id comes first in its bucket; rows
 that agree in doc_id, size and CRC are counted before the shuffle and get consecutive numbers; an empty table
 gives no rows; other columns of the input are ignored.
 """
@@ -69,7 +69,7 @@ def numbered(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         )
-        .withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
         .groupBy("bucket", "doc_id", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("copies"))
     )

@@ -1,21 +1,23 @@
 """Operator 6: toxicity by weak supervision.
 
-1. Terms (words, and their first four and five letters) are mined from a bounded sample of labelled training rows:
-   those found far more often in toxic documents.
-2. Voters: the strongest terms dealt into lexicon voters, a fixed word list, and pattern voters. Each votes toxic (1),
-   clean (-1) or abstains (0) on a text.
-3. A generative label model: votes of all documents are counted by pattern (the voters are a fixed few, so the table
-   is small); expectation-maximisation, started from the labelled rows, estimates what each voter does on toxic and on
-   clean texts. Correlations of the voters given the class, from the same table, temper the weight of voters that
-   repeat each other.
-4. A linear (logistic) classifier is trained on the posterior labels of the sample, in which a row's label is one more
-   voter, and scores every document.
-
-Bounds: ``FIT_ROWS`` labelled rows are fitted, chosen by a hash of doc_id; ``TERMS`` terms are kept. Labels are learned
-only from rows with ``crc32(doc_id) % 5 <> 0``. Scores see nothing but the text.
+1. Terms are mined from a bounded sample of labelled training rows: words, stems (first four and five letters), and
+   stems that two or more different words of a document share; all that are found far more often in toxic documents.
+2. Voters: the mined terms dealt into lexicon voters by strength, one fixed word list per language, and voters on patterns of the
+   text (stems, several terms, density, repetition, shouting, absence). Each votes toxic (1), clean (-1) or abstains (0).
+3. A generative label model: votes of all documents are counted by pattern; expectation-maximisation, started from the
+   labelled rows, estimates what each voter does on toxic and on clean texts. Correlations of the voters given the
+   class, from the same table, temper the weight of voters that repeat each other. Labels only fix what the two classes
+   mean: the posterior of a document comes from its votes.
+4. A linear (logistic) classifier is trained on those posteriors, over a draw of all documents, and scores every one.
+
+One pass makes votes and features of all documents, a few numbers each; what follows reads those.
+
+Bounds: ``FIT_ROWS`` labelled rows are mined, chosen by a hash of doc_id, and as many documents are drawn for the
+classifier, beside the labelled ones. A pattern is a subset of a fixed few voters, so their table has a bound whatever
+the corpus. Labels are learned only from rows with ``crc32(doc_id) % 5 <> 0``. Scores see nothing but the text.
 
 Defined cases: null and empty texts are scored (no votes but the clean ones); null labels and doc_ids don't train;
-a doc_id with several labels is toxic if one of them is; without labels of both classes the fixed word list and
+a doc_id with several labels is toxic if one of them is; without labels of both classes the fixed word lists and
 default accuracies decide; an empty table gives no rows; other columns are ignored by ``score``, kept by ``reject``.
 """
 
@@ -33,31 +35,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut, word_bytes
+
 FOLDS = 5
 FIT_ROWS = 20_000
-TERMS = 200
 LEXICON_VOTERS = 6
-MIN_DOCS = 4
+STEMS = (4, 5)
+#: A mined term stands in so many toxic documents of the sample, and in this share of them; copies of one don't make a term.
+MIN_DOCS, MIN_SHARE = 4, 0.03
 #: A mined term must raise the log odds of toxic by so much.
 MIN_ODDS = 3.0
+#: Strength of a word of the fixed lists that wasn't mined.
+LISTED = 2.0
 PSEUDO_DOCS = 5.0
 EM_ROUNDS = 25
-#: Common English insults.
-INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb filth vermin imbecile".split())
+KNOWN_WORDS = 1_000_000
+#: Common insults of four languages.
+INSULTS = {
+    "en": "idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb filth vermin imbecile",
+    "de": "idiot trottel dumm abschaum versager müll erbärmlich wertlos widerlich depp blöd dreck ungeziefer schwachkopf",
+    "fr": "idiot crétin stupide ordure raté déchet pathétique minable dégoûtant clown abruti crasse vermine imbécile",
+    "es": "idiota cretino estúpido escoria perdedor basura patético inútil asqueroso payaso tonto mugre alimaña imbécil",
+}
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SHOUT = re.compile(r"[A-Z]{3,}!!|!!!")
+_LISTS = {w: tuple(k for k, own in enumerate(INSULTS.values()) if w in own.split()) for own in INSULTS.values() for w in own.split()}
+
+
+def stems(word: str) -> list[str]:
+    """``foo*``: a stem leaves two letters or more."""
+    return [word[:n] + "*" for n in STEMS if len(word) > n + 1]
+
+
+def words_of(distinct: set[bytes]) -> set[str]:
+    return set(_WORD.findall(b" ".join(distinct).decode("utf-8", "surrogatepass").lower()))
+
+
+def terms(text: str | None) -> set[str]:
+    """Words, stems, and with one more star the stems of several words."""
+    words = words_of(set(word_bytes(text)))
+    found = Counter(x for w in words for x in stems(w))
+    return words | found.keys() | {x + "*" for x, n in found.items() if n > 1}
+
 
+class Wanted:
+    """Which of some terms stand in a text; the words met so far are kept with what they may name."""
 
-def terms(text: str | None) -> Counter:
-    """Words of the lower-cased text and their prefixes (``foo*``), with counts."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > 5:
-            out[w[:4] + "*"] += n
-            out[w[:5] + "*"] += n
-    return out
+    def __init__(self, names: frozenset[str]):
+        self.names = names
+        self.known: dict[str, tuple[tuple[str, ...], tuple[str, ...]] | None] = {}
+
+    def _meet(self, word: str):
+        parts = stems(word)
+        alone = tuple(x for x in (word, *parts) if x in self.names)
+        shared = tuple(x + "*" for x in parts if x + "*" in self.names)
+        return (alone, shared) if alone or shared else None
+
+    def __call__(self, text: str | None) -> set[str]:
+        out, held = set(), Counter()
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {}
+        for w in words_of(set(word_bytes(text))):
+            if w not in self.known:
+                self.known[w] = self._meet(w)
+            named = self.known[w]
+            if named:
+                out.update(named[0])
+                held.update(named[1])
+        return out | {x for x, n in held.items() if n > 1}
 
 
 @dataclass
@@ -65,52 +110,84 @@ class Model:
     strength: dict[str, float] = field(default_factory=dict)  # log odds of a mined term
     voter: dict[str, int] = field(default_factory=dict)  # term -> lexicon voter
     weights: list[float] = field(default_factory=list)
+    # words met so far, and what is known of the telling ones: strength, voters, lists, stems that tell if shared
+    met: set[bytes] = field(default_factory=set, repr=False)
+    telling: dict[bytes, tuple[float, tuple[int, ...], tuple[int, ...], tuple[str, ...]]] = field(default_factory=dict, repr=False)
+
+    def _meet(self, words: set[bytes]) -> None:
+        if len(self.met) > KNOWN_WORDS:
+            self.met, self.telling = set(), {}
+        starts = {k.rstrip("*") for k in self.strength}  # of stems, and whole words
+        for raw in words:
+            for w in _WORD.findall(raw.decode("utf-8", "surrogatepass").lower()):
+                lists = _LISTS.get(w, ())
+                if not lists and w not in starts and all(w[:n] not in starts for n in STEMS):
+                    continue
+                parts = stems(w)
+                mined = [k for k in (w, *parts) if k in self.strength]
+                shared = tuple(x + "*" for x in parts if x + "*" in self.strength)
+                if mined or lists or shared:
+                    own = max([self.strength[k] for k in mined] + [LISTED] * bool(lists), default=0.0)
+                    self.telling[raw] = own, tuple({self.voter[k] for k in mined}), lists, shared
+        self.met |= words
 
     def look(self, text: str | None) -> tuple[tuple[int, ...], list[float]]:
         """Votes and features of a text."""
         text = text or ""
-        words = Counter(_WORD.findall(text.lower()))
-        total = sum(words.values())
-        hit = [0] * LEXICON_VOTERS
-        prefixes, strength, best, hits, distinct = 0, 0.0, 0.0, 0, 0
-        for w, n in words.items():
-            keys = (w, w[:4] + "*", w[:5] + "*") if len(w) > 5 else (w,)
-            found = 0.0
-            for key in keys:
-                s = self.strength.get(key)
-                if s is not None:
-                    hit[self.voter[key]] += 1
-                    prefixes += key[-1] == "*"
-                    found = max(found, s)
-            if found:
-                hits, distinct, strength, best = hits + n, distinct + 1, strength + found, max(best, found)
-        insults = sum(words[w] for w in INSULTS)
-        shouts = len(_SHOUT.findall(text))
+        words = word_bytes(text)
+        distinct, total = set(words), len(words)
+        new = distinct - self.met
+        if new:
+            self._meet(new)
+        found: dict[bytes, float] = {}
+        lexicon, listed = [0] * LEXICON_VOTERS, [0] * len(INSULTS)
+        several = 0
+        maybe = distinct & self.telling.keys()
+        if maybe:
+            held = Counter(x for w in maybe for x in self.telling[w][3])
+            for w in maybe:
+                own, voters, lists, shared = self.telling[w]
+                for x in shared:
+                    if held[x] > 1:
+                        own, voters, several = max(own, self.strength[x]), (*voters, self.voter[x]), several + 1
+                for k in voters:
+                    lexicon[k] = 1
+                for k in lists:
+                    listed[k] = 1
+                if own:
+                    found[w] = own
+        counts = Counter(w for w in words if w in found) if found else {}
+        hits, most = sum(counts.values()), max(counts.values(), default=0)
+        best, strength = max(found.values(), default=0.0), sum(sorted(found.values()))
+        shouts = text.count("!!")
         votes = (
-            *(1 if h else 0 for h in hit),
-            1 if insults else 0,
-            1 if distinct >= 2 else 0,
-            1 if hits * 200 > total and hits else 0,
-            1 if shouts * 20 > total else 0,
-            -1 if not hits and not insults else 0,
-            -1 if total >= 100 and hits + insults < 2 else 0,
+            *lexicon,
+            *listed,
+            int(several > 0),
+            int(len(found) >= 2),
+            int(len(found) >= 3),
+            int(hits * 200 > total and hits > 0),
+            int(hits * 50 > total and hits > 0),
+            int(most >= 2),
+            int(shouts * 20 > total),
+            -int(not found),
+            -int(total >= 100 and len(found) < 2),
         )
         features = [
             1.0,
             *map(float, votes),
             math.log1p(hits),
-            math.log1p(distinct),
-            math.log1p(insults),
+            math.log1p(len(found)),
             best,
             min(strength, 20.0) / 5,
-            math.log1p(prefixes),
+            math.log1p(several),
             100.0 * hits / (total + 20),
             math.log1p(total) / 5,
         ]
         return votes, features
 
-    def score(self, text: str | None) -> float:
-        x = sum(a * b for a, b in zip(self.weights, self.look(text)[1]))
+    def score(self, features: list[float]) -> float:
+        x = sum(a * b for a, b in zip(self.weights, features))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
@@ -118,70 +195,76 @@ def remainder(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most ``rows`` labelled training documents; the choice is by hash, so it repeats."""
-    chosen = (
+def chosen(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, toxic of at most ``rows`` labelled training documents; the choice is by hash, so it repeats."""
+    return (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def mine(labelled: DataFrame, keep: int = TERMS) -> tuple[dict[str, float], int, int]:
-    """Log odds of the ``keep`` terms that tell toxic documents best, and the sizes of the classes."""
+def _counted(texts: DataFrame, which) -> DataFrame:
+    """term, n: in how many texts a term stands, of those that ``which(text)`` gives; the null term counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = ({}, {})
-            ys = [int(y == 1) for y in b.column("toxic").to_pylist()]
-            for text, y in zip(b.column("text").to_pylist(), ys):
-                for t in terms(text):
-                    seen[y][t] = seen[y].get(t, 0) + 1
-            names = list({*seen[0], *seen[1]})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *names], pa.string())]
-                + [pa.array([ys.count(y), *(seen[y].get(t, 0) for t in names)], pa.int64()) for y in (1, 0)],
-                names=["term", "pos", "neg"],
-            )
-
-    found = labelled.select("text", "toxic").mapInArrow(run, "term string, pos long, neg long")
-    found = found.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # the totals stand at the null term
-    best = found.filter(F.col("term").isNull() | ((F.col("pos") >= MIN_DOCS) & (F.col("pos") > F.col("neg"))))
-    size = F.when(F.col("term").isNull(), F.lit(1e18)).otherwise(F.col("pos") * F.col("pos") / (F.col("neg") + 1))
-    top = best.orderBy(size.desc(), "term").limit(keep + 1).collect()
-    n_pos = sum(r.pos for r in top if r.term is None)
-    n_neg = sum(r.neg for r in top if r.term is None)
-    base = n_pos / max(1, n_pos + n_neg)
+            seen: Counter = Counter()
+            for text in b.column("text").to_pylist():
+                seen.update(which(text))
+            terms = [None, *seen]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([b.num_rows, *seen.values()], pa.int64())], names=["term", "n"])
+
+    return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def mine(labelled: DataFrame) -> tuple[dict[str, float], int, int]:
+    """Log odds of all terms that tell toxic documents, and the sizes of the classes.
+
+    Toxic documents name the candidates; the others are searched for those alone.
+    """
+    toxic, clean = labelled.filter("toxic = 1"), labelled.filter("toxic <> 1")
+    found = cut(_counted(toxic, terms))
+    n_pos = found.filter("term IS NULL").agg(F.sum("n")).first()[0] or 0
+    least = max(MIN_DOCS, MIN_SHARE * n_pos)
+    # a toxic document's terms over MIN_SHARE at most
+    pos = {r.term: r.n for r in found.filter(F.col("term").isNotNull() & (F.col("n") >= least)).collect()}
+    shared = labelled.sparkSession.sparkContext.broadcast(Wanted(frozenset(pos)))
+    neg = {r.term: r.n for r in _counted(clean, lambda text: shared.value(text)).collect()}
+    n_neg = neg.pop(None, 0)
     odds = {}
-    for r in top:
-        if r.term is not None and n_neg:
+    if n_pos and n_neg:
+        base = n_pos / (n_pos + n_neg)
+        for t, n in pos.items():
             # precision, drawn towards the base rate, against the base rate
-            precision = (r.pos + PSEUDO_DOCS * base) / (r.pos + r.neg + PSEUDO_DOCS)
-            odds[r.term] = round(math.log(precision / (1 - precision)) - math.log(base / (1 - base)), 9)
+            precision = (n + PSEUDO_DOCS * base) / (n + neg.get(t, 0) + PSEUDO_DOCS)
+            odds[t] = round(math.log(precision / (1 - precision)) - math.log(base / (1 - base)), 9)
     return {t: s for t, s in odds.items() if s > MIN_ODDS}, n_pos, n_neg
 
 
-def patterns(docs: DataFrame, model: Model) -> list[tuple[tuple[int, ...], int]]:
-    """How many of all documents cast each pattern of votes."""
+def looks(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, votes (one sign each), features: one row per row, without the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = Counter(model_votes(shared.value, t) for t in b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["votes", "n"])
+            seen = [shared.value.look(t) for t in b.column("text").to_pylist()]
+            votes = ["".join("-0+"[v + 1] for v in votes) for votes, _ in seen]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(votes, pa.string()), pa.array([x for _, x in seen], pa.list_(pa.float64()))],
+                names=["doc_id", "votes", "features"],
+            )
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    return sorted((tuple("-0+".index(c) - 1 for c in r.votes), r.n) for r in rows.collect())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, votes string, features array<double>")
 
 
-def model_votes(model: Model, text: str | None) -> str:
-    return "".join("-0+"[v + 1] for v in model.look(text)[0])
+def _votes(signs: str) -> tuple[int, ...]:
+    return tuple("-0+".index(c) - 1 for c in signs)
 
 
 def label_model(table: list[tuple[tuple[int, ...], int]], seeds: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS):
-    """Posterior function of (votes, label or None) from the votes of all documents and the labelled seeds."""
+    """Posterior of votes, estimated from the votes of all documents; the labelled seeds fix the classes."""
     votes = np.array([v for v, _ in table])
     n = np.array([c for _, c in table], dtype=float)
     j = votes.shape[1]
@@ -195,7 +278,8 @@ def label_model(table: list[tuple[tuple[int, ...], int]], seeds: list[tuple[tupl
 
     seed_votes = np.array([v for v, _ in seeds])
     seed_y = np.array([y for _, y in seeds])
-    rate = rates(seed_votes, np.stack([seed_y == 0, seed_y == 1], axis=1).astype(float))
+    own = np.stack([seed_y == 0, seed_y == 1], axis=1).astype(float)
+    rate = rates(seed_votes, own)
     prior = math.log((seed_y.sum() + 1) / ((seed_y == 0).sum() + 1))
     temper = np.ones(j)
 
@@ -216,22 +300,10 @@ def label_model(table: list[tuple[tuple[int, ...], int]], seeds: list[tuple[tupl
             rho = np.maximum(rho, np.abs(cov / sd[:, None] / sd[None, :]))
         np.fill_diagonal(rho, 0)
         temper = 1 / (1 + (rho * (rho > 0.3)).sum(axis=1))
-        # the seeds anchor the classes
-        rate = rates(np.vstack([votes, seed_votes]), np.vstack([w, np.stack([seed_y == 0, seed_y == 1], axis=1).astype(float)]))
+        rate = rates(np.vstack([votes, seed_votes]), np.vstack([w, own]))
         prior = math.log((w[:, 1].sum() + 1) / (w[:, 0].sum() + 1))
 
-    # the label as a voter: how often it agrees with the posterior of the others
-    p = 1 / (1 + np.exp(-np.clip(odds(seed_votes), -60, 60)))
-    agree = float(np.clip(np.mean(np.where(seed_y == 1, p, 1 - p)), 0.6, 0.999))
-    label_odds = math.log(agree / (1 - agree)) + 2.0
-
-    def posterior(v, y=None):
-        x = odds(np.asarray(v))
-        if y is not None:
-            x = x + np.where(np.asarray(y) == 1, label_odds, -label_odds)
-        return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-    return posterior
+    return lambda v: 1 / (1 + np.exp(-np.clip(odds(np.asarray(v)), -60, 60)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -247,53 +319,54 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 2
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    labelled = sample(docs, labels, rows)
-    odds, n_pos, n_neg = mine(labelled)
+def targets(seen: DataFrame, sample: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and posteriors of the documents that the classifier is trained on; no label is among them."""
+    table = sorted((_votes(r.votes), r.n) for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in table)
+    labelled = seen.join(F.broadcast(sample), "doc_id")
+    drawn = seen.filter(F.pmod(F.xxhash64("doc_id", "votes"), F.lit(max(1, -(-total // rows)))) == 0).withColumn("toxic", F.lit(None).cast("int"))
+    # by hash again, so that ties of the draw can't lift the bound
+    drawn = drawn.orderBy(F.xxhash64("doc_id", "votes", "features")).limit(rows)
+    found = drawn.unionByName(labelled.select(drawn.columns)).collect()  # twice `rows` short rows at most
+    found.sort(key=lambda r: (r.votes, r.features, -1 if r.toxic is None else r.toxic))
+    seeds = [(_votes(r.votes), int(r.toxic == 1)) for r in found if r.toxic is not None]
+    posterior = label_model(table, seeds)
+    return np.array([r.features for r in found]), posterior([_votes(r.votes) for r in found])
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Model, DataFrame]:
+    """The model, and the looks of all documents."""
+    sample = chosen(labels, rows)
+    odds, n_pos, n_neg = mine(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     ranked = sorted(odds, key=lambda t: (-odds[t], t))
-    model = Model(strength=odds, voter={t: k % LEXICON_VOTERS for k, t in enumerate(ranked)})
-    for w in INSULTS:
-        model.strength.setdefault(w, 2.0)
-        model.voter.setdefault(w, len(w) % LEXICON_VOTERS)
-    if not n_pos or not n_neg:
-        size = len(model.look("")[1])
-        model.weights = [0.0] * size
-        model.weights[0], model.weights[1 + LEXICON_VOTERS] = -3.0, 5.0
-        return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("votes array<int>, features array<double>")
-    def look(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.look(t) for t in texts], columns=["votes", "features"])
-
-    # at most `rows` short vectors
-    seen = labelled.select("doc_id", "toxic", look("text").alias("x")).select("doc_id", "toxic", "x.*").collect()
-    seen.sort(key=lambda r: (r.doc_id, r.toxic, tuple(r.features)))
-    y = np.array([int(r.toxic == 1) for r in seen])
-    votes = [tuple(r.votes) for r in seen]
-    posterior = label_model(patterns(docs, model) or list(Counter(votes).items()), list(zip(votes, y.tolist())))
-    model.weights = logistic(np.array([r.features for r in seen]), posterior(votes, y)).tolist()
-    return model
-
-
-def scorer(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
-
-    return score
+    model = Model(strength=odds, voter={t: k * LEXICON_VOTERS // len(ranked) for k, t in enumerate(ranked)})
+    seen = cut(looks(docs, model))
+    if n_pos and n_neg:
+        weights = logistic(*targets(seen, sample, rows)).tolist()
+    else:
+        weights = [0.0] * len(model.look("")[1])
+        weights[0] = -3.0
+        weights[1 + LEXICON_VOTERS : 1 + LEXICON_VOTERS + len(INSULTS)] = [5.0] * len(INSULTS)
+    return Model(odds, model.voter, weights), seen
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
-    by = scorer(docs.sparkSession, fit(docs, labels))
-    df = docs.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), by(F.col("text").cast("string")).alias("score"))
+    model, seen = fit(docs, labels)
+    x = F.aggregate(F.zip_with("features", F.array(*map(F.lit, model.weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))))
+    df = seen.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), p.alias("score"))
     return df.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score under 0.5, with all their columns."""
-    by = scorer(docs.sparkSession, fit(docs, labels))
+    """The documents that score under 0.5, with all their columns: the texts are looked at once more where they stand."""
+    model, _ = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def by(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(shared.value.look(t)[1]) for t in texts], dtype="float64")
+
+    # the row travels as one struct, so its names can't clash with the ones used here
     return docs.select(F.struct("*").alias("row"), by(F.col("text").cast("string")).alias("score")).filter("score < 0.5").select("row.*")
