@@ -529,7 +529,7 @@ def test_search_ends_without_a_gaining_step(n, low, high):
 def test_token_counts(table, request):
     from tokenizers import Tokenizer, models
 
-    df = request.getfixturevalue(table).filter("length(text) < 50000 or text is null")
+    df = request.getfixturevalue(table)
     pieces = [("<unk>", -100.0), *tokens.vocabulary(tokens.vocabulary_path())]
     own = Tokenizer(models.Unigram([(p, s) for p, s in pieces], unk_id=0, byte_fallback=False))
     known = {}
@@ -541,7 +541,7 @@ def test_token_counts(table, request):
         for w in (t or "").split():
             if w not in known:
                 known[w] = len(own.encode(tokens.MARK + w, add_special_tokens=False).ids)
-                assert counter.count(w) == known[w], w
+                assert counter.counts([w, w]) == [known[w]] * 2, w
     expected = Counter((i, len(t or ""), len((t or "").split()), sum(known[w] for w in (t or "").split())) for i, t in pairs(df))
     assert rows_of(tokens.count(df), "doc_id", "n_chars", "n_words", "n_tokens") == expected
 
@@ -553,4 +553,18 @@ def test_ties():
     own = Tokenizer(models.Unigram([("<unk>", -3.0), *pieces], unk_id=0, byte_fallback=False))
     counter = tokens.Counter(pieces)
     for w in ("a", "b", "ab", "ba", "abab", "xa", "xxa", "axxb", "aabb"):
-        assert counter.count(w) == len(own.encode("▁" + w, add_special_tokens=False).ids), w
+        assert counter.counts([w]) == [len(own.encode("▁" + w, add_special_tokens=False).ids)], w
+
+
+def test_words_in_a_row_count_apart():
+    """Also words with the mark inside, unknown characters at either end, and one of 170,000 characters."""
+    from tokenizers import Tokenizer, models
+
+    pieces = tokens.vocabulary(tokens.vocabulary_path())
+    own = Tokenizer(models.Unigram([("<unk>", min(s for _, s in pieces)), *pieces], unk_id=0, byte_fallback=False))
+    counter = tokens.Counter(pieces)
+    rng = np.random.default_rng(8)
+    words = ["▁", "a▁b", "\u0378", "\u0378x\u0378", "the", "the▁", "▁the"] + ["".join(rng.choice(list("aeth▁\u0378é-"), 6)) for _ in range(500)]
+    assert counter.counts(words) == counter.counts(words[::-1])[::-1] == [len(own.encode("▁" + w, add_special_tokens=False).ids) for w in words]
+    long = "".join(rng.choice(list("aethin\u0378"), 170_000))
+    assert counter([[long, "the"], [], ["the"]]) == [len(own.encode("▁" + long, add_special_tokens=False).ids) + 1, 0, 1]

@@ -8,8 +8,16 @@ agrees under one of the 15 masks: no link is lost.
 Exact copies collapse into one fingerprint before the search. A bucket (mask, kept bits) with more than
 ``BUCKET_CAP`` fingerprints is not compared: its members differ only in the bits that the mask drops, and the same
 construction on those bits splits it further. Each level about halves the free bits (64, 30, 14, 6), so buckets end
-with at most 2**6 members: the cap costs no pair. A bucket gives a spanning star per component, not its pairs.
-Components then join by hooking to the smallest neighbour and jumping, with lineage cut each round.
+with at most 2**6 members: the cap costs no pair. A bucket gives a spanning tree per component in which no member has
+more than ``FAN`` others below it, not its pairs and no hub. Components then join by hooking to the smallest neighbour and
+jumping, with lineage cut each round.
+
+Rows get their component by fingerprint. A fingerprint of more than a ``SHARE`` of all rows (copies of one text, texts
+without words) would be one key of a join, but there are fewer than 1 / ``SHARE`` of those, so they travel by broadcast.
+
+``deduplicate`` doesn't shuffle the texts: rows that go, and keys with repeated rows, are marked in a Bloom filter of
+fixed size; what isn't marked stays where it stands, and only marked rows, few of them by mistake, meet the exact join.
+The filter only saves work: when it is full, more rows meet the join.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any other; repeated
 rows share a fingerprint; null doc_ids have a fingerprint but never name a component that has another id; an empty
@@ -22,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,6 +45,10 @@ RADIUS = 3
 BUCKET_CAP = 8192
 #: Shingles whose bits are added at once.
 CHUNK = 1 << 15
+FAN = 8
+SHARE = 1 / 1000
+#: The Bloom filter: 4 MB, three places for each key.
+BLOOM_WORDS, BLOOM_PLACES = 1 << 19, 3
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -80,26 +93,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _star(values) -> list[tuple[int, int]]:
-    """Edges (member, smallest of its component) of the graph of pairs within the radius in one bounded bucket."""
+def _tree(values) -> list[tuple[int, int]]:
+    """Edges of trees that span the components of the graph of pairs within the radius in one bounded bucket."""
     v = np.unique(np.asarray(values, dtype=np.int64).view(np.uint64))
-    root, out = np.full(len(v), -1), []
+    seen, out = np.zeros(len(v), dtype=bool), []
     for i in range(len(v)):
-        if root[i] >= 0:
+        if seen[i]:
             continue
-        root[i], todo = i, [i]
-        while todo:
-            near = np.bitwise_count(v ^ v[todo.pop()]) <= RADIUS
-            for j in np.flatnonzero(near & (root < 0)).tolist():
-                root[j] = i
-                todo.append(j)
-                out.append((int(v[j].view(np.int64)), int(v[i].view(np.int64))))
+        seen[i], members, at = True, [i], 0
+        while at < len(members):
+            near = np.flatnonzero((np.bitwise_count(v ^ v[members[at]]) <= RADIUS) & ~seen)
+            seen[near] = True
+            members += near.tolist()
+            at += 1
+        signed = v[members].view(np.int64).tolist()
+        out += [(signed[k], signed[(k - 1) // FAN]) for k in range(1, len(signed))]
     return out
 
 
-def _stars(buckets: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(buckets: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in buckets:
-        edges = [e for fps in b.column("fps").to_pylist() for e in _star(fps)]
+        edges = [e for fps in b.column("fps").to_pylist() for e in _tree(fps)]
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -123,7 +137,7 @@ def links(fps: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
         last = all(1 << free.bit_count() <= cap for free in paths.values())
         light = sized if last else sized.filter(F.col("n") <= cap)
         buckets = light.groupBy("path", "kept").agg(F.collect_list("fp").alias("fps"))
-        edges = buckets.select("fps").mapInArrow(_stars, "a long, b long")
+        edges = buckets.select("fps").mapInArrow(_trees, "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         if last:
             break
@@ -154,14 +168,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """doc_id, text_key, fp, root, component_id (the smallest doc_id reachable): one row per input row."""
+    """doc_id, text_key, fp, root, component_id (the smallest doc_id reachable), size (rows of the component): one row per input row."""
     rows = cut(fingerprints(docs))
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     classes = components(links(groups.select("fp"), cap))
     named = groups.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return rows.join(by_fp, "fp")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
+    by_fp = named.select("fp", "root", "n").join(least, "root").select("fp", "root", "component_id", "size", "n")
+    often = SHARE * (groups.agg(F.sum("n")).first()[0] or 0)
+    # fewer than 1 / SHARE fingerprints are that frequent
+    heavy, light = (by_fp.filter(c).drop("n") for c in (F.col("n") > often, F.col("n") <= often))
+    hot = F.broadcast(groups.filter(F.col("n") > often).select("fp"))
+    return rows.join(F.broadcast(heavy), "fp").unionByName(rows.join(hot, "fp", "left_anti").join(light, "fp"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -169,11 +187,60 @@ def report(docs: DataFrame) -> DataFrame:
     return linked(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _places(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Bit numbers of keys (signed 64-bit hashes) in the filter."""
+    k = key.astype(np.int64).view(np.uint64)
+    step = (k >> np.uint64(17)) | np.uint64(1)
+    for n in range(BLOOM_PLACES):
+        yield (k + np.uint64(n) * step) % np.uint64(64 * BLOOM_WORDS)
+
+
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """Filter of the column ``key``: one array of fixed size, whatever the number of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(64 * BLOOM_WORDS, dtype=bool)
+        for b in batches:
+            for place in _places(b.column("key").to_numpy()):
+                bits[place] = True
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+
+    out = np.zeros(BLOOM_WORDS, dtype=np.int64)
+    parts = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    for b in parts.toArrow().to_batches():  # at most BLOOM_WORDS rows
+        out[b.column("at").to_numpy()] = b.column("bits").to_numpy()
+    return out
+
+
+def _in_bloom(bloom: np.ndarray, spark):
+    shared = spark.sparkContext.broadcast(bloom)
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        found = np.ones(len(key), dtype=bool)
+        for place in _places(key.to_numpy()):
+            found &= (shared.value.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(found)
+
+    return maybe
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key")))
-    kept = linked(docs).groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.text_key")
-    place = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("text_key"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    rows = cut(linked(docs))
+    kept = rows.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")
+    first = kept.select(id_, "text_key")
+    key = F.xxhash64("id", "text_key").alias("key")
+    # where a component has several rows, all but one go
+    crowded = rows.filter("size > 1").select(id_, "text_key")
+    maybe = _in_bloom(_bloom(crowded.select(key)), docs.sparkSession)
     # the row travels as one struct, so its names can't clash with the ones used here
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), _text_key().alias("text_key")).select("row", *place)
-    return rows.join(kept.select(*place), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("row.*")
+    placed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), _text_key().alias("text_key")).select("row", id_, "text_key")
+    marked = placed.withColumn("marked", maybe(key))
+    rest = marked.filter("marked").drop("marked")
+    once = rest.join(first, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    return marked.filter("NOT marked").select("row.*").unionByName(once.select("row.*"))

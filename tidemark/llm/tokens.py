@@ -25,6 +25,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 64
+#: Characters of the rows whose new words are counted together.
+BLOCK = 4_000_000
 
 
 def vocabulary_path() -> str:
@@ -57,38 +59,54 @@ class Counter:
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
 
-    def count(self, word: str) -> int:
-        """Pieces of the best path through the marked word."""
-        text = MARK + word
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, found in self.matches.iter(text):
-            ends[end + 1].append(found)
-        best, pieces, loose = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for at in range(1, n + 1):
-            top, number, unknown = -math.inf, 0, False
-            single = False
-            for length, score in sorted(ends[at], reverse=True):  # the first start first
-                single |= length == 1
-                if best[at - length] + score > top:
-                    top, number, unknown = best[at - length] + score, pieces[at - length] + 1, False
-            if not single and best[at - 1] + self.unknown > top:
-                top, number, unknown = best[at - 1] + self.unknown, pieces[at - 1] + (not loose[at - 1]), True
-            best[at], pieces[at], loose[at] = top, number, unknown
-        return pieces[n]
-
-    def __call__(self, words: list[str]) -> int:
-        known, total = self.known, 0
+    def counts(self, words: list[str]) -> list[int]:
+        """Pieces of the best path through each marked word, for words in order: what a word shares with the one before
+        it in front is not worked out again.
+
+        The automaton tells the matches of one end together, the longest first, which is the order of the tie rule.
+        """
+        low, matches = self.unknown, self.matches
+        best, pieces, loose = [0.0], [0], [False]  # best score, pieces, "ends in unknown" up to each character
+        out, before = [], ""
         for w in words:
-            n = known.get(w)
-            if n is None:
-                n = self.count(w)
-                if len(w) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[w] = n
-            total += n
-        return total
+            text = MARK + w
+            n, keep = len(text), 0
+            for a, b in zip(text, before):
+                if a != b:
+                    break
+                keep += 1
+            before = text
+            best[keep + 1 :] = pieces[keep + 1 :] = loose[keep + 1 :] = [0] * (n - keep)
+            at, top, number, single = keep + 1, -math.inf, 0, False
+            for last, (length, score) in [m for m in matches.iter(text) if m[0] >= keep]:
+                while at <= last:  # no more matches end here
+                    if not single and best[at - 1] + low > top:
+                        top, number, loose[at] = best[at - 1] + low, pieces[at - 1] + (not loose[at - 1]), True
+                    best[at], pieces[at] = top, number
+                    at, top, number, single = at + 1, -math.inf, 0, False
+                x = best[at - length] + score
+                if x > top:
+                    top, number = x, pieces[at - length] + 1
+                if length == 1:
+                    single = True
+            while at <= n:
+                if not single and best[at - 1] + low > top:
+                    top, number, loose[at] = best[at - 1] + low, pieces[at - 1] + (not loose[at - 1]), True
+                best[at], pieces[at] = top, number
+                at, top, number, single = at + 1, -math.inf, 0, False
+            out.append(pieces[n])
+        return out
+
+    def __call__(self, rows: list[list[str]]) -> list[int]:
+        """Pieces of each row of words."""
+        known = self.known
+        if len(known) >= CACHED_WORDS:
+            known.clear()
+        found = [list(map(known.get, words)) for words in rows]
+        new = sorted({w for words, ns in zip(rows, found) if None in ns for w, n in zip(words, ns) if n is None})
+        learned = dict(zip(new, self.counts(new)))
+        known.update((w, n) for w, n in learned.items() if len(w) <= CACHED_LENGTH)
+        return [sum(ns) if None not in ns else sum([learned[w] if n is None else n for w, n in zip(words, ns)]) for words, ns in zip(rows, found)]
 
 
 @lru_cache(maxsize=1)
@@ -104,8 +122,16 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
         counter = _counter(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            words = [t.split() for t in texts]
-            rows = [list(map(len, texts)), list(map(len, words)), list(map(counter, words))]
+            n_words, n_tokens, waiting, held = [], [], [], 0
+            for t in [*texts, None]:
+                if waiting and (t is None or held + len(t) > BLOCK):
+                    n_words += map(len, waiting)
+                    n_tokens += counter(waiting)
+                    waiting, held = [], 0
+                if t is not None:
+                    waiting.append(t.split())
+                    held += len(t)
+            rows = [list(map(len, texts)), n_words, n_tokens]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(r, pa.int64()) for r in rows)], names=["doc_id", "n_chars", "n_words", "n_tokens"]
             )
