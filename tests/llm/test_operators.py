@@ -345,6 +345,78 @@ def test_odd_pages(page):
 
 def test_deep_page():
     assert html.visible_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert html.visible_text("<div>" * 5000 + "<div hidden>no</div>deep" + "</div>" * 5000 + "<p>after") == "deep\n\nafter"
+    deep = html.visible_text("<ul><li>x" * 300)
+    assert deep.split() == ["-", "x"] * 300 and max(map(len, deep.split("\n"))) < 100
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div style=display:none>no</div>yes", "yes"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>", "yes"),
+        ("<style>.x{display:none} #y,i{visibility:hidden} /* .z{display:none} */ p.x{display:block}</style><div class='a x'>no</div><b id=y>no</b><i>no</i><p class=x>yes<b class=z>!", "yes!"),
+        ("<style>@media print{.a{display:none}}.b{display:none!important}</style><b class=a>yes</b><b class=b style='display:inline'>no</b>", "yes"),
+        ("<span aria-hidden=true>yes</span>", "yes"),
+        ("a<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>b", "ax=2b"),
+        ("<svg><title>no</title><desc>no</desc><text>shown <tspan>too</tspan></text></svg>", "shown too"),
+        ("<details><summary>sum</summary>no</details><details open><summary>s</summary>yes</details><dialog>no</dialog>", "sum\ns\nyes"),
+        ("<ol start=3><li>c<li value=9>i<li>j</ol><ol reversed><li>b<li>a</ol>", "3. c\n9. i\n10. j\n\n2. b\n1. a"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab    c\nd  e  f"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>" + "x" * 60 + "<td>b<tr><td>c<td>d</table>", "x" * 60 + "  b\nc" + " " * 61 + "d"),
+        ("<table><tr><td>" + "x" * 300 + "<td>b<tr><td>c<td>d</table>", "x" * 300 + "\n" + " " * 202 + "b\nc" + " " * 201 + "d"),
+        ("<table><caption>cap</caption>stray<tr><td>a</table>", "cap\nstray\na"),
+        ('<a title="' + "y" * 100_000 + '">link</a><b title="open', "link"),
+        ("<pre> a\n  b<br>c</pre>", " a\n  b\nc"),
+    ],
+)
+def test_visibility_and_tables(page, text):
+    assert html.visible_text(page) == text
+
+
+def test_shown_words_equal_a_plain_parser():
+    """Words of well-formed random pages against a parser that only tracks what is hidden."""
+    from html.parser import HTMLParser
+
+    class Shown(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append("hidden" in dict(attrs) or "none" in (dict(attrs).get("style") or "") or tag in ("template", "noscript"))
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            if not any(self.open):
+                self.words += data.split()
+
+    rng = np.random.default_rng(9)
+
+    def page(depth):
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            kind = str(rng.choice(["div", "span", "p", "ul", "table", "template", "h2", "b", "word", "word", "word"]))
+            more = str(rng.choice(["", "", "", " hidden", " style='color:red;display:none'", " class=x"]))
+            if kind == "p":
+                out.append(f"<p{more}>w{rng.integers(10**6)}</p>")
+            elif kind == "word" or depth > 5:
+                out.append(f"w{rng.integers(10**6)} &amp; ")
+            elif kind == "ul":
+                out.append(f"<ul{more}>" + "".join(f"<li>{page(depth + 1)}</li>" for _ in range(rng.integers(1, 3))) + "</ul>")
+            elif kind == "table":
+                out.append(f"<table{more}><tr><td>{page(depth + 2)}</td><td>{page(depth + 2)}</td></tr></table>")
+            else:
+                out.append(f"<{kind}{more}>{page(depth + 1)}</{kind}>")
+        return "".join(out)
+
+    for _ in range(300):
+        text, plain = page(0), Shown()
+        plain.feed(text)
+        assert [w for w in html.visible_text(text).split() if w not in "-/"] == plain.words, text
 
 
 def test_pages_keep_their_words(spark, sf_dir):

@@ -1,19 +1,26 @@
 """Operator 7: the visible text of HTML pages as a reader sees it laid out.
 
 A small tree builder closes what HTML lets authors leave open (list items, paragraphs, table parts, options, terms) and
-ignores end tags that match nothing. Elements that no browser shows (scripts, styles, templates, ``hidden``,
-``display:none`` and the like) are dropped with all that they hold. Text is laid out by block: paragraphs and headings
-stand apart by a blank line, other blocks by a line end, list items carry a bullet or number with indent, ``pre`` keeps its
-white space, and the cells of a table are padded to columns.
-
-Defined cases: a null or empty page gives the empty text; unclosed comments, tags and elements end with the page;
-nesting deeper than ``DEPTH`` is flattened, with no text lost; repeated pages are told alike; an empty table gives no
-rows; other columns are ignored.
+ignores end tags that match nothing. What no browser shows (scripts, styles, templates, ``hidden``, ``display:none``,
+closed ``details`` but for their summary, and the like) is dropped with all that it holds; under ``visibility:hidden``
+elements may show again. Both come from ``style`` attributes and from the rules of ``<style>`` whose selectors are a
+tag, a class, an id, or a tag with one of them. MathML shows, of SVG the ``text`` elements; ``aria-hidden`` hides nothing.
+
+Text is laid out by block: paragraphs and headings stand apart by a blank line, other blocks by a line end, list items
+carry a bullet or number (``start``, ``value``, ``reversed``) with indent, ``pre`` keeps its white space. The cells of a
+table stand in columns, ``colspan`` and ``rowspan`` honoured; a cell longer than its column, which is as wide as its
+longest cell but ``WIDE`` at most, lets its row go on in the next line, so later cells stay in their column.
+
+Tree and layout work with stacks of their own, so nesting has no limit.
+
+Defined cases: a null or empty page gives the empty text; unclosed comments, tags, quotes and elements end with the
+page; repeated pages are told alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 200
-#: Element classes of HTML.
+#: The widest a column gets, and the deepest that lists are set in.
+WIDE, DEEP = 200, 40
+#: Element classes of HTML, and its limits of spans.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template noscript title meta link iframe noembed noframes object svg math canvas audio video datalist".split()
+    "head script style template noscript title meta link iframe noembed noframes object canvas audio video datalist input annotation "
+    "annotation-xml".split()
 )
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = APART | frozenset(
@@ -43,51 +52,96 @@ CLOSES = {
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 _TABLE = {"table"}
 
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
-_HIDDEN = re.compile(
-    r"(?:^|\s)hidden(?:\s|=|/|$)|(?:^|\s)aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)"
-    r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|(?:^|\s)type\s*=\s*[\"']?hidden",
-    re.I,
-)
-_BARE = re.compile(r"\"[^\"]*\"|'[^']*'")
-_START = re.compile(r"\bstart\s*=\s*[\"']?(\d{1,9})", re.I)
-_ALT = re.compile(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+)))?")
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?(?:([.#])([\w-]+))?", re.I)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_NUMBER = re.compile(r"\s*(-?[0-9]{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "raw", "children")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, raw: str = ""):
+        self.tag, self.raw, self.children = tag, raw, []
 
+    def attributes(self) -> dict[str, str]:
+        out: dict[str, str] = {}
+        if self.raw:
+            for m in _ATTRIBUTE.finditer(self.raw):
+                out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        return out
 
-def _is_hidden(tag: str, attrs: str) -> bool:
-    if tag in UNSEEN or tag == "input":
-        return True
-    if not attrs or not _HIDDEN.search(attrs):
-        return False
-    # a quoted value that merely holds the word doesn't count
-    bare = _BARE.sub('""', attrs)
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", bare, re.I)) or bool(
-        re.search(r"aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", attrs, re.I)
-    )
+
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """Display and visibility of a list of declarations, each with whether it is important; the last one counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _DECLARATION.findall(style):
+        if bool(important) >= out.get(name.lower(), (False, ""))[0]:
+            out[name.lower()] = bool(important), value.lower()
+    return out
 
 
-def tree(html: str) -> Node:
-    root = Node("#root")
-    stack = [root]
+class Styles:
+    """Rules for display and visibility by tag, class and id."""
+
+    def __init__(self):
+        self.rules: dict[str, list[tuple[int, int, str, dict[str, tuple[bool, str]]]]] = {}
+        self.count = 0
+
+    def add(self, sheet: str) -> None:
+        for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", sheet))):
+            declared = _declared(body)
+            if not declared:
+                continue
+            for selector in selectors.split(","):
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    self.count += 1
+                    tag = (m[1] or "*").lower()
+                    key = m[2] + m[3] if m[2] else tag
+                    weight = {"#": 100, ".": 10}.get(m[2], 0) + (tag != "*")
+                    self.rules.setdefault(key, []).append((weight, self.count, tag, declared))
+
+    def of(self, tag: str, attributes: dict[str, str]) -> dict[str, str]:
+        """The display and visibility that win, as far as any is set."""
+        found = []
+        if self.rules:
+            keys = {"*", tag, *(f".{c}" for c in attributes.get("class", "").split()), f"#{attributes.get('id', '')}"}
+            found = [(w, n, d) for k in keys for w, n, t, d in self.rules.get(k, ()) if t in ("*", tag)]
+        if "style" in attributes:
+            found.append((1000, 0, _declared(_COMMENT.sub("", attributes["style"]))))
+        best: dict[str, tuple[tuple[bool, int, int], str]] = {}
+        for weight, n, declared in found:
+            for name, (important, value) in declared.items():
+                best[name] = max(best.get(name, ((False, -1, -1), "")), ((important, weight, n), value))
+        return {name: value for name, (_, value) in best.items()}
+
+
+def tree(html: str) -> tuple[Node, Styles]:
+    root, styles = Node("#root"), Styles()
+    stack, held = [root], Counter()
     at, n = 0, len(html)
 
-    def close(names, stops) -> None:
+    def close(names, stops) -> bool:
+        if not any(held[x] for x in names):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
+                held.subtract(x.tag for x in stack[k:])
                 del stack[k:]
-                return
+                return True
             if stack[k].tag in stops:
-                return
+                return False
+        return False
 
     while at < n:
         m = _MARKUP.search(html, at)
@@ -101,7 +155,7 @@ def tree(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not held["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -111,11 +165,8 @@ def tree(html: str) -> Node:
         if tag in BLOCK and tag not in ("option", "optgroup"):
             close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in CLOSES:
-            while True:
-                before = len(stack)
-                close(CLOSES[tag], STOPS.get(tag, _TABLE))
-                if len(stack) == before:
-                    break
+            while close(CLOSES[tag], STOPS.get(tag, _TABLE)):
+                pass
         node = Node(tag, m[3])
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
@@ -125,11 +176,13 @@ def tree(html: str) -> Node:
             stop = end.start() if end else n
             if tag == "textarea":
                 node.children.append(unescape(html[at:stop]))
+            elif tag == "style":
+                styles.add(html[at:stop])
             at = end.end() if end else n
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
-    return root
+        stack.append(node)
+        held[tag] += 1
+    return root, styles
 
 
 class Layout:
@@ -137,31 +190,35 @@ class Layout:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []
         self.gap = 0
         self.space = False
 
     def text(self, text: str) -> None:
-        parts = _SPACE.split(text)
-        for k, part in enumerate(parts):
+        words = _SPACE.split(text)
+        for k, word in enumerate(words):
             if k:
                 self.space = True
-            if not part:
-                continue
-            if self.space and self.line and not self.line.endswith(" "):
-                self.line += " "
-            self.space = False
-            self.line += part
+            if word:
+                if self.space and self.parts:
+                    self.parts.append(" ")
+                self.space = False
+                self.parts.append(word)
 
     def end(self, blank: bool = False) -> None:
-        if self.line.strip():
+        if self.parts:
             if self.gap > 1 and self.lines:
                 self.lines.append("")
-            self.lines.append(self.line.rstrip())
+            self.lines.append("".join(self.parts).rstrip())
             self.gap = 0
-        self.line, self.space = "", False
+        self.parts, self.space = [], False
         self.gap = max(self.gap, 2 if blank else 1)
 
+    def line_break(self) -> None:
+        if self.parts:
+            self.end()
+            self.gap = 1
+
     def put(self, lines: list[str], blank: bool) -> None:
         self.end(blank)
         if lines:
@@ -171,89 +228,201 @@ class Layout:
             self.gap = 0
         self.end(blank)
 
+    def told(self) -> list[str]:
+        self.end()
+        return self.lines
+
+
+class Plain(Layout):
+    """Text as it stands."""
+
+    def text(self, text: str) -> None:
+        self.parts.append(text)
 
-def _rows(table: Node) -> Iterator[Node]:
-    for x in table.children:
-        if isinstance(x, Node):
-            if x.tag == "tr":
-                yield x
-            elif x.tag in ("thead", "tbody", "tfoot") and not _is_hidden(x.tag, x.attrs):
-                yield from _rows(x)
-
-
-def _table(node: Node) -> list[str]:
-    rows, loose = [], []
-    for tr in _rows(node):
-        if not _is_hidden("tr", tr.attrs):
-            rows.append([" / ".join(x for x in render(td) if x) for td in tr.children if isinstance(td, Node) and td.tag in ("td", "th") and not _is_hidden(td.tag, td.attrs)])
-            loose += [x for x in tr.children if not (isinstance(x, Node) and x.tag in ("td", "th"))]
-    loose += [x for x in node.children if not (isinstance(x, Node) and x.tag in ("tr", "thead", "tbody", "tfoot", "col", "colgroup"))]
-    before = Node("div")
-    before.children = loose  # captions, and text that stands between the parts
-    widths: list[int] = []
-    for row in rows:
-        widths += [0] * (len(row) - len(widths))
-        for k, cell in enumerate(row[:-1]):
-            widths[k] = max(widths[k], min(len(cell), 40))
-    lines = ["  ".join([c.ljust(widths[k]) for k, c in enumerate(row[:-1])] + row[-1:]).rstrip() for row in rows if any(row)]
-    return [x for x in render(before) if x] + lines
-
-
-def _walk(node: Node, out: Layout) -> None:
-    number = None
-    if node.tag == "ol":
-        m = _START.search(node.attrs)
-        number = int(m[1]) if m else 1
-    for x in node.children:
+    def end(self, blank: bool = False) -> None:
+        if self.parts and not self.parts[-1].endswith("\n"):
+            self.parts.append("\n")
+
+    def line_break(self) -> None:
+        self.parts.append("\n")
+
+    def put(self, lines: list[str], blank: bool) -> None:
+        self.end()
+        self.parts += [x + "\n" for x in lines]
+
+    def told(self) -> list[str]:
+        text = "".join(self.parts).strip("\n")
+        return text.split("\n") if text else []
+
+
+class Table(Layout):
+    """Rows of cells; what stands between the parts (captions, stray text) comes before them, as browsers put it."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[list[tuple[int, int, str]]] = []
+        self.taken: dict[int, int] = {}  # column -> the first row that is free again
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.column = 0
+
+    def cell(self, text: str, columns: int, rows: int) -> None:
+        if not self.rows:
+            self.row()
+        number = len(self.rows) - 1
+        while self.taken.get(self.column, 0) > number:
+            self.column += 1
+        self.rows[-1].append((self.column, columns, text))
+        for c in range(self.column, self.column + columns):
+            self.taken[c] = number + rows
+        self.column += columns
+
+    def told(self) -> list[str]:
+        widths: Counter = Counter()
+        later = []  # spans, by their last column
+        for row in self.rows:
+            for column, columns, text in row[:-1]:  # nothing stands behind the last cell
+                if columns == 1:
+                    widths[column] = max(widths[column], min(len(text), WIDE))
+                else:
+                    later.append((column + columns - 1, column, min(len(text), WIDE)))
+        for last, column, need in sorted(later):
+            widths[last] += max(0, need - 2 * (last - column) - sum(widths[c] for c in range(column, last + 1)))
+        ends = max((c + n for row in self.rows for c, n, _ in row), default=0)
+        starts, at = [], 0
+        for c in range(ends + 1):
+            starts.append(at)
+            at += widths[c] + 2
+        lines = []
+        for row in self.rows:
+            line = ""
+            for column, _, text in row:
+                if not text:
+                    continue
+                if line and len(line) + 2 > starts[column]:
+                    lines.append(line)
+                    line = ""
+                line = line.ljust(starts[column]) + text
+            if line:
+                lines.append(line)
+        return [x for x in super().told() if x] + lines
+
+
+def _whole(value: str | None, default: int, low: int, high: int) -> int:
+    m = _NUMBER.match(value or "")
+    return max(low, min(high, int(m[1]))) if m else default
+
+
+def render(root: Node, styles: Styles) -> list[str]:
+    """Lines of the page. One entry of ``work`` per open element: its children to come, how its text shows, what to do at its end."""
+    frames: list[Layout] = [Layout()]
+    # whether text shows, within svg (but for its text), the list's numbers ([next, step] or None), depth of lists
+    work = [(iter(root.children), (True, False, None, 0), None)]
+    while work:
+        children, (shown, drawn, numbers, deep), finish = work[-1]
+        x = next(children, None)
+        if x is None:
+            work.pop()
+            if finish:
+                finish()
+            continue
+        out = frames[-1]
         if isinstance(x, str):
-            out.text(x)
+            if shown and not drawn:
+                out.text(x)
+            continue
+        tag, attributes = x.tag, x.attributes()
+        style = styles.of(tag, attributes)
+        if tag in UNSEEN or style.get("display") == "none" or "hidden" in attributes and "display" not in style:
             continue
-        tag = x.tag
-        if _is_hidden(tag, x.attrs):
+        if tag == "dialog" and "open" not in attributes and "display" not in style:
             continue
-        if tag == "br":
-            if out.line:
-                out.end()
-                out.gap = 1
+        if "visibility" in style:
+            shown = style["visibility"] not in ("hidden", "collapse")
+        inner, finish = iter(x.children), None
+        if tag == "svg":
+            drawn = True
+        elif drawn and tag == "text":
+            drawn, out.space = False, True
+        elif tag == "br":
+            if shown:
+                out.line_break()
         elif tag == "hr":
             out.end(True)
         elif tag == "img":
-            m = _ALT.search(x.attrs)
-            if m:
-                out.text(unescape(m[1] or m[2] or m[3] or ""))
+            if shown:
+                out.text(attributes.get("alt", ""))
+        elif tag == "details" and "open" not in attributes:
+            inner = iter([y for y in x.children if isinstance(y, Node) and y.tag == "summary"][:1])
+            finish = _block(out, False)
         elif tag == "pre":
-            out.put(_plain(x).strip("\n").split("\n"), True)
+            frames.append(Plain())
+            finish = _put(frames, True)
         elif tag == "table":
-            out.put(_table(x), True)
+            frames.append(Table())
+            finish = _put(frames, True)
+        elif tag == "tr" and isinstance(out, Table):
+            out.end()
+            out.row()
+        elif tag in ("td", "th") and isinstance(out, Table):
+            rows = _whole(attributes.get("rowspan"), 1, 0, MOST_ROWS) or MOST_ROWS  # none: to the end
+            frames.append(Layout())
+            finish = _cell(frames, _whole(attributes.get("colspan"), 1, 1, MOST_COLUMNS), rows)
         elif tag == "li":
             mark = "- "
-            if number is not None:
-                mark, number = f"{number}. ", number + 1
-            lines = [y for y in render(x) if y]
-            out.put([mark + lines[0], *(" " * len(mark) + y for y in lines[1:])] if lines else [], False)
+            if numbers:
+                numbers[0] = _whole(attributes.get("value"), numbers[0], -(10**9), 10**9)
+                mark = f"{numbers[0]}. "
+                numbers[0] += numbers[1]
+            frames.append(Layout())
+            finish = _item(frames, mark, deep <= DEEP)
         elif tag in BLOCK:
-            out.end(tag in APART)
-            _walk(x, out)
-            out.end(tag in APART)
-        else:
-            if tag in ("td", "th"):
-                out.space = True
-            _walk(x, out)
+            if tag in ("ul", "ol", "menu"):
+                numbers, deep = None, deep + 1
+            if tag == "ol":
+                back = "reversed" in attributes
+                first = sum(isinstance(y, Node) and y.tag == "li" for y in x.children) if back else 1
+                numbers = [_whole(attributes.get("start"), first, -(10**9), 10**9), -1 if back else 1]
+            finish = _block(out, tag in APART)
+        elif tag in ("td", "th"):
+            out.space = True
+        work.append((inner, (shown, drawn, numbers, deep), finish))
+    return frames[0].told()
+
+
+def _block(out: Layout, blank: bool):
+    out.end(blank)
+    return lambda: out.end(blank)
+
+
+def _put(frames: list[Layout], blank: bool):
+    def finish() -> None:
+        lines = frames.pop().told()
+        frames[-1].put(lines, blank)
+
+    return finish
+
+
+def _cell(frames: list[Layout], columns: int, rows: int):
+    def finish() -> None:
+        text = " / ".join(x for x in frames.pop().told() if x)
+        frames[-1].cell(text, columns, rows)
 
+    return finish
 
-def _plain(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else "\n" if x.tag == "br" else "" if _is_hidden(x.tag, x.attrs) else _plain(x) for x in node.children)
 
+def _item(frames: list[Layout], mark: str, indent: bool):
+    def finish() -> None:
+        lines = [x for x in frames.pop().told() if x]
+        inset = " " * len(mark) if indent else ""
+        frames[-1].put([mark + lines[0], *(inset + x for x in lines[1:])] if lines else [], False)
 
-def render(node: Node) -> list[str]:
-    out = Layout()
-    _walk(node, out)
-    out.end()
-    return out.lines
+    return finish
 
 
 def visible_text(html: str | None) -> str:
-    return "\n".join(render(tree(html))) if html else ""
+    return "\n".join(render(*tree(html))) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
