@@ -1,28 +1,39 @@
 """Operator 2: secrets by fixed patterns and by a battery of randomness tests, in DataFrame functions only.
 
 Base patterns give the kinds ``assign``, ``access`` and ``hex``. The battery looks at long tokens, infers the
-encoding from the characters (every token has one), and computes under "these symbols are uniform and independent": a
-chi-squared test of the symbol counts, a runs test about the middle of the alphabet, a lag-one serial
-correlation test and, where the alphabet has all letters, a chi-squared test of the common letters against the rest
-(which tells words), joined by Fisher's rule. ``-``, ``_``, ``+`` and ``/`` are symbols in tokens with a digit and both
-cases, else separators; a token with separators is tested whole without them, and by each long part between them.
-Tokens that are *not* random are the discoveries of a Benjamini-Hochberg procedure run apart for each length class
-(longer tokens have more power, and their p-values would otherwise drive the cut for short ones) and family (words
-would drive the cut for keys). What is left is added as kind ``random``, a part only if its whole is not.
-
-The first pass makes one small table (length class and family x p-value bin, at most 16 x 401 rows); the second makes
-the spans.
+encoding from the characters (every token has one), and measures how far a token is from uniform, independent symbols: a
+chi-squared test of the symbol counts, a runs test about the middle of the alphabet, a lag-one serial correlation test
+and, where the alphabet has all letters, a chi-squared test of the common letters against the rest (which tells words),
+joined by Fisher's rule. The distance per symbol is the statistic: low for keys, high for words.
+
+The hypothesis to be rejected is that a token is made of words, so the error under control is the false alarm. What words
+look like is learned from all documents: each one gives a token of its own words in a row, at a place and in a length and
+spelling (one case or two, with digits or without) drawn by hash; the median of their statistic's logarithm and the
+deviation below it, by spelling and length class, give the p-value. Tokens whose p-value the Benjamini-Hochberg procedure lets through, run apart for each
+spelling and length class (longer tokens have more power, and their p-values would otherwise drive the cut for short
+ones), are the discoveries, of kind ``random``. Numbers have no words to be like; there the battery alone decides.
+
+``-``, ``_``, ``+`` and ``/`` are symbols in tokens with a digit and both cases, else separators; a token with separators
+is tested whole without them, and by each long part between them, which counts only if the whole doesn't.
+
+The first pass keeps what was found of each document, without the text, and gives a small table: counts of tokens and of
+words by spelling, length class and bin of the statistic (at most 2 x ``SPELLINGS`` x 4 x ``BINS`` rows). Work is linear in the
+matches of a text, but for short chunks.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged row by row alike; a table without
-candidates has no cut; other columns of the input are ignored by ``scan`` and kept by ``redact``.
+candidates has no cut; a class with few documents leans on ``LIKE_WORDS``; other columns of the input are ignored by
+``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -47,11 +58,22 @@ ENCODINGS = (
 )
 #: Fixed value: the most common letters of running text.
 COMMON = "etaoinsr"
-#: Families of the procedure: tokens in one piece, letters alone, tokens with separators, parts of those.
-PIECE, LETTERS, SEPARATED, PARTS = range(4)
+#: Spellings: numbers, letters of one case or two, the same with digits.
+SPELLINGS = ("digits", "letters", "camel", "coded", "mixed")
+#: Median and deviation below it of the statistic's logarithm for words, by spelling and length class, and for how many tokens that stands.
+LIKE_WORDS = {
+    "letters": ((0.10, 0.25), (0.42, 0.33), (0.91, 0.35), (0.75, 0.08)), "camel": ((0.16, 0.25), (0.50, 0.33), (0.95, 0.30), (0.75, 0.08)),
+    "coded": ((0.10, 0.25), (0.54, 0.35), (0.98, 0.25), (0.75, 0.08)), "mixed": ((0.08, 0.26), (0.56, 0.36), (0.98, 0.25), (0.75, 0.08)),
+}
+LIKE_DOCS = 200
 FALSE_DISCOVERY_RATE = 0.05
-BINS = 400
+#: A number whose battery gives less than this is no random one.
+NUMBER_LEVEL = 0.01
+#: Bins of the statistic's logarithm from ``LEAST`` on, ``SCALE`` to one.
+LEAST, SCALE, BINS = -5.0, 100, 800
 LENGTH_CLASSES = (32, 64, 128)
+LONGEST = 256
+CHUNK = 128
 MASK = "[SECRET]"
 
 _MATCH = "array<struct<start:bigint,end:bigint,token:string>>"
@@ -63,27 +85,43 @@ def _matches(text: Column, pattern: str) -> Column:
     )
 
 
+def _chunks(array: Column) -> Column:
+    """An array in short slices, so that what grows inside a fold stays short."""
+    return F.when(
+        F.size(array) > 0,
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int")), lambda c: F.slice(array, c * CHUNK + 1, CHUNK)),
+    )
+
+
+def _folded(array: Column, start: Column, kind: str, step) -> Column:
+    """``step(at, x)`` gives (value, next at) for each element in order; the array of values."""
+    empty = F.array().cast(kind)
+
+    def inner(acc, x):
+        value, after = step(acc.at, x)
+        return F.struct(after.alias("at"), F.concat(acc.out, F.array(value)).alias("out"))
+
+    def outer(acc, chunk):
+        done = F.aggregate(chunk, F.struct(acc.at.alias("at"), empty.alias("out")), inner)
+        return F.struct(done.at.alias("at"), F.concat(acc.out, F.array(done.out)).alias("out"))
+
+    first = F.struct(start.cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.coalesce(F.aggregate(_chunks(array), first, outer, lambda acc: F.flatten(acc.out)), empty)
+
+
 def _placed(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """Adds array ``name`` of all matches with their places: gaps between matches come from a split."""
-    found, gaps = f"_found_{name}", f"_gaps_{name}"
-    step = F.aggregate(
-        F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_MATCH).alias("out")),
-        lambda acc, x: F.struct(
-            (acc.at + x.g + F.length(x.m)).alias("at"),
-            F.concat(
-                acc.out,
-                F.array(F.struct((acc.at + x.g).alias("start"), (acc.at + x.g + F.length(x.m)).alias("end"), x.m.alias("token"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
-    return (
-        df.withColumn(found, _matches(F.col("_text"), pattern))
-        .withColumn(gaps, F.when(F.size(found) > 0, F.split("_text", pattern, -1)))
-        .withColumn(name, F.when(F.size(found) > 0, step).otherwise(F.array().cast(_MATCH)))
-        .drop(found, gaps)
-    )
+    found, gaps, pairs = (F.col(f"_{x}_{name}") for x in ("found", "gaps", "pairs"))
+
+    def step(at, x):
+        start, end = at + x.g, at + x.g + F.length(x.m)
+        return F.struct(start.alias("start"), end.alias("end"), x.m.alias("token")), end
+
+    df = df.withColumn(f"_found_{name}", _matches(F.col("_text"), pattern))
+    df = df.withColumn(f"_gaps_{name}", F.when(F.size(found) > 0, F.split("_text", pattern, -1)))
+    zipped = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    df = df.withColumn(f"_pairs_{name}", F.when(F.size(found) > 0, zipped))
+    return df.withColumn(name, _folded(pairs, F.lit(0), _MATCH, step)).drop(*(f"_{x}_{name}" for x in ("found", "gaps", "pairs")))
 
 
 def _tail(z: Column) -> Column:
@@ -91,19 +129,25 @@ def _tail(z: Column) -> Column:
     return F.lit(1.0) / (1.0 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.07056 * z * z * z)))
 
 
-def _p_values(candidates: Column) -> Column:
-    """array<struct<start, end, family, n, p>> of the candidates. Each transform binds what the next uses."""
+def _statistics(tokens: Column) -> Column:
+    """array<struct<start, end, whole, part, spelling, n, t, p>> of tokens (start, end, token, whole); short ones go.
+
+    Each transform binds what the next uses. ``whole`` is the start of the token that a part lies in, its own for a whole.
+    """
 
     def encoded(c):
         body = F.rtrim(c.token, F.lit("="))
         bare = F.translate(body, "-_+/", "")
-        whole = body.rlike("[0-9]") & body.rlike("[a-z]") & body.rlike("[A-Z]")
+        digit, low, high = (bare.rlike(x) for x in ("[0-9]", "[a-z]", "[A-Z]"))
+        both = digit & low & high
         letters = F.lit(_ALL)
         for pattern, alphabet in reversed(ENCODINGS):
             letters = F.when(bare.rlike(pattern), F.lit(alphabet)).otherwise(letters)
-        family = F.when(c.part, PARTS).when(whole, PIECE).when(bare != body, SEPARATED).when(bare.rlike("[0-9]"), PIECE).otherwise(LETTERS)
-        symbols = F.when(whole, F.translate(body, "-_", "+/")).otherwise(bare)
-        return F.struct(c.start.alias("start"), c.end.alias("end"), family.alias("family"), symbols.alias("symbols"), letters.alias("letters"))
+        spelling = F.when(both, 4).when(low & high, 2).when(digit & (low | high), 3).when(digit, 0).otherwise(1)
+        symbols = F.when(both, F.translate(body, "-_", "+/")).otherwise(bare)
+        return F.struct(
+            c.start.alias("start"), c.end.alias("end"), c.whole.alias("whole"), c.part.alias("part"), spelling.alias("spelling"), symbols.alias("symbols"), letters.alias("letters")
+        )
 
     def coded(c):
         codes = F.transform(F.split(c.symbols, ""), lambda s: F.instr(c.letters, s) - 1)
@@ -112,12 +156,18 @@ def _p_values(candidates: Column) -> Column:
         return F.struct(
             c.start.alias("start"),
             c.end.alias("end"),
-            c.family.alias("family"),
+            c.whole.alias("whole"),
+            c.part.alias("part"),
+            c.spelling.alias("spelling"),
             F.length(c.letters).cast("double").alias("k"),
             count(_LOWER).alias("n_letters"),
             count(COMMON).alias("n_common"),
+            F.aggregate(
+                F.array_distinct(F.split(c.symbols, "")), F.lit(0.0),
+                lambda a, x: a + F.pow((F.length(c.symbols) - F.length(F.replace(c.symbols, x, F.lit("")))).cast("double"), F.lit(2.0)),
+            ).alias("squares"),
             codes.alias("codes"),
-        )
+        )
 
     def summed(c):
         total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -125,18 +175,16 @@ def _p_values(candidates: Column) -> Column:
         return F.struct(
             c.start.alias("start"),
             c.end.alias("end"),
-            c.family.alias("family"),
+            c.whole.alias("whole"),
+            c.part.alias("part"),
+            c.spelling.alias("spelling"),
             c.n_letters.alias("n_letters"),
             c.n_common.alias("n_common"),
             c.k.alias("k"),
             F.size(c.codes).cast("double").alias("n"),
             c.codes.alias("codes"),
             mean.alias("mean"),
-            total(
-                F.transform(
-                    F.array_distinct(c.codes), lambda x: F.pow(F.size(F.filter(c.codes, lambda y: y == x)).cast("double"), F.lit(2.0))
-                )
-            ).alias("squares"),
+            c.squares.alias("squares"),
             total(F.transform(c.codes, lambda x: F.when(x * 2 >= c.k, 1.0).otherwise(0.0))).alias("high"),
             total(
                 F.zip_with(
@@ -153,7 +201,9 @@ def _p_values(candidates: Column) -> Column:
         return F.struct(
             c.start.alias("start"),
             c.end.alias("end"),
-            c.family.alias("family"),
+            c.whole.alias("whole"),
+            c.part.alias("part"),
+            c.spelling.alias("spelling"),
             ((c.k >= 26) & (c.n_letters > 0)).alias("words"),
             ((c.n_common - share * c.n_letters) / F.sqrt(share * (1 - share) * F.greatest(c.n_letters, F.lit(1.0)))).alias("z_words"),
             c.n.alias("n"),
@@ -176,22 +226,36 @@ def _p_values(candidates: Column) -> Column:
         z_serial = F.when(c.variation > 0, (c.lagged / c.variation + 1 / c.n) * F.sqrt(c.n)).otherwise(40.0)
         logs = [F.log(F.greatest(p, F.lit(1e-300))) for p in (_tail(c.z_uniform), 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))]
         words = F.when(c.words, F.log(F.greatest(_tail(c.z_words), F.lit(1e-300)))).otherwise(0.0)
-        x = -(logs[0] + logs[1] + logs[2] + words)
-        return F.struct(c.start.alias("start"), c.end.alias("end"), c.family.alias("family"), c.words.alias("words"), c.n.alias("n"), x.alias("x"))
+        x = F.greatest(F.lit(0.0), -(logs[0] + logs[1] + logs[2] + words))
+        return F.struct(c.start.alias("start"), c.end.alias("end"), c.whole.alias("whole"), c.part.alias("part"), c.spelling.alias("spelling"), c.words.alias("words"), c.n.alias("n"), x.alias("x"))
 
     def joined(c):
         # Fisher's rule for three or four tests: chi-squared with six or eight degrees of freedom has a closed tail
         p = F.exp(-c.x) * (1 + c.x + c.x * c.x / 2 + F.when(c.words, c.x * c.x * c.x / 6).otherwise(0.0))
-        return F.struct(c.start.alias("start"), c.end.alias("end"), c.family.alias("family"), c.n.alias("n"), F.least(F.greatest(p, F.lit(1e-300)), F.lit(1.0)).alias("p"))
+        return F.struct(
+            c.start.alias("start"), c.end.alias("end"), c.whole.alias("whole"), c.part.alias("part"), c.spelling.alias("spelling"), c.n.alias("n"),
+            F.sqrt(c.x / c.n).alias("t"), F.least(p, F.lit(1.0)).alias("p"),
+        )
 
-    out = F.filter(F.transform(candidates, encoded), lambda c: F.length(c.symbols) >= SYMBOLS)
+    out = F.filter(F.transform(tokens, encoded), lambda c: F.length(c.symbols) >= SYMBOLS)
     for step in (coded, summed, correlated, tested, joined):
         out = F.transform(out, step)
     return out
 
 
-def _kind(c: Column) -> Column:
-    return c["family"] * (len(LENGTH_CLASSES) + 1) + _length_class(c["n"])
+def _token(start: Column, end: Column, token: Column, whole: Column, part: bool = False) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), whole.alias("whole"), F.lit(part).alias("part"))
+
+
+def _parts(c: Column) -> Column:
+    """The long parts of a token between separators, if it has some."""
+    pieces = F.split(c.token, "(?<=[-_+/=])(?=[^-_+/=])|(?<=[^-_+/=])(?=[-_+/=])")
+
+    def step(at, x):
+        return _token(at, at + F.length(x), x, c.start, True), at + F.length(x)
+
+    kind = "array<struct<start:bigint,end:bigint,token:string,whole:bigint,part:boolean>>"
+    return F.filter(_folded(F.when(c.token.rlike("[-_+/]"), pieces), c.start, kind, step), lambda x: x.token.rlike(PART))
 
 
 def _length_class(n: Column) -> Column:
@@ -201,46 +265,57 @@ def _length_class(n: Column) -> Column:
     return out
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.floor(-10 * F.log10(p)), F.lit(BINS)).cast("int")
+def _cell(c: Column) -> Column:
+    return c["spelling"] * (len(LENGTH_CLASSES) + 1) + _length_class(c["n"])
 
 
-def _tested(docs: DataFrame) -> DataFrame:
-    df = _placed(docs.withColumn("_text", F.coalesce("text", F.lit(""))), "_candidates", CANDIDATE)
-    df = _placed(df, "_parts", PART)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,family:int,n:double,p:double>>")
-    within = lambda x: F.exists(
-        "_candidates", lambda c: (c.start <= x.start) & (x.end <= c.end) & (F.length(F.rtrim(c.token, F.lit("="))) > F.length(x.token))
-    )
-    marked = lambda cs, part: F.transform(
-        cs, lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.token.alias("token"), F.lit(part).alias("part"))
-    )
-    candidates = F.concat(marked("_candidates", False), marked(F.filter("_parts", within), True))
-    return df.withColumn("_tested", F.when(F.size("_candidates") > 0, _p_values(candidates)).otherwise(empty)).drop("_candidates", "_parts")
+def _bin(t: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.floor((F.log(F.greatest(t, F.lit(1e-3))) - LEAST) * SCALE), F.lit(BINS - 1))).cast("int")
 
 
-def fit_cuts(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
-    """Per family and length class the first p-value bin from which on a token counts as not random."""
-    bins = (
-        _tested(docs.select("text"))
-        .select(F.explode("_tested").alias("c"))
-        .groupBy(_kind(F.col("c")).alias("kind"), _bin(F.col("c.p")).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    below = F.sum("n").over(W.partitionBy("kind").orderBy(F.col("bin").desc()))
-    cuts = (
-        bins.withColumn("rank", below)
-        .withColumn("m", F.sum("n").over(W.partitionBy("kind")))
-        .filter(F.pow(F.lit(10.0), -F.col("bin") / 10) <= rate * F.col("rank") / F.col("m"))
-        .groupBy("kind")
-        .agg(F.min("bin").alias("cut"))
-    )
-    return {r.kind: r.cut for r in cuts.collect()}  # one row per family and length class
+def _like_words(text: Column) -> Column:
+    """A token of the document's own words, or none where they are too few. Place, length and spelling come from a hash.
+
+    Each transform of the one element binds what the next uses.
+    """
+    lows = (SYMBOLS, *LENGTH_CLASSES)
+    highs = (*LENGTH_CLASSES, LONGEST)
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k + 1)
+    part = lambda h, shift, m: F.pmod(F.shiftright(h, shift), m).cast("int")
 
+    def sized(x):
+        k = part(x.h, 0, F.lit(len(lows)))
+        n = pick(lows, k) + part(x.h, 8, pick([b - a for a, b in zip(lows, highs)], k))
+        return F.struct(x.h.alias("h"), n.alias("n"), (part(x.h, 4, F.lit(4)) + 1).alias("spelling"))
 
-def with_spans(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
-    """Adds ``_base`` and ``_spans``, arrays of (start, kind, end) in order."""
-    df = _tested(docs)
+    def seen(x):
+        at = 1 + part(x.h, 16, F.greatest(F.lit(1), F.length(text) - 3 * x.n))
+        window = F.regexp_replace(F.regexp_replace(text.substr(at, 3 * x.n), CANDIDATE, " "), "[^A-Za-z]+", " ")
+        digits = F.when(x.spelling > 2, F.substring(F.lpad(part(x.h, 24, F.lit(10_000)).cast("string"), 4, "0"), 1, 1 + part(x.h, 6, F.lit(4)))).otherwise("")
+        return F.struct(x.n.alias("n"), digits.alias("digits"), F.when(x.spelling % 2 == 0, F.initcap(window)).otherwise(F.lower(window)).alias("words"))
+
+    def joined(x):
+        words = F.replace(x.words, F.lit(" "), F.lit(""))
+        return F.struct(x.n.alias("n"), F.concat(words.substr(F.lit(1), x.n - F.length(x.digits)), x.digits).alias("token"))
+
+    nowhere = F.lit(-1).cast("bigint")
+    made = F.array(F.struct(F.xxhash64(text).alias("h")))
+    for step in (sized, seen, joined):
+        made = F.transform(made, step)
+    return F.transform(F.filter(made, lambda x: F.length(x.token) == x.n), lambda x: _token(nowhere, nowhere, x.token, nowhere))
+
+
+def _tested(df: DataFrame, like_words: bool) -> DataFrame:
+    """Adds ``_tested`` to rows with ``_text``; a token made of the document's words has no place."""
+    df = _placed(df, "_candidates", CANDIDATE)
+    tokens = F.flatten(F.transform("_candidates", lambda c: F.concat(F.array(_token(c.start, c.end, c.token, c.start)), _parts(c))))
+    if like_words:
+        tokens = F.concat(tokens, _like_words(F.col("_text")))
+    return df.withColumn("_tested", _statistics(tokens)).drop("_candidates")
+
+
+def _based(df: DataFrame) -> DataFrame:
+    """Adds ``_base``, array of (start, kind, end) in order, and the counts of its kinds."""
     for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX)):
         df = _placed(df, f"_{kind}", pattern)
     # a shorter value makes the match fail, and the search goes on behind it
@@ -250,21 +325,81 @@ def with_spans(docs: DataFrame, cuts: dict[int, int]) -> DataFrame:
         f"_{kind}", lambda m: F.struct(m.start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m.end.alias("end"))
     )
     df = df.withColumn("_base", F.array_sort(F.concat(*map(spans, KINDS[:3]))))
+    return df.withColumns({f"_n_{kind}": F.size(f"_{kind}").cast("long") for kind in KINDS[:3]}).drop(*(f"_{kind}" for kind in KINDS[:3]))
+
+
+def words_model(spelling: str, length_class: int, seen: dict[int, int]) -> tuple[float, float]:
+    """Median and lower deviation of words, from their counts by bin and what is known beforehand."""
+    median, deviation = LIKE_WORDS[spelling][length_class]
+    n = sum(seen.values())
+    if not n:
+        return median, deviation
+    middle = lambda b: LEAST + (b + 0.5) / SCALE
+    below, own = 0, median
+    for b in sorted(seen):
+        below += seen[b]
+        if 2 * below >= n:
+            own = middle(b)
+            break
+    low = [(own - middle(b), k) for b, k in seen.items() if middle(b) < own]
+    held = sum(k for _, k in low)
+    spread = sum(k * x * x for x, k in low) / held if held else deviation**2
+    weight = n / (n + LIKE_DOCS)
+    return weight * own + (1 - weight) * median, math.sqrt(weight * spread + (1 - weight) * deviation**2)
+
+
+def p_value(x: float, model: tuple[float, float]) -> float:
+    """How often words would give so low a logarithm of the statistic."""
+    return 0.5 * math.erfc((model[0] - x) / (model[1] * math.sqrt(2)))
+
+
+def first_words(counts: dict[int, int], model: tuple[float, float], rate: float) -> int:
+    """The first bin that counts as words: Benjamini-Hochberg over the tokens of each bin, by the p-value of its end."""
+    m, below, first = sum(counts.values()), 0, 0
+    for b in sorted(counts):
+        below += counts[b]
+        if p_value(LEAST + (b + 1) / SCALE, model) <= rate * below / m:
+            first = b + 1
+    return first
+
+
+def cuts_of(tested: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> dict[int, int]:
+    """Per spelling and length class the first bin of the statistic from which on a token counts as words."""
+    c = F.col("c")
+    counts = tested.select(F.explode("_tested").alias("c")).groupBy(_cell(c).alias("cell"), (c["start"] < 0).alias("words"), _bin(c["t"]).alias("bin"))
+    seen: dict[tuple[int, bool], dict[int, int]] = {}
+    for r in counts.agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 * BINS rows per cell
+        seen.setdefault((r.cell, r.words), {})[r.bin] = r.n
+    out = {}
+    for cell, words in sorted(seen):
+        spelling, length_class = divmod(cell, len(LENGTH_CLASSES) + 1)
+        if spelling and not words:
+            model = words_model(SPELLINGS[spelling], length_class, seen.get((cell, True), {}))
+            out[cell] = first_words(seen[cell, False], model, rate)
+    return out
+
 
-    def is_random(c):
-        limit = F.lit(BINS + 1)
-        for kind, first in sorted(cuts.items()):
-            limit = F.when(_kind(c) == kind, F.lit(first)).otherwise(limit)
-        free = ~F.exists("_base", lambda b: (b.start < c.end) & (c.start < b.end))
-        return (_bin(c.p) < limit) & free
-
-    df = df.withColumn("_random", F.filter("_tested", is_random))
-    wholes = F.filter("_random", lambda c: c.family != PARTS)
-    new = lambda c: (c.family != PARTS) | ~F.exists(wholes, lambda w: (w.start <= c.start) & (c.end <= w.end))
-    added = F.transform(
-        F.filter("_random", new), lambda c: F.struct(c.start.alias("start"), F.lit(3).alias("kind"), c.end.alias("end"))
+def _with_spans(df: DataFrame, cuts: dict[int, int]) -> DataFrame:
+    """Adds ``_spans``, array of (start, kind, end) in order, to rows with ``_tested`` and ``_base``."""
+    limit = lambda c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sorted(cuts.items()) for x in kv)), _cell(c)), F.lit(0)) if cuts else F.lit(0)
+    # base spans in chunks with their bounds, so that few of them are looked at for a token
+    chunks = F.transform(
+        _chunks(F.col("_base")),
+        lambda b: F.struct(b.alias("b"), F.array_min(F.transform(b, lambda x: x.start)).alias("start"), F.array_max(F.transform(b, lambda x: x.end)).alias("end")),
     )
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", added)))
+    df = df.withColumn("_chunks", chunks)
+    over = lambda b, c: (b.start < c.end) & (c.start < b.end)
+    covered = lambda c: F.coalesce(F.exists("_chunks", lambda k: over(k, c) & F.exists(k.b, lambda b: over(b, c))), F.lit(False))
+    random = lambda c: F.when(c["spelling"] == 0, c["p"] >= NUMBER_LEVEL).otherwise(_bin(c["t"]) < limit(c))
+    df = df.withColumn("_random", F.filter("_tested", lambda c: (c.start >= 0) & random(c) & ~covered(c)))
+    # parts follow their whole and count only if it doesn't
+    kind = "array<struct<start:bigint,kind:int,end:bigint>>"
+    span = lambda c: F.array(F.struct(c.start.alias("start"), F.lit(3).alias("kind"), c.end.alias("end")))
+    kept = _folded(
+        F.col("_random"), F.lit(-1), f"array<{kind}>",
+        lambda at, c: (F.when(c.part & (c.whole == at), F.array().cast(kind)).otherwise(span(c)), F.when(c.part, at).otherwise(c.whole)),
+    )
+    return df.withColumn("_spans", F.array_sort(F.concat("_base", F.flatten(kept)))).drop("_chunks", "_random")
 
 
 def _told(spans: str) -> Column:
@@ -274,11 +409,13 @@ def _told(spans: str) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans: one row per input row."""
-    cuts = fit_cuts(docs)
-    df = with_spans(docs.select("doc_id", "text"), cuts)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    # one look at the texts; what is kept of them is small
+    found = cut(_based(_tested(rows, like_words=True)).drop("_text"))
+    df = _with_spans(found, cuts_of(found))
     return df.select(
         "doc_id",
-        *(F.size(f"_{kind}").cast("long").alias(f"n_{kind}") for kind in KINDS[:3]),
+        *(F.col(f"_n_{kind}").alias(f"n_{kind}") for kind in KINDS[:3]),
         (F.size("_spans") - F.size("_base")).cast("long").alias("n_random"),
         F.sha2(_told("_base"), 256).alias("base_sha256"),
         _told("_spans").alias("spans"),
@@ -289,23 +426,19 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by a mark; n_chars follows, other columns stay."""
     columns = docs.columns
     # the row travels as one struct, so its names can't clash with the ones used here
-    df = with_spans(docs.select(F.struct("*").alias("row"), "text"), fit_cuts(docs))
+    rows = docs.select(F.struct("*").alias("row"), "text", F.coalesce("text", F.lit("")).alias("_text"))
+    cuts = cuts_of(_tested(rows.select("_text"), like_words=True))
+    df = _with_spans(_based(_tested(rows, like_words=False)), cuts)
     text = F.col("_text")
-    masked = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s.end <= acc.at, acc).otherwise(
-            F.struct(
-                s.end.alias("at"),
-                F.concat(
-                    acc.out,
-                    text.substr((acc.at + 1).cast("int"), F.greatest(s.start - acc.at, F.lit(0)).cast("int")),
-                    F.when(s.start >= acc.at, F.lit(MASK)).otherwise(F.lit("")),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc.out, text.substr((acc.at + 1).cast("int"), F.length(text))),
-    )
+    kind = "array<string>"
+
+    def piece(at, s):
+        """The text before a span and the mark; spans that overlap share one mark."""
+        before = text.substr((at + 1).cast("int"), F.greatest(s.start - at, F.lit(0)).cast("int"))
+        return F.concat(before, F.when(s.start >= at, F.lit(MASK)).otherwise("")), F.greatest(at, s.end)
+
+    last = F.array_max(F.transform("_spans", lambda s: s.end))
+    masked = F.concat(F.array_join(_folded(F.col("_spans"), F.lit(0), kind, piece), ""), text.substr((last + 1).cast("int"), F.length(text)))
     found = F.size("_spans") > 0
     df = df.select("row", F.when(found, masked).otherwise(F.col("text")).alias("text"), found.alias("found"))
     fresh = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
