@@ -20,3 +20,9 @@ def test_stages_on_odd_rows(spark, sf_dir, odd, no_docs):
             assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             df.count()
         corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count()
+
+
+def test_run_on_empty_tables(spark, sf_dir, docs, labels, benchmark, tmp_path):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

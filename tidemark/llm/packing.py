@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 SEQUENCE = 2048
-GROUP = 16_384
+GROUP = 4096
 CACHED_WORDS = 700_000
 #: Texts whose unknown words are encoded together.
 BLOCK = 32

@@ -30,7 +30,7 @@ PRIOR_GOOD = 0.8
 #: No vote weighs more than this many nats, so no rule decides whatever the others say.
 MOST = 6.0
 #: So many documents, spread like the corpus, are held to be as ``START`` says in every round; their weight fades as documents grow.
-PSEUDO_DOCS = 50.0
+PSEUDO_DOCS = 300.0
 #: Where the estimation starts, by (a bad vote, good votes: 0 none, 1 some, 2 as many as any document has). A bad vote is
 #: taken to be right unless all good rules speak against it; then the prior stands.
 START = {(False, 0): PRIOR_GOOD, (False, 1): 0.95, (False, 2): 0.95, (True, 0): 0.1, (True, 1): 0.1, (True, 2): PRIOR_GOOD}

@@ -74,6 +74,8 @@ LEAST, SCALE, BINS = -5.0, 100, 800
 LENGTH_CLASSES = (32, 64, 128)
 LONGEST = 256
 CHUNK = 128
+#: Characters of a block of a text that is masked.
+BLOCK = 4096
 MASK = "[SECRET]"
 
 _MATCH = "array<struct<start:bigint,end:bigint,token:string>>"
@@ -93,6 +95,11 @@ def _chunks(array: Column) -> Column:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: a column that is named within a lambda would be again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _folded(array: Column, start: Column, kind: str, step) -> Column:
     """``step(at, x)`` gives (value, next at) for each element in order; the array of values."""
     empty = F.array().cast(kind)
@@ -387,11 +394,11 @@ def _with_spans(df: DataFrame, cuts: dict[int, int]) -> DataFrame:
         _chunks(F.col("_base")),
         lambda b: F.struct(b.alias("b"), F.array_min(F.transform(b, lambda x: x.start)).alias("start"), F.array_max(F.transform(b, lambda x: x.end)).alias("end")),
     )
-    df = df.withColumn("_chunks", chunks)
     over = lambda b, c: (b.start < c.end) & (c.start < b.end)
-    covered = lambda c: F.coalesce(F.exists("_chunks", lambda k: over(k, c) & F.exists(k.b, lambda b: over(b, c))), F.lit(False))
+    covered = lambda chunks, c: F.coalesce(F.exists(chunks, lambda k: over(k, c) & F.exists(k.b, lambda b: over(b, c))), F.lit(False))
     random = lambda c: F.when(c["spelling"] == 0, c["p"] >= NUMBER_LEVEL).otherwise(_bin(c["t"]) < limit(c))
-    df = df.withColumn("_random", F.filter("_tested", lambda c: (c.start >= 0) & random(c) & ~covered(c)))
+    free = lambda x: F.filter(x.tested, lambda c: (c.start >= 0) & random(c) & ~covered(x.chunks, c))
+    df = df.withColumn("_random", _bound(F.struct(F.col("_tested").alias("tested"), chunks.alias("chunks")), free))
     # parts follow their whole and count only if it doesn't
     kind = "array<struct<start:bigint,kind:int,end:bigint>>"
     span = lambda c: F.array(F.struct(c.start.alias("start"), F.lit(3).alias("kind"), c.end.alias("end")))
@@ -399,7 +406,7 @@ def _with_spans(df: DataFrame, cuts: dict[int, int]) -> DataFrame:
         F.col("_random"), F.lit(-1), f"array<{kind}>",
         lambda at, c: (F.when(c.part & (c.whole == at), F.array().cast(kind)).otherwise(span(c)), F.when(c.part, at).otherwise(c.whole)),
     )
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", F.flatten(kept)))).drop("_chunks", "_random")
+    return df.withColumn("_spans", F.array_sort(F.concat("_base", F.flatten(kept)))).drop("_random")
 
 
 def _told(spans: str) -> Column:
@@ -429,16 +436,27 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), "text", F.coalesce("text", F.lit("")).alias("_text"))
     cuts = cuts_of(_tested(rows.select("_text"), like_words=True))
     df = _with_spans(_based(_tested(rows, like_words=False)), cuts)
-    text = F.col("_text")
-    kind = "array<string>"
+    # the text in blocks, so that a piece of it is found without walking through all that stands before
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.length("_text") / BLOCK).cast("int")), lambda k: F.col("_text").substr(k * BLOCK + 1, F.lit(BLOCK))
+    )
 
-    def piece(at, s):
+    def between(blocks, at, end):
+        first = F.floor(at / BLOCK).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return held.substr((at - first * BLOCK + 1).cast("int"), (end - at).cast("int"))
+
+    def piece(blocks, at, s):
         """The text before a span and the mark; spans that overlap share one mark."""
-        before = text.substr((at + 1).cast("int"), F.greatest(s.start - at, F.lit(0)).cast("int"))
+        before = F.when(s.start > at, between(blocks, at, s.start)).otherwise("")
         return F.concat(before, F.when(s.start >= at, F.lit(MASK)).otherwise("")), F.greatest(at, s.end)
 
     last = F.array_max(F.transform("_spans", lambda s: s.end))
-    masked = F.concat(F.array_join(_folded(F.col("_spans"), F.lit(0), kind, piece), ""), text.substr((last + 1).cast("int"), F.length(text)))
+    pieces = _bound(
+        F.struct(F.col("_spans").alias("spans"), blocks.alias("blocks")),
+        lambda x: _folded(x.spans, F.lit(0), "array<string>", lambda at, s: piece(x.blocks, at, s)),
+    )
+    masked = F.concat(F.array_join(pieces, ""), F.col("_text").substr((last + 1).cast("int"), F.length("_text")))
     found = F.size("_spans") > 0
     df = df.select("row", F.when(found, masked).otherwise(F.col("text")).alias("text"), found.alias("found"))
     fresh = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
