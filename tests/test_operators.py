@@ -269,3 +269,47 @@ def test_persona_filter(spark):
     seen = lambda *args: {r.p for r in df.filter(scope.persona(F.col("p"), *args)).collect()}
     assert seen(None) == {"a", "b", None} and seen("") == {None} and seen("a") == {"a", None} and seen("a", False) == {"a"}
     assert {r.p for r in df.filter(scope.in_group(F.col("p"), None)).collect()} == {None}
+
+
+def test_null_keys_are_keys(spark):
+    """Rows from before there were personas have a null one; it is replaced, merged from and merged into like any other."""
+    schema = "o string, s string, p string, b double"
+    old = spark.createDataFrame([("a", "b", None, 0.1), ("a", "b", "Bob", 0.2), ("c", "d", None, 0.3)], schema)
+    new = spark.createDataFrame([("a", "b", None, 0.9)], schema)
+    rows = lambda df: sorted(tuple(r) for r in df.fillna("-").collect())
+    assert rows(lifecycle.upsert(old, new, ["o", "s", "p"])) == [("a", "b", "-", 0.9), ("a", "b", "Bob", 0.2), ("c", "d", "-", 0.3)]
+    assert rows(lifecycle.upsert_keep(old, new, ["o", "s", "p"], ["b"])) == rows(old)
+    assert rows(lifecycle.insert_ignore(old, new, ["o", "s", "p"])) == rows(old)
+    assert rows(lifecycle.merge_persona(old, "p", None, "Bob", ["o", "s"])) == [("a", "b", "Bob", 0.2), ("c", "d", "Bob", 0.3)]
+    assert rows(lifecycle.merge_persona(old, "p", "Bob", None, ["o", "s"])) == [("a", "b", "-", 0.1), ("c", "d", "-", 0.3)]
+    assert tuple(lifecycle.merge_preview(old, "p", None, "Bob", ["o", "s"]).first()) == (1, 1)
+    assert tuple(lifecycle.merge_preview(old, "p", "Nobody", "Bob", ["o", "s"]).first()) == (0, 0)
+    out = social.smooth(old, new, ["o", "s", "p"], ["b"], 0.5)
+    assert rows(out) == [("a", "b", "-", 0.5), ("a", "b", "Bob", 0.2), ("c", "d", "-", 0.3)]
+
+
+def test_all_labels(spark):
+    for spelling, name in {**circumplex.SPELLINGS, **{x: x for x in circumplex.OCTANTS}}.items():
+        assert one(spark, circumplex.normalize_label(F.lit(spelling))) == name
+    assert len(circumplex.SPELLINGS) + len(circumplex.OCTANTS) == 33
+    assert one(spark, circumplex.normalize_label(F.lit("odd"), "as it is")) == "as it is"
+
+
+def test_white_space_of_any_kind_goes(spark):
+    assert one(spark, text.strip_thoughts(F.lit("<think>x</think>\n　 a\nb\t\n"))) == "a\nb"
+    assert one(spark, text.is_noise(F.lit("\n\n\n\n"))) and one(spark, text.normalize_name(F.lit("\n Tom(123456)\t"))) == "Tom"
+    assert one(spark, text.section(F.lit("## One\n\n x\n\n## Two\ny\n"), "One")) == "x"
+    assert not one(spark, text.is_tag(F.lit("\n\t"))) and one(spark, text.tokens(F.lit("abcde"))) == 2 and one(spark, text.tokens(F.lit(""))) == 1
+
+
+def test_rolling_equals_one_window(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("aaab"), i, rng.randint(0, 20), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, id int, t int, v double")
+    got = windows.rolling(windows.numbered(df, "k", ["t", "id"], F.col("t")), "k", "position", 7, 20, m=F.sum("v"))
+    seen = {r.id: (r.position, r.m) for r in got.collect()}
+    for k in "ab":
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))
+        for n, r in enumerate(own):
+            assert seen[r[1]][0] == n + 1 and seen[r[1]][1] == pytest.approx(sum(x[3] for x in own[max(0, n - 6) : n + 1]))
+    assert len(seen) == 400

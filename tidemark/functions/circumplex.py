@@ -16,7 +16,8 @@ SPELLINGS = {
     "冷淡": "cold", "孤避": "withdrawn", "顺应": "submissive", "谦让": "deferential",
     "友好": "affinity", "积极": "active", "支配": "dominant", "傲慢": "arrogant",
     "疏远": "cold", "敌意": "cold", "孤立": "withdrawn", "服从": "submissive",
-    "顺从": "submissive", "谦逊": "deferential",
+    "顺从": "submissive", "谦逊": "deferential", "掌控友好": "dominant", "支配友好": "dominant",
+    "friend": "affinity", "friendly": "affinity", "family": "affinity", "rival": "cold", "stranger": "cold",
 }
 ORIGIN = 1e-9
 
@@ -68,12 +69,12 @@ def heuristic(shared: Column, salience: Column) -> tuple[Column, Column]:
     )
 
 
-def normalize_label(label: Column) -> Column:
-    """The English label of any spelling; what is unknown becomes affinity."""
+def normalize_label(label: Column, unknown: Column | str = "affinity") -> Column:
+    """The English label of any spelling; what is unknown becomes affinity by default."""
     out = F.when(label.isin(*OCTANTS), label)
     for spelling, name in SPELLINGS.items():
         out = out.when(label == spelling, name)
-    return out.otherwise("affinity")
+    return out.otherwise(unknown)
 
 
 def ema(new: Column, old: Column, alpha: float = 0.4) -> Column:

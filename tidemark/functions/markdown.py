@@ -72,7 +72,7 @@ def parse(files: DataFrame, key: str = "subject", content: str = "content") -> D
     side = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c).cast("double"))).alias(c)
     share = lambda c: F.least(F.lit(1.0), F.col(c).cast("double") / 100).alias(c)
     return found.select(
-        key, "observer", "scope", normalize_label(F.col("orientation")).alias("orientation"), side("benevolence"), side("power"),
+        key, "observer", "scope", normalize_label(F.col("orientation"), F.col("orientation")).alias("orientation"), side("benevolence"), side("power"),
         share("intensity"), share("fit"), share("confidence"),
         F.filter(F.split("evidence", r",\s*"), lambda e: e != "").alias("evidence"),
     )

@@ -24,11 +24,17 @@ STOPWORDS = (
     "这个", "那个", "什么", "怎么", "可以", "已经", "还是", "但是",
     "因为", "所以", "如果", "或者", "我们", "你们", "他们",
 )
+#: Prefixes and characters, and the suffix and code fence above and below.
 STOP_PREFIXES = ("@", "#", "http://", "https://", "qq=")
 EMOJI = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{200D}]+"
 TRAITS = ("O", "C", "E", "A", "N")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -41,7 +47,7 @@ def normalize_message(text: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), NUMBER_SUFFIX, ""))
+    return strip(F.regexp_replace(F.coalesce(name, F.lit("")), NUMBER_SUFFIX, ""))
 
 
 def words(text: Column) -> Column:
@@ -60,20 +66,20 @@ def is_word_tag(word: Column) -> Column:
 def is_tag(tag: Column) -> Column:
     """No identifier: not empty, at most 30 characters, no run of digits, no UUID."""
     uuid = r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    bare = F.trim(tag)
+    bare = strip(tag)
     return (F.length(bare) > 0) & (F.length(bare) <= 30) & ~bare.rlike("^[0-9]{5,}$") & ~bare.rlike(uuid)
 
 
 def is_noise(text: Column) -> Column:
     """Fewer than 3 characters, with or without emoji, or one character makes up over 70 % of more than 5."""
-    clean = F.trim(F.coalesce(text, F.lit("")))
+    clean = strip(F.coalesce(text, F.lit("")))
     symbols = F.split(clean, "")
     counts = F.transform(F.array_distinct(symbols), lambda s: F.size(F.filter(symbols, lambda t: t == s)))
     most = F.coalesce(F.array_max(counts), F.lit(0))
     n = F.length(clean)
     return (
         (n < 3)
-        | (F.length(F.trim(F.regexp_replace(clean, EMOJI, ""))) < 3)
+        | (F.length(strip(F.regexp_replace(clean, EMOJI, ""))) < 3)
         | ((n > 5) & (most > 0.7 * n))
     )
 
@@ -100,7 +106,7 @@ def age_label(seconds: Column) -> Column:
 
 
 def strip_thoughts(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
 def percent_of_trait(value: Column) -> Column:
@@ -166,16 +172,16 @@ def parse_traits(text: Column) -> Column:
 
 def parse_topics(text: Column) -> Column:
     """array<struct<what, who, how, eval>> of ``[What] .. [Who] .. | ..``."""
-    part = lambda x, name: F.trim(F.regexp_extract(x, rf"\[{name}\]([^\[]*)", 1))
+    part = lambda x, name: strip(F.regexp_extract(x, rf"\[{name}\]([^\[]*)", 1))
     return F.transform(
-        F.filter(F.split(text, r"\|"), lambda x: F.trim(x) != ""),
+        F.filter(F.split(text, r"\|"), lambda x: strip(x) != ""),
         lambda x: F.struct(*(part(x, name).alias(name.lower()) for name in ("What", "Who", "How", "Eval"))),
     )
 
 
 def section(text: Column, marker: str) -> Column:
     """Text behind ``## marker`` up to the next heading."""
-    return F.trim(F.regexp_extract(text, rf"(?s)##\s*{marker}[^\n]*\n(.*?)(?:\n##|\z)", 1))
+    return strip(F.regexp_extract(text, rf"(?s)##\s*{marker}[^\n]*\n(.*?)(?:\n##|\z)", 1))
 
 
 def with_percent(text: Column, percent: Column, limit: int = 120) -> Column:

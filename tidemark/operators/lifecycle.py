@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _keys(rows: DataFrame, keys: list[str], also: list[Column] = ()) -> DataFrame:
+    return rows.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *also)
+
+
+def _same(keys: list[str]) -> Column:
+    """Keys are equal, null with null."""
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+
+
+def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys ``others`` doesn't have; null is a key like any other."""
+    return rows.join(_keys(others, keys), _same(keys), "left_anti")
+
+
 def latest(delta: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
     """One row per key, the newest."""
     n = F.row_number().over(W.partitionBy(*keys).orderBy(*newest))
@@ -17,18 +32,18 @@ def latest(delta: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame
 
 def upsert(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``delta``, which has one per key, replace rows of ``old``."""
-    return old.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
+    return without(old, delta, keys).unionByName(delta)
 
 
 def upsert_keep(old: DataFrame, delta: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """Like ``upsert``, but columns ``keep`` stay as they were where the row existed."""
-    before = old.select(*keys, *(F.col(c).alias(f"_{c}") for c in keep))
-    merged = delta.join(before, keys, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in keep else F.col(c) for c in old.columns))
-    return old.join(delta.select(*keys), keys, "left_anti").unionByName(merged)
+    before = _keys(old, keys, [F.col(c).alias(f"_{c}") for c in keep])
+    merged = delta.join(before, _same(keys), "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in keep else F.col(c) for c in old.columns))
+    return without(old, delta, keys).unionByName(merged)
 
 
 def insert_ignore(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(delta.join(old.select(*keys), keys, "left_anti"))
+    return old.unionByName(without(delta, old, keys))
 
 
 def decay(rows: DataFrame, rate: float) -> DataFrame:
@@ -51,18 +66,19 @@ def cleanup(rows: DataFrame, before: float, below: float) -> DataFrame:
     return archive(expire(rows, before), below)
 
 
-def merge_persona(rows: DataFrame, persona: str, source: str, target: str, keys: list[str]) -> DataFrame:
-    """Rows of the source persona move to the target, unless the target has a row with the same keys: then they go."""
-    own = rows.filter(F.col(persona) == target).select(*keys)
-    moving = rows.filter(F.col(persona) == source).join(own, keys, "left_anti").withColumn(persona, F.lit(target))
+def merge_persona(rows: DataFrame, persona: str, source: str | None, target: str | None, keys: list[str]) -> DataFrame:
+    """Rows of the source persona move to the target, unless the target has a row with the same keys: then they go.
+
+    Source and target may be null, which stands for rows from before there were personas.
+    """
+    own = rows.filter(F.col(persona).eqNullSafe(target))
+    moving = without(rows.filter(F.col(persona).eqNullSafe(source)), own, keys).withColumn(persona, F.lit(target).cast("string"))
     return rows.filter(~F.col(persona).eqNullSafe(source)).unionByName(moving.select(*rows.columns))
 
 
-def merge_preview(rows: DataFrame, persona: str, source: str, target: str, keys: list[str]) -> DataFrame:
+def merge_preview(rows: DataFrame, persona: str, source: str | None, target: str | None, keys: list[str]) -> DataFrame:
     """One row: how many rows a merge would move and drop."""
-    own = rows.filter(F.col(persona) == target).select(*keys).distinct().withColumn("_own", F.lit(True))
-    moving = rows.filter(F.col(persona) == source).join(own, keys, "left")
-    return moving.agg(
-        F.sum(F.when(F.col("_own").isNull(), 1).otherwise(0)).alias("moved"),
-        F.sum(F.when(F.col("_own"), 1).otherwise(0)).alias("dropped"),
-    )
+    own = _keys(rows.filter(F.col(persona).eqNullSafe(target)), keys).distinct().withColumn("_own", F.lit(True))
+    moving = rows.filter(F.col(persona).eqNullSafe(source)).join(own, _same(keys), "left")
+    count = lambda when: F.coalesce(F.sum(F.when(when, 1).otherwise(0)), F.lit(0))
+    return moving.agg(count(F.col("_own").isNull()).alias("moved"), count(F.col("_own")).alias("dropped"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,11 @@ def derived(b: Column, p: Column) -> list[Column]:
 
 def smooth(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], alpha: float = 0.4) -> DataFrame:
     """Upsert of edges: what exists moves by alpha towards the new value, what doesn't is the new value."""
-    joined = old.select(*keys, *(F.col(v).alias(f"_old_{v}") for v in values)).join(new, keys, "full")
+    before = old.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(F.col(v).alias(f"_old_{v}") for v in values), F.lit(True).alias("_old"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+    joined = before.join(new.withColumn("_new", F.lit(True)), same, "full")
     return joined.select(
-        *keys,
+        *(F.when(F.col("_new"), F.col(k)).otherwise(F.col(f"_key_{k}")).alias(k) for k in keys),
         *(F.coalesce(C.ema(F.col(v), F.col(f"_old_{v}"), alpha), F.col(v), F.col(f"_old_{v}")).alias(v) for v in values),
     )
 

@@ -56,3 +56,28 @@ def latest_per_group(rows: DataFrame, key: str, newest: list, n: int) -> DataFra
 def elastic_fold(turns: Column, decay: float) -> Column:
     """State after ordered turns: each decays it, then adds a delta and bends it into (-20, 20)."""
     return F.aggregate(turns, F.lit(0.0), lambda x, d: 20 * F.tanh((x * (1 - decay) + d) / 20))
+
+
+def numbered(rows: DataFrame, key: str | None, order: list[str], bucket: Column, name: str = "position") -> DataFrame:
+    """Adds the row number from 1 (per key) in the given order, without one task per key.
+
+    ``bucket`` must rise with the order; buckets are counted, and only those counts, one row each, are summed up in order.
+    """
+    keys = [key] if key else []
+    placed = rows.withColumn("_bucket", bucket)
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, "_bucket", before.alias("_before"))
+    own = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
+    return placed.withColumn("_own", own).join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
+
+
+def rolling(rows: DataFrame, key: str, position: str, size: int, block: int, **values: Column) -> DataFrame:
+    """Adds values over the last ``size`` rows per key; ``values`` take a window. Tasks get a block of positions and what stands before it."""
+    own = F.floor((F.col(position) - 1) / block)
+    late = (F.col(position) - 1) % block >= block - size + 1
+    # the last rows of a block stand in front of the next one, too
+    blocks = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    placed = rows.withColumn("_block", F.explode(blocks)).withColumn("_context", F.col("_block") != own)
+    w = W.partitionBy(key, "_block").orderBy(position).rowsBetween(1 - size, 0)
+    return placed.withColumns({name: value.over(w) for name, value in values.items()}).filter("NOT _context").drop("_block", "_context")

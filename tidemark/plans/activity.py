@@ -209,8 +209,9 @@ def event_averages(spark, sf_dir):
 )
 def perf_phases(spark, sf_dir):
     """Mean and last value over the last fifty samples of each phase."""
-    w = W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    return _events(spark, sf_dir).select("event_id", "event_type", F.round(F.avg("value").over(w), 8).alias("recent_mean"), F.last("value").over(w).alias("latest"))
+    rows = O.numbered(_events(spark, sf_dir), "event_type", ["ts", "event_id"], F.to_date("ts"))
+    found = O.rolling(rows, "event_type", "position", 50, 100_000, recent_mean=F.avg("value"), latest=F.last("value"))
+    return found.select("event_id", "event_type", F.round("recent_mean", 8).alias("recent_mean"), "latest")
 
 
 @query(

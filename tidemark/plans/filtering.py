@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -58,12 +59,11 @@ def filter_not_in_set(spark, sf_dir):
     return table(spark, sf_dir, "events").filter(~g.isin("click", "__pvt__")).select("event_id")
 
 
-@query(
-    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE array_has(['R', 'A'], l_returnflag) AND l_suppkey = 3"
-)
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING array_has(list(DISTINCT role), 'system')")
 def filter_array_contains(spark, sf_dir):
-    flags = F.array(F.lit("R"), F.lit("A"))
-    return table(spark, sf_dir, "lineitem").filter(F.array_contains(flags, F.col("l_returnflag")) & (F.col("l_suppkey") == 3)).select("l_orderkey", "l_linenumber")
+    """Conversations that have a role among their participants."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("participants"))
+    return rows.filter(F.array_contains("participants", "system")).select("conv_id")
 
 
 @query(
@@ -80,15 +80,18 @@ def filter_valid_tag(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, n < 3 OR (n > 5 AND most > 0.7 * n) AS noisy FROM (SELECT conv_id, turn, length(t) AS n,
+    """SELECT conv_id, turn, n < 3 OR (n > 5 AND most > 0.7 * n) AS noisy, turn % 2 = 0 AS padded FROM (SELECT conv_id, turn, length(t) AS n,
   coalesce(list_max(list_transform(list_distinct(string_split(t, '')), lambda s: len(list_filter(string_split(t, ''), lambda x: x = s)))), 0) AS most
-  FROM (SELECT conv_id, turn, trim(CASE turn % 4 WHEN 0 THEN repeat('a', 9) || 'b' WHEN 1 THEN 'hi' WHEN 2 THEN text ELSE '' END) AS t FROM conversations))"""
+  FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(said, '^\\s+', ''), '\\s+$', '') AS t FROM (
+    SELECT conv_id, turn, text AS said FROM conversations WHERE turn % 2 = 1
+    UNION ALL SELECT conv_id, turn, chr(10) || repeat(substr(text, 1, 1), 9) || substr(text, 1, turn % 7) || chr(10) || chr(9) FROM conversations WHERE turn % 2 = 0)))"""
 )
 def noise_filter(spark, sf_dir):
-    n = F.col("turn") % 4
-    said = F.when(n == 0, "aaaaaaaaab").when(n == 1, "hi").when(n == 2, F.col("text")).otherwise("")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
-    return rows.select("conv_id", "turn", text.is_noise(F.col("said")).alias("noisy"))
+    """Whole turns, and every second one as a run of one letter with a few more, in white space."""
+    run = F.concat(F.lit("\n"), F.repeat(F.substring("text", 1, 1), 9), F.col("text").substr(F.lit(1), (F.col("turn") % 7).cast("int")), F.lit("\n\t"))
+    padded = F.col("turn") % 2 == 0
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", padded.alias("padded"), F.when(padded, run).otherwise(F.col("text")).alias("said"))
+    return rows.select("conv_id", "turn", text.is_noise(F.col("said")).alias("noisy"), "padded")
 
 
 @query(
@@ -152,22 +155,28 @@ def intersect_event_sets(spark, sf_dir):
     return of("1-URGENT").intersect(of("5-LOW"))
 
 
-@query("SELECT c_custkey AS uid FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS uid FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def except_uncovered(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    """People whom no urgent order covers."""
+    covered = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid")).subtract(covered)
 
 
 @query(
-    "SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3) GROUP BY source"
+    """SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY list_no, n) AS place FROM (
+  SELECT source, doc_id, list_no, n FROM (
+    SELECT source, doc_id, 0 AS list_no, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents QUALIFY n <= 4
+    UNION ALL SELECT source, doc_id, 1, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents QUALIFY n <= 4)
+  QUALIFY row_number() OVER (PARTITION BY source, doc_id ORDER BY list_no) = 1)"""
 )
 def union_ranked_dedup(spark, sf_dir):
-    """Two ranked lists of each source, longest first; a document in both counts once."""
-    from tidemark.operators.windows import latest_per_group
-
+    """The four longest and the four newest documents of each source, one list behind the other; the first place of a document wins."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    lists = [latest_per_group(docs, "source", [F.col("n_chars").desc(), "doc_id"], n).select("source", "doc_id") for n in (2, 3)]
-    ids = lists[0].union(lists[1]).distinct().groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
-    return ids.select("source", F.array_join(F.col("d").cast("array<string>"), ",").alias("docs"))
+    ranked = lambda k, *order: docs.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy(*order))).filter("n <= 4").withColumn("list_no", F.lit(k))
+    both = ranked(0, F.col("n_chars").desc(), "doc_id").unionByName(ranked(1, F.col("doc_id").desc()))
+    first = both.groupBy("source", "doc_id").agg(F.min(F.struct("list_no", "n")).alias("at"))
+    place = F.row_number().over(W.partitionBy("source").orderBy("at.list_no", "at.n"))
+    return first.select("source", "doc_id", place.cast("long").alias("place"))
 
 
 @query(

@@ -106,7 +106,7 @@ def parse_summary_topics(spark, sf_dir):
 @query("SELECT o_orderkey AS id, trim(o_orderpriority) AS answer FROM orders")
 def strip_think(spark, sf_dir):
     said = F.concat(F.lit("<think>first\n"), F.col("o_orderstatus"), F.lit("</think>\n"), F.col("o_orderpriority"), F.lit("<think></think>"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.regexp_replace(text.strip_thoughts(said), r"^\s+", "").alias("answer"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.strip_thoughts(said).alias("answer"))
 
 
 _TRAIT = "(s_suppkey * 13 % 201 - 100) / 100.0::DOUBLE"

@@ -232,10 +232,12 @@ def graph_circular_layout(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment IS NULL"
+    "SELECT c_custkey, persona FROM (SELECT c_custkey, CASE WHEN c_nationkey % 5 > 0 THEN c_mktsegment END AS persona FROM customer) WHERE persona = 'BUILDING' OR persona IS NULL"
 )
 def filter_persona_scope(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter(scope.persona(F.col("c_mktsegment"), "BUILDING")).select("c_custkey", "c_mktsegment")
+    """A persona's rows and those from before there were personas."""
+    persona = F.when(F.col("c_nationkey") % 5 > 0, F.col("c_mktsegment")).alias("persona")
+    return table(spark, sf_dir, "customer").select("c_custkey", persona).filter(scope.persona(F.col("persona"), "BUILDING"))
 
 
 @query(

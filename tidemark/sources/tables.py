@@ -6,7 +6,6 @@ Each view has its SQL beside it: the queries' SQL names these views in its WITH
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
-    """Documents as memories: one hour per id, salience from the length, archived if toxic, a third without a parent."""
+    """Documents as memories: one hour per id, salience from the length, archived if toxic, a third without a parent, others after one of the five ids before."""
     labels = table(spark, sf_dir, "labels")
-    previous = F.lag("doc_id").over(W.partitionBy("source").orderBy("doc_id"))
-    docs = table(spark, sf_dir, "documents").withColumn("parent", F.when(F.col("doc_id") % 3 != 0, previous))
+    before = F.col("doc_id") - 1 - F.col("doc_id") % 5
+    docs = table(spark, sf_dir, "documents").withColumn("parent", F.when((F.col("doc_id") % 3 != 0) & (before >= 0), before))
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("event_id"),
         F.col("source").alias("group_id"),
@@ -41,7 +40,7 @@ MEMORIES = """memories AS (
          coalesce(l.quality = 1 AND d.doc_id % 10 = 0, false) AS is_locked,
          (d.doc_id * 3600)::DOUBLE AS start_time,
          CASE WHEN d.doc_id % 7 = 0 THEN 'narrative' ELSE 'episode' END AS event_type,
-         CASE WHEN d.doc_id % 3 <> 0 THEN lag(d.doc_id) OVER (PARTITION BY d.source ORDER BY d.doc_id) END AS parent
+         CASE WHEN d.doc_id % 3 <> 0 AND d.doc_id - 1 - d.doc_id % 5 >= 0 THEN d.doc_id - 1 - d.doc_id % 5 END AS parent
   FROM documents d LEFT JOIN labels l USING (doc_id)
 )"""
 
