@@ -313,3 +313,27 @@ def test_rolling_equals_one_window(spark):
         for n, r in enumerate(own):
             assert seen[r[1]][0] == n + 1 and seen[r[1]][1] == pytest.approx(sum(x[3] for x in own[max(0, n - 6) : n + 1]))
     assert len(seen) == 400
+
+
+def test_knn_of_many_questions(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(50, 4)).round(1)
+    points[7] = 0
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(99, None)], "id long, embedding array<double>").repartition(4)
+    asked = df.filter("id % 5 = 0 or id = 7").select(F.col("id").alias("query_id"), "embedding")
+    got = {(r.query_id, r.rank): r.id for r in retrieval.knn_batch(df, "id", asked, 3, block=4).collect()}
+    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+    for q in [*range(0, 50, 5), 7]:
+        s = (unit @ unit[q]).round(12)
+        assert [got[q, n] for n in (1, 2, 3)] == sorted(range(50), key=lambda i: (-s[i], i))[:3]
+    assert retrieval.knn_batch(df, "id", asked.limit(0), 3).count() == 0 == retrieval.knn_batch(df.limit(0), "id", asked, 3).count()
+
+
+def test_written_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Red red blue"), (2, "blue"), (3, None), (4, "")], "id long, t string")
+    retrieval.write_postings(docs, "id", "t", str(tmp_path / "x"), buckets=4)
+    found = retrieval.search_postings(spark, str(tmp_path / "x"), "id", ["RED", "blue", "none"])
+    want = {r.id: r.score for r in retrieval.bm25(docs, "id", "t", ["red", "blue"]).collect()}
+    assert {r.id: pytest.approx(r.score) for r in found.collect()} == want and {r.id: r.matched for r in found.collect()} == {1: 2, 2: 1}
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "In(term" in plan

@@ -153,3 +153,116 @@ def sample_softmax(rows: DataFrame, score: str, key: str, k: int, temperature: f
     uniform = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     noisy = F.col(score) / temperature - F.log(-F.log(uniform))
     return rows.orderBy(noisy.desc(), key).limit(k)
+
+
+# many questions at once
+
+#: Query vectors that travel to the tasks together, and the numbers that a task compares at a time.
+QUERY_BLOCK, MATRIX = 4096, 4_000_000
+
+
+def word_list(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, key, tf, len: an index to be written once, by term, and read by the terms of the questions."""
+    words = docs.select(key, word_list(F.col(text)).alias("w"))
+    rows = words.select(key, F.size("w").alias("len"), F.explode("w").alias("term"))
+    return rows.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def write_postings(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
+    """The index as files by bucket of terms: a question reads the buckets of its terms, and of those the row groups that hold them."""
+    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    sizes = docs.select(word_list(F.col(text)).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("average"))
+    sizes.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/sizes")
+
+
+def search_postings(spark, path: str, key: str, terms: list[str]) -> DataFrame:
+    """key, score, matched (terms found) for one question, from a written index. The filter on terms reaches the scan."""
+    n, average, buckets = spark.read.parquet(f"{path}/sizes").first()
+    wanted = sorted({t.lower() for t in terms})
+    held = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    places = sorted({r.b for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(held.alias("b")).collect()})
+    found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*places) & F.col("term").isin(*wanted))
+    df = {r.term: r.n for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per term of the question
+    idf = reduce(lambda c, t: c.when(F.col("term") == t, max(1e-6, math.log((n - df[t] + 0.5) / (df[t] + 0.5)))), sorted(df), F) if df else F.lit(0.0)
+    return found.groupBy(key).agg(F.sum(_weight(idf, average)).alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
+def _weight(idf: Column, average) -> Column:
+    tf, length = F.col("tf"), F.col("len")
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def bm25_batch(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int | None) -> DataFrame:
+    """query_id, key, score, rank of the best ``k`` for each question of (query_id, term): question terms meet postings by term.
+
+    Terms that no question has are dropped before the shuffle; counts are made where the texts stand.
+    """
+    wanted = queries.select("query_id", F.lower("term").alias("term")).distinct()
+    sizes = docs.select(key, F.size(word_list(F.col(text))).alias("len"))
+    total = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average")))  # one row
+    held = postings(docs, key, text).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = wanted.join(df, "term").crossJoin(total)  # one row against each
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    scored = asked.join(held, "term").groupBy("query_id", key).agg(F.sum(_weight(idf, F.col("average"))).alias("score"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), key))
+    ranked_ = scored.withColumn("rank", place)
+    return ranked_ if k is None else ranked_.filter(F.col("rank") <= k)
+
+
+def knn_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, key, similarity, rank: the nearest ``k`` of all vectors for each of (query_id, embedding); ties by key.
+
+    Questions travel in blocks of bounded size; a task keeps the best ``k`` of its rows for each, so what is shuffled
+    doesn't grow with the vectors of a task. Vectors without length are as far as any: similarity 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    schema = f"query_id long, {key} long, similarity double"
+    rows = vectors.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>"))
+    asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).filter("embedding IS NOT NULL")
+    n_blocks = max(1, -(-asked.count() // block))
+    deal = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    found = None
+    for number in range(n_blocks):
+        some = sorted(asked.filter(deal == number).collect())
+        ids = np.array([q.query_id for q in some], dtype=np.int64)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, _unit(np.array([q.embedding for q in some], dtype=float))))
+
+        def run(batches, shared=shared):
+            ids, asked_ = shared.value
+            best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
+            for b in batches:
+                own = b.column(key).to_numpy()
+                if not len(own) or not len(ids):
+                    continue
+                units = _unit(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)))
+                step = max(1, MATRIX // len(own))
+                for at in range(0, len(ids), step):
+                    for j, s in enumerate(asked_[at : at + step] @ units.T, at):
+                        s, names = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], own])
+                        top = np.lexsort((names, -s))[:k]
+                        best[j] = s[top], names[top]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([n for _, n in best] or [np.empty(0, dtype=np.int64)])), pa.array(np.concatenate([s for s, _ in best] or [np.empty(0)]))],
+                names=["query_id", key, "similarity"],
+            )
+
+        part = rows.filter("embedding IS NOT NULL").mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), key))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def _unit(vectors):
+    import numpy as np
+
+    if not len(vectors):
+        return vectors.reshape(0, 0)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)

@@ -48,8 +48,8 @@ def prune(rows: DataFrame, key: str, order: list[str], cost: str, locked: str, m
     return rows.withColumn("_goes", goes).filter(~F.col("_goes")).drop("_goes")
 
 
-def latest_per_group(rows: DataFrame, key: str, newest: list, n: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(key).orderBy(*newest))
+def latest_per_group(rows: DataFrame, key: str | list[str], newest: list, n: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*newest))
     return rows.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")
 
 

@@ -170,18 +170,6 @@ def fallback_extract(spark, sf_dir):
     )
 
 
-@query(
-    "SELECT conv_id, string_agg('[' || i || '] ' || role || ': ' || text, chr(10) ORDER BY i) AS prompt FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations) GROUP BY conv_id"
-)
-def prompt_build(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    lines = F.transform(
-        "t", lambda t, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), t.role, F.lit(": "), t.text)
-    )
-    return turns.select("conv_id", F.array_join(lines, "\n").alias("prompt"))
-
-
 @query(
     "SELECT event_id, lag(event_id) OVER (PARTITION BY group_id ORDER BY start_time, event_id) AS inherit_from, "
     "lead(event_id) OVER (PARTITION BY group_id ORDER BY start_time, event_id) AS shifts_to FROM memories WHERE status = 'active'",
@@ -194,16 +182,6 @@ def episode_chain(spark, sf_dir):
     return active.select("event_id", F.lag("event_id").over(order).alias("inherit_from"), F.lead("event_id").over(order).alias("shifts_to"))
 
 
-@query(
-    "SELECT conv_id, turn, role || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS label FROM (SELECT conv_id, turn, role, "
-    "row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations)"
-)
-def label_disambiguate(spark, sf_dir):
-    n = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn", "text"))
-    label = F.concat("role", F.when(F.col("n") > 1, F.concat(F.lit("#"), F.col("n").cast("string"))).otherwise(""))
-    return table(spark, sf_dir, "conversations").withColumn("n", n).select("conv_id", "turn", label.alias("label"))
-
-
 @query(
     """, points AS (SELECT (label * 1000000 + (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 100)::BIGINT AS session_id, vec_id AS message_id, embedding::DOUBLE[] AS e FROM embeddings),
 spans AS (SELECT session_id, greatest(max(message_id) - min(message_id), 1e-9) AS span FROM points GROUP BY session_id),

@@ -102,14 +102,6 @@ def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_message(raw).alias("said"))
 
 
-@query(
-    "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs FROM pages"
-)
-def parse_sections(spark, sf_dir):
-    paragraphs = F.expr("(length(html) - length(replace(html, '<p>', ''))) div 3")
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), paragraphs.alias("paragraphs"))
-
-
 @query("SELECT k, count(*) AS n FROM (SELECT json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY k")
 def json_extract_props(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long").alias("k")

@@ -29,16 +29,6 @@ def encode_embedding(spark, sf_dir):
     return memories(spark, sf_dir).select("event_id", embedding.encoder(embedding.hashed)(whole).alias("embedding"))
 
 
-@query(
-    "SELECT conv_id, count(*) AS n, count(*) FILTER (length(trim(text)) < 40) AS noisy FROM conversations GROUP BY conv_id HAVING count(*) FILTER (length(trim(text)) >= 40) > 0 AND count(*) FILTER (length(trim(text)) < 40) <= 0.8 * count(*)"
-)
-def noise_partition(spark, sf_dir):
-    """Windows go if nothing is left of them or over four fifths are noise: here, short messages."""
-    noisy = F.length(F.trim("text")) < 40
-    counts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(noisy.cast("long")).alias("noisy"))
-    return counts.filter((F.col("noisy") < F.col("n")) & (F.col("noisy") <= 0.8 * F.col("n")))
-
-
 @query(
     "SELECT label, i::INTEGER AS i, round(avg(x), 6) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL"
 )

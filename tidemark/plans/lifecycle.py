@@ -141,13 +141,3 @@ def cascade_delete(spark, sf_dir):
     return stay.unionByName(bindings.select(F.lit("binding").alias("kind"), F.col("o_orderkey").alias("id")))
 
 
-@query(
-    "SELECT group_id, least(0.85, 1)::DOUBLE AS salience, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS episodes FROM memories WHERE event_type = 'episode' GROUP BY group_id",
-    MEMORIES,
-)
-def narrative_upsert(spark, sf_dir):
-    """One narrative per group from its episodes."""
-    rows = memories(spark, sf_dir, text=False).filter("event_type = 'episode'")
-    return rows.groupBy("group_id").agg(
-        F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("episodes")
-    ).withColumn("salience", F.lit(0.85))

@@ -136,37 +136,6 @@ def persona_synthesis(spark, sf_dir):
     )
 
 
-_ORIENTED = """said AS (SELECT l_orderkey AS event_id, l_suppkey AS uid, count(*) AS n FROM lineitem GROUP BY ALL),
-shares AS (SELECT *, n / sum(n) OVER (PARTITION BY event_id) AS share FROM said)"""
-
-
-@query(
-    "SELECT a.uid AS observer, b.uid AS subject, round(sum(b.share * ((b.uid * 13 % 201 - 100) / 100.0::DOUBLE)), 6) AS benevolence, count(*) AS events "
-    "FROM shares a JOIN shares b ON a.event_id = b.event_id AND a.uid <> b.uid GROUP BY ALL",
-    _ORIENTED,
-)
-def orientation_update(spark, sf_dir):
-    """Each event adds to what the others think of a member: its trait by its share of the event's messages."""
-    said = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("uid")).agg(F.count(F.lit(1)).alias("n"))
-    share = said.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("event_id")))
-    weight = share.select("event_id", F.col("uid").alias("subject"), (F.col("share") * ((F.col("uid") * 13 % 201 - 100) / 100.0)).alias("w"))
-    met = share.select("event_id", F.col("uid").alias("observer")).join(weight, "event_id").filter("observer <> subject")
-    return met.groupBy("observer", "subject").agg(F.round(F.sum("w"), 6).alias("benevolence"), F.count(F.lit(1)).alias("events"))
-
-
-@query(
-    "SELECT CASE WHEN event_id % 10 = 0 THEN 'bin' ELSE 'live' END AS place, event_id FROM memories WHERE status = 'active' UNION ALL SELECT 'restored', event_id FROM memories WHERE status = 'archived'",
-    MEMORIES,
-)
-def recycle_restore(spark, sf_dir):
-    """Deleted rows move to the bin; what was archived comes back from it."""
-    rows = memories(spark, sf_dir, text=False)
-    live, gone = (rows.filter("status = 'active'").filter(c).select("event_id") for c in ("event_id % 10 <> 0", "event_id % 10 = 0"))
-    back = rows.filter("status = 'archived'").select("event_id")
-    place = lambda df, name: df.select(F.lit(name).alias("place"), "event_id")
-    return place(live, "live").unionByName(place(gone, "bin")).unionByName(place(back, "restored"))
-
-
 @query(
     "SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM memories WHERE status = 'active' ORDER BY salience DESC, event_id LIMIT 20) THEN 40000000.0::DOUBLE ELSE start_time END AS last_accessed_at FROM memories",
     MEMORIES,
@@ -178,16 +147,6 @@ def touch_accessed(spark, sf_dir):
     return rows.join(F.broadcast(hits), "event_id", "left").select("event_id", F.coalesce("now", "start_time").alias("last_accessed_at"))
 
 
-@query(
-    "SELECT DISTINCT tag FROM (SELECT unnest(['work', 'en']) AS tag UNION ALL SELECT tag FROM (SELECT unnest([lang, source]) AS tag FROM documents) GROUP BY tag QUALIFY row_number() OVER (ORDER BY count(*) DESC, tag) <= 20)"
-)
-def steering_tags(spark, sf_dir):
-    """Seed tags and the twenty most frequent ones, each once."""
-    tags = table(spark, sf_dir, "documents").select(F.explode(F.array("lang", "source")).alias("tag"))
-    top = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "tag").limit(20).select("tag")
-    return spark.createDataFrame([("work",), ("en",)], "tag string").unionByName(top).distinct()
-
-
 @query(
     "SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, string_agg(DISTINCT role, ',' ORDER BY role) AS participants, "
     "string_agg(substr(text, 1, 100), chr(10) ORDER BY turn, role, text) AS flow FROM conversations GROUP BY conv_id"

@@ -188,13 +188,10 @@ def format_memory_lines(spark, sf_dir):
 )
 def nearest_tag_alignment(spark, sf_dir):
     """Each vector takes the nearest canonical one, the first of a label, if it is near enough, else stays itself."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    first = F.min_by("embedding", "vec_id").alias("embedding")
-    tags = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"), first).collect()  # a row per label
-    best = F.array_max(
-        F.array(*(F.struct(R.cosine(F.col("embedding"), F.array(*map(F.lit, map(float, t.embedding)))).alias("similarity"), F.lit(-t.vec_id).alias("tag")) for t in tags))
-    )
-    found = vectors.select("vec_id", best.alias("b")).select("vec_id", (-F.col("b.tag")).alias("tag"), "b.similarity")
+    vectors = table(spark, sf_dir, "embeddings")
+    canonical = vectors.join(vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id")), ["label", "vec_id"], "left_semi")
+    best = R.knn_batch(canonical, "vec_id", vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
+    found = best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("tag"), "similarity")
     near = F.when(F.col("similarity") >= 0.3, F.col("tag")).otherwise(F.col("vec_id"))
     return found.select("vec_id", near.cast("long").alias("aligned"), F.round("similarity", 6).alias("similarity"))
 

@@ -96,16 +96,6 @@ def pair_cooccurrence(spark, sf_dir):
     return O.shared_events(members(spark, sf_dir), directed=False)
 
 
-@query(
-    "SELECT observer, subject, shared, round(benevolence, 6)::DOUBLE AS benevolence, power::DOUBLE AS power FROM (SELECT *, CASE WHEN shared >= 10 THEN least(1.0, 0.3 + 0.4 * s) "
-    "ELSE least(1.0, 0.1 + 0.3 * s) END AS benevolence, CASE WHEN shared >= 10 THEN 0.2 ELSE 0 END AS power FROM (SELECT *, least(1.0::DOUBLE, 0.3 + 0.05 * shared) AS s FROM shared))",
-    MEMBERS, _SHARED,
-)
-def reanalyze_scope(spark, sf_dir):
-    out = O.reanalyze(O.shared_events(members(spark, sf_dir)))
-    return out.select("observer", "subject", "shared", F.round("benevolence", 6).alias("benevolence"), "power")
-
-
 @query(
     "SELECT observer, subject, count(*) AS shared, string_agg(event_id::VARCHAR, ',' ORDER BY event_id DESC) AS evidence FROM (SELECT a.uid AS observer, b.uid AS subject, a.event_id "
     "FROM members a JOIN members b ON a.event_id = b.event_id AND a.uid < b.uid QUALIFY row_number() OVER (PARTITION BY a.uid, b.uid ORDER BY a.event_id DESC) <= 100) GROUP BY ALL",
