@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import tokens
 from tidemark.operators import windows as O
 from tidemark.plans.registry import query
-from tidemark.sources.tables import MEMORIES, memories, table
+from tidemark.sources.tables import IMPRESSIONS, MEMORIES, impressions, memories, table
 
 #: A fixed "now": the end of the events.
 NOW = "2024-01-31"
@@ -140,15 +141,19 @@ def salience_stats(spark, sf_dir):
 
 @query(
     "SELECT (SELECT count(*) FROM customer) AS personas, (SELECT count(*) FROM memories) AS events, (SELECT count(*) FROM memories WHERE status = 'archived') AS archived, "
-    "(SELECT count(*) FROM memories WHERE is_locked) AS locked, (SELECT count(DISTINCT group_id) FROM memories) AS groups",
-    MEMORIES,
+    "(SELECT count(*) FROM memories WHERE is_locked) AS locked, (SELECT count(DISTINCT group_id) FROM memories) AS groups, (SELECT count(*) FROM impressions) AS impressions, "
+    "(SELECT count(DISTINCT (group_id, floor(start_time / 86400))) FROM memories) AS summaries",
+    MEMORIES, IMPRESSIONS,
 )
 def plugin_stats(spark, sf_dir):
     own = memories(spark, sf_dir, text=False).agg(
-        F.count(F.lit(1)).alias("events"), _long(F.col("status") == "archived", "archived"), _long(F.col("is_locked"), "locked"), F.countDistinct("group_id").alias("groups")
+        F.count(F.lit(1)).alias("events"), _long(F.col("status") == "archived", "archived"), _long(F.col("is_locked"), "locked"), F.countDistinct("group_id").alias("groups"),
+        F.countDistinct("group_id", F.floor(F.col("start_time") / 86400)).alias("summaries"),
     )
     people = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("personas"))
-    return own.withColumn("k", F.lit(1)).join(people.withColumn("k", F.lit(1)), "k").select("personas", "events", "archived", "locked", "groups")
+    edges = impressions(spark, sf_dir).agg(F.count(F.lit(1)).alias("impressions"))
+    # single rows
+    return own.crossJoin(people).crossJoin(edges).select("personas", "events", "archived", "locked", "groups", "impressions", "summaries")
 
 
 @query(
@@ -189,11 +194,17 @@ def pagination(spark, sf_dir):
 
 
 @query(
-    "SELECT group_id, arg_max(event_id, (salience, -event_id)) AS featured, max(salience) AS salience FROM memories GROUP BY group_id", MEMORIES
+    "SELECT group_id, featured, salience, recent FROM (SELECT group_id, arg_max(event_id, (salience, -event_id)) AS featured, max(salience) AS salience FROM memories GROUP BY group_id) JOIN "
+    "(SELECT group_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id DESC) AS recent FROM (SELECT * FROM memories QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY start_time DESC, event_id DESC) <= 3) GROUP BY group_id) USING (group_id)",
+    MEMORIES,
 )
 def featured_argmax(spark, sf_dir):
     best = F.max(F.struct("salience", (-F.col("event_id")).alias("id"))).alias("b")
-    return memories(spark, sf_dir, text=False).groupBy("group_id").agg(best).select("group_id", (-F.col("b.id")).alias("featured"), "b.salience")
+    rows = memories(spark, sf_dir, text=False)
+    three = O.latest_per_group(rows, "group_id", [F.col("start_time").desc(), F.col("event_id").desc()], 3)
+    recent = three.groupBy("group_id").agg(F.sort_array(F.collect_list("event_id"), asc=False).alias("r"))
+    recent = recent.select("group_id", F.array_join(F.col("r").cast("array<string>"), ",").alias("recent"))
+    return rows.groupBy("group_id").agg(best).join(recent, "group_id").select("group_id", (-F.col("b.id")).alias("featured"), "b.salience", "recent")
 
 
 @query(
@@ -215,11 +226,16 @@ def perf_phases(spark, sf_dir):
 
 
 @query(
-    "SELECT role, count(*) AS calls, sum(length(text) // 2)::BIGINT AS tokens, round(sum(length(text) // 2) / sum(sum(length(text) // 2)) OVER (), 6)::DOUBLE AS share FROM conversations GROUP BY role"
+    "SELECT task, count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(prompt + completion)::BIGINT AS tokens, round(sum(prompt + completion) / sum(sum(prompt + completion)) OVER (), 6)::DOUBLE AS share "
+    "FROM (SELECT 't' || conv_id % 5 AS task, CASE WHEN role = 'assistant' THEN 0 ELSE greatest(1, length(text) // 2) END AS prompt, CASE WHEN role = 'assistant' THEN greatest(1, length(text) // 2) ELSE 0 END AS completion FROM conversations) GROUP BY task"
 )
 def token_usage(spark, sf_dir):
-    cost = F.expr("length(text) div 2")
-    per = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(cost).alias("tokens"))
+    """Tokens of prompts and of completions by task, and the task's share of all."""
+    cost = tokens(F.col("text")).cast("long")
+    said = lambda own: F.sum(F.when((F.col("role") == "assistant") == F.lit(own), cost).otherwise(0))
+    task = F.concat(F.lit("t"), (F.col("conv_id") % 5).cast("string")).alias("task")
+    per = table(spark, sf_dir, "conversations").groupBy(task).agg(F.count(F.lit(1)).alias("calls"), said(False).alias("prompt"), said(True).alias("completion"))
+    per = per.withColumn("tokens", F.col("prompt") + F.col("completion"))
     return per.select("*", F.round(F.col("tokens") / F.sum("tokens").over(W.partitionBy()), 6).alias("share"))
 
 

@@ -67,7 +67,19 @@ def thread_session_ranges(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    """, rows_ AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (
+  SELECT user_id, n, event_id AS first_message, event_id AS last_message, ts AS started, ts AS ended, 1 AS messages, NULL::VARCHAR AS reason FROM rows_ WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, CASE WHEN reason IS NULL THEN first_message ELSE event_id END, event_id, CASE WHEN reason IS NULL THEN started ELSE ts END, ts, CASE WHEN reason IS NULL THEN messages + 1 ELSE 1 END, reason
+  FROM (SELECT r.user_id, r.n, r.event_id, r.ts, w.first_message, w.started, w.messages, CASE WHEN r.ts - w.ended > INTERVAL 6 HOUR THEN 'gap' WHEN w.messages >= 50 THEN 'count'
+      WHEN r.ts - w.started >= INTERVAL 1 DAY THEN 'duration' WHEN w.messages >= 60 THEN 'rounds' END AS reason
+    FROM walk w JOIN rows_ r ON r.user_id = w.user_id AND r.n = w.n + 1)
+), closed AS (SELECT *, lead(reason) OVER (PARTITION BY user_id ORDER BY n) AS next_reason, lead(n) OVER (PARTITION BY user_id ORDER BY n) IS NULL AS final FROM walk)
+SELECT user_id::VARCHAR AS session_id, first_message, last_message, started, ended, messages::BIGINT AS messages, coalesce(next_reason, 'end') AS close_reason FROM closed WHERE next_reason IS NOT NULL OR final""",
+    "one AS (SELECT 1)",
+)
 def session_close_rules(spark, sf_dir):
     """Windows of each user under all close rules (gap, count, duration, rounds), without embeddings."""
     messages = table(spark, sf_dir, "events").select(
@@ -172,14 +184,15 @@ def fallback_extract(spark, sf_dir):
 
 @query(
     "SELECT event_id, lag(event_id) OVER (PARTITION BY group_id ORDER BY start_time, event_id) AS inherit_from, "
-    "lead(event_id) OVER (PARTITION BY group_id ORDER BY start_time, event_id) AS shifts_to FROM memories WHERE status = 'active'",
+    "lead(event_id) OVER (PARTITION BY group_id ORDER BY start_time, event_id) AS shifts_to, CASE WHEN lead(event_id) OVER (PARTITION BY group_id ORDER BY start_time, event_id) IS NOT NULL THEN right(text, 30) END AS preview FROM memories WHERE status = 'active'",
     MEMORIES,
 )
 def episode_chain(spark, sf_dir):
-    """Each active memory's predecessor, which it inherits from, and successor, in its group."""
+    """Each active memory's predecessor, which it inherits from, and successor, in its group, and the last words before the shift."""
     order = W.partitionBy("group_id").orderBy("start_time", "event_id")
-    active = memories(spark, sf_dir, text=False).filter("status = 'active'")
-    return active.select("event_id", F.lag("event_id").over(order).alias("inherit_from"), F.lead("event_id").over(order).alias("shifts_to"))
+    active = memories(spark, sf_dir).filter("status = 'active'").select("event_id", "group_id", "start_time", F.substring("text", -30, 30).alias("preview"))
+    after = F.lead("event_id").over(order)
+    return active.select("event_id", F.lag("event_id").over(order).alias("inherit_from"), after.alias("shifts_to"), F.when(after.isNotNull(), F.col("preview")).alias("preview"))
 
 
 @query(

@@ -40,11 +40,27 @@ def filter_search_multi(spark, sf_dir):
     return memories(spark, sf_dir).filter(hit).select("event_id", "group_id")
 
 
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-13'")
+@query(
+    "SELECT event_id, 'both' AS range FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-13' UNION ALL SELECT event_id, 'from' FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND ts <= TIMESTAMP '2024-01-21' "
+    "UNION ALL SELECT event_id, 'none' FROM events"
+)
 def filter_date_range(spark, sf_dir):
-    """From a day to the end of another, both ends included."""
+    """From a day to the end of another, both ends included; a day alone is that day; without one all rows pass."""
     rows = table(spark, sf_dir, "events")
-    return rows.filter("ts >= TIMESTAMP_NTZ '2024-01-10' AND ts <= TIMESTAMP_NTZ '2024-01-13'").select("event_id")
+    ranges = {"both": ("2024-01-10", "2024-01-12"), "from": ("2024-01-20", None), "none": (None, None)}
+    parts = [rows.filter(scope.in_days(F.col("ts"), *r)).select("event_id", F.lit(name).alias("range")) for name, r in ranges.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "SELECT event_id, 'all' AS asked FROM memories WHERE salience >= 0.9 UNION ALL SELECT event_id, 'src3' FROM memories WHERE salience >= 0.9 AND group_id = 'src3'",
+    MEMORIES,
+)
+def filter_optional_param(spark, sf_dir):
+    """A parameter that isn't given filters nothing."""
+    rows = memories(spark, sf_dir, text=False).filter("salience >= 0.9")
+    asked = lambda group: rows.filter(scope.optional(F.col("group_id"), group)).select("event_id", F.lit(group or "all").alias("asked"))
+    return asked(None).unionByName(asked("src3"))
 
 
 @query("SELECT doc_id FROM documents WHERE list_has_any([lang, source], ['de', 'src3'])")
@@ -109,13 +125,16 @@ def json_extract_props(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, round_even(salience, 3)::DOUBLE AS salience, substr(text, 1, 20) AS content, strftime(make_timestamp((start_time * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS start FROM memories",
+    "SELECT event_id, round_even(salience, 3)::DOUBLE AS salience, CASE WHEN event_id % 5 > 0 THEN text ELSE substr(event_id::VARCHAR, 1, 8) END AS content, strftime(make_timestamp((start_time * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS start FROM memories",
     MEMORIES,
 )
 def project_event_dict(spark, sf_dir):
     # seconds to a UTC text whatever the session's time zone is
+    # without a topic the first characters of the id stand for it
+    topic = F.when(F.col("event_id") % 5 > 0, F.col("text")).otherwise("")
+    content = F.coalesce(F.nullif(topic, F.lit("")), F.substring(F.col("event_id").cast("string"), 1, 8))
     start = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(start_time as decimal(18, 6)))"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return memories(spark, sf_dir).select("event_id", F.bround("salience", 3).alias("salience"), F.substring("text", 1, 20).alias("content"), start.alias("start"))
+    return memories(spark, sf_dir).select("event_id", F.bround("salience", 3).alias("salience"), content.alias("content"), start.alias("start"))
 
 
 @query(

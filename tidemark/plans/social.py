@@ -40,7 +40,7 @@ def octant_distribution(spark, sf_dir):
     return _projected(spark, sf_dir).groupBy("scope", "orientation").agg(F.count(F.lit(1)).alias("n"))
 
 
-_MOOD = "mood AS (SELECT scope, avg(benevolence) AS benevolence, avg(power) AS power, count(*) AS n FROM impressions WHERE confidence >= 0.3 GROUP BY scope HAVING count(*) >= 2)"
+_MOOD = "mood AS (SELECT scope || subject % 25 AS scope, avg(benevolence) AS benevolence, avg(power) AS power, count(*) AS n FROM impressions WHERE confidence >= 0.3 AND observer % 9 = subject % 2 GROUP BY 1 HAVING count(*) >= 2 OR count(DISTINCT subject) = 1)"
 
 
 @query(
@@ -48,8 +48,10 @@ _MOOD = "mood AS (SELECT scope, avg(benevolence) AS benevolence, avg(power) AS p
     IMPRESSIONS, _MOOD,
 )
 def mood_centroid(spark, sf_dir):
-    sure = impressions(spark, sf_dir).filter("confidence >= 0.3")
-    mood = sure.groupBy("scope").agg(F.avg("benevolence").alias("b"), F.avg("power").alias("p"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    """Where a group stands on the whole: at least two sure impressions, or one if it has a single member."""
+    sure = impressions(spark, sf_dir).filter("confidence >= 0.3 AND observer % 9 = subject % 2")
+    group = F.concat("scope", (F.col("subject") % 25).cast("string")).alias("scope")
+    mood = sure.groupBy(group).agg(F.avg("benevolence").alias("b"), F.avg("power").alias("p"), F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("people")).filter("n >= 2 OR people = 1")
     label = C.octant(F.col("b"), F.col("p"))
     return mood.select("scope", F.round("b", 6).alias("benevolence"), F.round("p", 6).alias("power"), "n", label.alias("orientation"))
 
@@ -122,12 +124,13 @@ def graph_nodes(spark, sf_dir):
 
 
 @query(
-    "SELECT observer || '--' || subject || '--' || scope || '--legacy' AS edge_id, orientation, round(intensity, 3)::DOUBLE AS intensity, n AS messages FROM projected",
+    "SELECT observer || '--' || subject || '--' || scope || '--' || CASE WHEN observer % 3 > 0 THEN 'p' || (observer % 3) ELSE 'legacy' END AS edge_id, orientation, round(intensity, 3)::DOUBLE AS intensity, n AS messages FROM projected",
     IMPRESSIONS, _PROJECTED,
 )
 def graph_edges(spark, sf_dir):
+    persona = F.when(F.col("observer") % 3 > 0, F.concat(F.lit("p"), (F.col("observer") % 3).cast("string")))
     return _projected(spark, sf_dir).select(
-        F.concat_ws("--", F.col("observer").cast("string"), F.col("subject").cast("string"), "scope", F.lit("legacy")).alias("edge_id"),
+        F.concat_ws("--", F.col("observer").cast("string"), F.col("subject").cast("string"), "scope", F.coalesce(persona, F.lit("legacy"))).alias("edge_id"),
         "orientation", F.round("intensity", 3).alias("intensity"), F.col("n").alias("messages"),
     )
 

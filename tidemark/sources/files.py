@@ -91,9 +91,13 @@ def read_snapshot(spark: SparkSession, base: str, version: int | None = None) ->
     return spark.read.parquet(f"{base}/version={max(versions(spark, base)) if version is None else version}")
 
 
-def prune_snapshots(spark: SparkSession, base: str, keep: int) -> list[int]:
-    """Removes all but the newest ``keep`` versions; at least one stays."""
+def prune_snapshots(spark: SparkSession, base: str, keep: int = 1, older_than: float | None = None) -> list[int]:
+    """Removes all but the newest ``keep`` versions (one at least); with a time (seconds since the epoch) only what was written before it."""
     gone = versions(spark, base)[: -max(1, keep)]
+    if older_than is not None:
+        fs, place = _filesystem(spark, base)
+        written = {n: fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/version={n}/_SUCCESS")).getModificationTime() / 1000 for n in gone}
+        gone = [n for n in gone if written[n] < older_than]
     for number in gone:
         fs, place = _filesystem(spark, f"{base}/version={number}")
         fs.delete(place, True)

@@ -16,9 +16,13 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
+from tidemark.operators import windows
+
 WINDOW = "session_id string, first_message long, last_message long, started timestamp, ended timestamp, messages long, close_reason string"
 
 
@@ -102,11 +106,14 @@ def _seconds(ts) -> float:
 
 
 def close_windows(messages: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Batch: all windows of (session_id, message_id, ts, [embedding]). One session's rows meet in one task, in time order.
+    """Batch: all windows of (session_id, message_id, ts, [embedding]).
 
-    The group carries ids, times and vectors only.
+    A gap that is too long closes a window whatever came before, so a session is cut at those first; what lies between two
+    of them meets in one task, in time order, with ids, times and vectors only.
     """
     columns = [c for c in ("session_id", "message_id", "ts", "embedding") if c in messages.columns]
+    cut = windows.sessions(messages.select(*columns), "session_id", "ts", "message_id", f"{rules.gap_s} SECONDS")
+    last = F.max("session").over(W.partitionBy("session_id")) == F.col("session")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "message_id"])
@@ -115,9 +122,9 @@ def close_windows(messages: DataFrame, rules: Rules = Rules()) -> DataFrame:
         for message, ts, vector in zip(pdf["message_id"], pdf["ts"], vectors):
             w, closed = step(w, int(message), _seconds(ts), vector, rules)
             rows += [closed] if closed else []
-        return _frame(key[0], rows + [told(w, "end")])
+        return _frame(key[0], rows + [told(w, "end" if key[2] else "gap")])
 
-    return messages.select(*columns).groupBy("session_id").applyInPandas(run, WINDOW.replace("timestamp", "timestamp_ntz"))
+    return cut.withColumn("last", last).groupBy("session_id", "session", "last").applyInPandas(run, WINDOW.replace("timestamp", "timestamp_ntz"))
 
 
 class SessionProcessor(StatefulProcessor):
