@@ -176,7 +176,9 @@ def test_drift_takes_effect_on_the_next_message():
     assert [(c[4], c[5]) for c in told] == [(20, "drift"), (2, "end")]
 
 
-def test_batch_windows_equal_the_loop(spark):
+@pytest.mark.parametrize("part", [S.PART, 20])
+def test_batch_windows_equal_the_loop(part, spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", part)
     rng = random.Random(6)
     rules, rows = S.Rules(gap_s=600, max_messages=5, rounds=8), []
     for s in ("a", "b"):

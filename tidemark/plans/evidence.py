@@ -59,8 +59,8 @@ folded AS (SELECT observer, subject, scope, max(m) AS m, max(orientation) FILTER
     sum(0.4 * 0.6 ** (r - 1) * power) AS p1, sum(CASE WHEN r = m THEN 0.6 ** (r - 1) ELSE 0.4 * 0.6 ** (r - 1) END * power) AS p0,
     sum(0.4 * 0.6 ** (r - 1) * intensity) AS i1, sum(CASE WHEN r = m THEN 0.6 ** (r - 1) ELSE 0.4 * 0.6 ** (r - 1) END * intensity) AS i0,
     sum(0.4 * 0.6 ** (r - 1) * fit) AS f1, sum(CASE WHEN r = m THEN 0.6 ** (r - 1) ELSE 0.4 * 0.6 ** (r - 1) END * fit) AS f0 FROM told GROUP BY ALL)
-SELECT f.observer, f.subject, f.scope, f.orientation, round(coalesce(0.6 ** m * e.benevolence + b1, b0), 5) + 0.0 AS benevolence, round(coalesce(0.6 ** m * e.power + p1, p0), 5) + 0.0 AS power,
-  round(coalesce(0.6 ** m * e.intensity + i1, i0), 5)::DOUBLE AS intensity, round(coalesce(0.6 ** m * e.confidence + f1, f0), 5)::DOUBLE AS confidence,
+SELECT f.observer, f.subject, f.scope, f.orientation, round(coalesce(0.6 ** m * e.benevolence + b1, b0) + 1e-9, 5) + 0.0 AS benevolence, round(coalesce(0.6 ** m * e.power + p1, p0) + 1e-9, 5) + 0.0 AS power,
+  round(coalesce(0.6 ** m * e.intensity + i1, i0) + 1e-9, 5)::DOUBLE AS intensity, round(coalesce(0.6 ** m * e.confidence + f1, f0) + 1e-9, 5)::DOUBLE AS confidence,
   least(100, m + CASE WHEN e.observer IS NOT NULL AND NOT EXISTS (SELECT 1 FROM signals s WHERE (s.observer, s.subject, s.scope, s.event_id) = (f.observer, f.subject, f.scope, e.last_event)) THEN 1 ELSE 0 END)::BIGINT AS evidence
 FROM folded f LEFT JOIN projected e ON (e.observer, e.subject, e.scope) = (f.observer, f.subject, f.scope)""",
     IMPRESSIONS, _PROJECTED, _SAID, _SHARED,
@@ -102,7 +102,8 @@ def orientation_update(spark, sf_dir):
     )
     before = old.select(*keys, *(F.col(c).alias(f"old_{n}") for c, n in (("benevolence", "benevolence"), ("power", "power"), ("intensity", "intensity"), ("confidence", "fit"))))
     both = folded.join(before, keys, "left")
-    value = lambda n: F.round(F.coalesce(F.pow(F.lit(1 - ALPHA), F.col("m")) * F.col(f"old_{n}") + F.col(f"{n}_1"), F.col(f"{n}_0")), 5) + 0.0
+    # a little more, so that sums in another order don't fall on two sides of a half
+    value = lambda n: F.round(F.coalesce(F.pow(F.lit(1 - ALPHA), F.col("m")) * F.col(f"old_{n}") + F.col(f"{n}_1"), F.col(f"{n}_0")) + 1e-9, 5) + 0.0
     evidence = F.least(F.lit(EVIDENCE), F.col("m") + F.when(F.col("old_fit").isNotNull() & (F.col("known") == 0), 1).otherwise(0)).cast("long")
     return both.select(
         *keys, F.col("label").alias("orientation"), value("benevolence").alias("benevolence"), value("power").alias("power"), value("intensity").alias("intensity"),

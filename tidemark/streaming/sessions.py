@@ -23,6 +23,8 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from tidemark.operators import windows
 
+#: Messages that go through the rules together, but for a longer stretch without a gap.
+PART = 10_000
 WINDOW = "session_id string, first_message long, last_message long, started timestamp, ended timestamp, messages long, close_reason string"
 
 
@@ -113,7 +115,11 @@ def close_windows(messages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     columns = [c for c in ("session_id", "message_id", "ts", "embedding") if c in messages.columns]
     cut = windows.sessions(messages.select(*columns), "session_id", "ts", "message_id", f"{rules.gap_s} SECONDS")
-    last = F.max("session").over(W.partitionBy("session_id")) == F.col("session")
+    # whole stretches between gaps, some thousand messages to a task
+    position = F.row_number().over(W.partitionBy("session_id").orderBy("ts", "message_id"))
+    first = F.min("position").over(W.partitionBy("session_id", "session"))
+    cut = cut.withColumn("position", position).withColumn("part", F.floor((first - 1) / PART)).drop("position", "session")
+    last = F.max("part").over(W.partitionBy("session_id")) == F.col("part")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "message_id"])
@@ -124,7 +130,7 @@ def close_windows(messages: DataFrame, rules: Rules = Rules()) -> DataFrame:
             rows += [closed] if closed else []
         return _frame(key[0], rows + [told(w, "end" if key[2] else "gap")])
 
-    return cut.withColumn("last", last).groupBy("session_id", "session", "last").applyInPandas(run, WINDOW.replace("timestamp", "timestamp_ntz"))
+    return cut.withColumn("last", last).groupBy("session_id", "part", "last").applyInPandas(run, WINDOW.replace("timestamp", "timestamp_ntz"))
 
 
 class SessionProcessor(StatefulProcessor):
