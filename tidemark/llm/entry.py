@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, licenses, packing, quality, secrets, sharding, simhash, tokens, toxicity
+from tidemark.llm import alignment, audit, decontaminate, html, jaccard, licenses, packing, quality, secrets, sharding, simhash, tokens, toxicity
 from tidemark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,13 +56,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(read(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_sharding, op2_secret_scan, op3_license_scan, op4_quality_rules, op5_decontamination, op6_toxicity,
-        op7_html_extraction, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts,
+        op7_html_extraction, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts, op11_filter_audit,
+        op12_tokenizer_alignment, op13_jaccard_join,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.ORACLE}
+    return {"op5_decontamination": decontaminate.ORACLE, "op11_filter_audit": audit.ORACLE}
