@@ -243,6 +243,37 @@ def test_identifiers():
         assert label(unknown) == ""
 
 
+def test_unknown_names_void_nothing():
+    label = lambda x: licenses.look(f"// SPDX-License-Identifier: {x}")[5]
+    for line, labels in (
+        ("MIT AND HPND AND Apache-2.0", "apache,hpnd,mit"), ("(MIT OR Foo-1.0) AND GPL-2.0-only", "foo-1.0,gpl,mit"), ("Beerware", "beerware"),
+        ("curl", "curl"), ("MulanPSL-2.0", "mulanpsl-2.0"), ("BlueOak-1.0.0 */", "blueoak-1.0.0"), ("CECILL-2.1 OR MIT", "cecill-2.1,mit"),
+        ("MIT AND QWERTY", "mit,qwerty"), ("MIT and utf-8 support", "mit"), ("MIT and it", "mit"), ("curl is a tool", "curl"), ("see LICENSE", ""),
+        ("Foo-2.0 WITH Bar-exception AND MIT", "foo-2.0,mit"), ("MIT. This file is free.", "mit"), ("GPL-2.0 WITH foo-1.0 OR X-3.1", "gpl,x-3.1"), ("QWERTY", ""),
+    ):
+        assert label(line) == labels, line
+
+
+def test_random_expressions():
+    """Every licence of a random expression is read, whatever stands behind it."""
+    rng = np.random.default_rng(8)
+    names = ["MIT", "ISC", "Foo-1.0", "Bar-2.1-only", "HPND", "GPL-2.0+", "LicenseRef-x", "Zlib", "NEW-9.9", "Apache-2.0", "BlueOak-1.0.0"]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            name = str(rng.choice(names))
+            return name + " WITH some-exception-1.0" * (rng.random() < 0.2), {name.lower()}
+        (a, x), (b, y) = make(depth - 1), make(depth - 1)
+        joined = f"{a} {rng.choice(['AND', 'OR', 'and', 'or'])} {b}"
+        return (f"({joined})" if rng.random() < 0.5 else joined), x | y
+
+    for _ in range(300):
+        expression, held = make(4)
+        for behind in ("", " */", ", and so on", "\nAND this"):
+            found = re.match(r"[A-Za-z0-9.+\-() \t]*", expression + behind)[0]
+            assert licenses.operands(licenses.readable_start(found))[0] == held, expression
+
+
 def test_tags_stand_where_the_automaton_finds_them():
     look = licenses.look
     assert look("spdx license identifier MIT")[6] == 0  # no colon

@@ -3,9 +3,12 @@
 One automaton over the word sequence of a text (lower-cased A-Z, words joined by single spaces) finds the three base
 phrases, further notice phrases and the identifier tag. Where the automaton has found a tag and a colon follows, an
 expression with ``and``, ``or``, ``with`` and parentheses is read from the raw text, to the end of the line and at any
-length. Operands are known identifiers: a name of ``FAMILIES``, a version and ``only``, ``or-later`` or ``+``, or a
-``LicenseRef-``; the longest start that is an expression counts, so prose behind it is left out. ``n_choices`` counts
-the ways to take one side of every ``or`` (a sum for ``or``, a product for ``and``; a repeated licence counts each time).
+length. Operands follow the grammar of identifiers. A name of ``FAMILIES`` (with a version and ``only``, ``or-later`` or
+``+``), one of ``NAMES`` or a ``LicenseRef-`` is one wherever it stands. Any other counts if it looks like an identifier (a
+digit, or several capitals beside an operator) and an operator, a parenthesis or the end follows it: prose goes on with a word.
+The longest start that is an expression counts, so an unknown name never voids what stands before it or around it.
+``n_choices`` counts the ways to take one side of every ``or`` (a sum for ``or``, a product for ``and``; a repeated licence
+counts each time). A licence without a label is labelled by its identifier.
 
 Score: 0 without evidence, else 1 - 0.5 ** (places + 3 * readable tags): more evidence, closer to 1.
 
@@ -54,6 +57,15 @@ FAMILIES = {
     "ncsa": "ncsa", "x11": "x11", "w3c": "w3c", "unicode": "unicode", "afl": "afl", "osl": "osl", "vim": "vim", "ruby": "ruby", "ms-pl": "ms-pl",
 }
 _IDENTIFIER = re.compile(r"(?:licenseref|documentref)-[a-z0-9.\-]+|(%s)(?:-v?[0-9][a-z0-9.]*(?:-[a-z0-9.]+)*?)?(?:-only|-or-later|\+)?" % "|".join(sorted(map(re.escape, FAMILIES), key=len, reverse=True)))
+#: Identifiers of one word that belong to no family above.
+NAMES = frozenset(
+    "abstyles aladdin aml barr beerware blessing borceux caldera crossword cube curl diffmark doc dsdp dvipdfm egenix entessa eurosym fair "
+    "ftl glide glulxe haskellreport hpnd icu ijg imagemagick intel jasper json latex2e leptonica libpng libtiff lppl makeindex miros mpich2 "
+    "multics naumen newsletr nokia noweb ntp php plexus psfrag psutils qhull qpl rdisc sendmail sissl sleepycat smlnj snia tcl tosl upl "
+    "vostrom watcom xerox xinetd xnet xpp xskat zed zend zpl".split()
+)
+_LIKE = re.compile(r"(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[a-z0-9.]+(?:-[a-z0-9.]+)*\+?")
+_CAPITALS = re.compile(r"[A-Za-z.\-]*[A-Z][A-Za-z.\-]*[A-Z][A-Za-z.\-]*\+?")
 _EXCEPTION = re.compile(r"[a-z0-9.\-]*exception[a-z0-9.\-]*|llgpl|swi-exception|[a-z]+-linking")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -132,11 +144,15 @@ def operands(postfix: list[str]) -> tuple[set[str], int]:
 
 
 def readable_start(raw: str) -> list[str] | None:
-    """The longest start that is an expression of known names, as postfix: prose may follow the expression on its line."""
+    """The longest start that is an expression, as postfix: prose may follow the expression on its line."""
     tokens = _TOKEN.findall(raw)
     end = depth = 0
     operand_next, names = True, _IDENTIFIER
     for k, t in enumerate(tokens):
+        bare = t.rstrip(".") or t
+        if bare != t:  # the end of a sentence
+            tokens[k], t = bare, bare
+            del tokens[k + 1 :]
         low = t.lower()
         # what needs an operand before it stands wrong where one is due, and the other way round
         if (t == ")" or low in _RANK) == operand_next:
@@ -149,7 +165,7 @@ def readable_start(raw: str) -> list[str] | None:
                 break
         elif low in _RANK:
             operand_next, names = True, _EXCEPTION if low == "with" else _IDENTIFIER
-        elif names.fullmatch(low):
+        elif names.fullmatch(low) or _named(tokens, k, names is _EXCEPTION):
             operand_next = False
         else:
             break
@@ -158,6 +174,17 @@ def readable_start(raw: str) -> list[str] | None:
     return to_postfix(tokens[:end]) if end else None
 
 
+def _named(tokens: list[str], k: int, exception: bool) -> bool:
+    """Whether a token that is of no known family is a name: one of ``NAMES``, or by its looks and what follows."""
+    t, after = tokens[k], tokens[k + 1].lower() if k + 1 < len(tokens) else ")"
+    if t.lower() in NAMES:
+        return not exception
+    if after != ")" and after not in _RANK:
+        return False
+    beside = k > 0 and tokens[k - 1].lower() in _RANK or after in _RANK
+    return bool(_LIKE.fullmatch(t.lower())) or beside and bool(_CAPITALS.fullmatch(t))
+
+
 def read_expression(raw: str) -> frozenset[frozenset[str]] | None:
     """Choices of the longest readable start."""
     postfix = readable_start(raw)
