@@ -3,18 +3,21 @@
 A small tree builder closes what HTML lets authors leave open (list items, paragraphs, table parts, options, terms) and
 ignores end tags that match nothing. What no browser shows (scripts, styles, templates, ``hidden``, ``display:none``,
 closed ``details`` but for their summary, and the like) is dropped with all that it holds; under ``visibility:hidden``
-elements may show again. Both come from ``style`` attributes and from the rules of ``<style>`` whose selectors are a
-tag, a class, an id, or a tag with one of them. MathML shows, of SVG the ``text`` elements; ``aria-hidden`` hides nothing.
+elements may show again. Both come from ``style`` attributes and from the rules of ``<style>`` whose selectors are made of
+tags, classes and ids, alone, together, or within one another (``p.a.b``, ``.a .b``, ``div > p``); rules with other selectors
+are passed over. MathML shows, of SVG the ``text`` elements; ``aria-hidden`` hides nothing.
 
 Text is laid out by block: paragraphs and headings stand apart by a blank line, other blocks by a line end, list items
 carry a bullet or number (``start``, ``value``, ``reversed``) with indent, ``pre`` keeps its white space. The cells of a
-table stand in columns, ``colspan`` and ``rowspan`` honoured; a cell longer than its column, which is as wide as its
-longest cell but ``WIDE`` at most, lets its row go on in the next line, so later cells stay in their column.
+table stand in columns, ``colspan`` and ``rowspan`` honoured. A cell keeps its own lines, with the blocks, lists and ``pre`` in
+it, and a row is as high as its highest cell. Lines of a cell that has another one behind it are broken at white space
+beyond ``MEASURE`` characters, as a window breaks them, so a column is as wide as its longest line; nothing is left out.
 
-Tree and layout work with stacks of their own, so nesting has no limit.
+Tree and layout work with stacks of their own, so nesting has no limit; lists indent down to the depth at which browsers stop to
+nest elements, too (``DEEP``).
 
 Defined cases: a null or empty page gives the empty text; unclosed comments, tags, quotes and elements end with the
-page; repeated pages are told alike; an empty table gives no rows; other columns are ignored.
+page; ``<!-->`` is a comment; quotes only count where a value starts; repeated pages are told alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The widest a column gets, and the deepest that lists are set in.
-WIDE, DEEP = 200, 40
+#: Characters of a line of a cell, and the depth that browsers nest elements to.
+MEASURE, DEEP = 100, 512
 #: Element classes of HTML, and its limits of spans.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -55,12 +58,13 @@ _TABLE = {"table"}
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+)))?")
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 _AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
-_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?(?:([.#])([\w-]+))?", re.I)
+_COMPOUND = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+_COMBINED = re.compile(r"\s*(>)\s*|\s+")
 _DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _NUMBER = re.compile(r"\s*(-?[0-9]{1,9})")
@@ -90,11 +94,54 @@ def _declared(style: str) -> dict[str, tuple[bool, str]]:
     return out
 
 
+class Place:
+    """An open element as selectors see it, and what it stands in."""
+
+    __slots__ = ("tag", "marks", "parent")
+
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Place | None):
+        self.tag, self.parent = tag, parent
+        self.marks = {f".{c}" for c in attributes.get("class", "").split()}
+        if "id" in attributes:
+            self.marks.add(f"#{attributes['id']}")
+
+    def fits(self, tag: str, marks: frozenset[str]) -> bool:
+        return tag in ("*", self.tag) and marks <= self.marks
+
+
+def _selector(text: str) -> list[tuple[str, frozenset[str], bool]] | None:
+    """Compounds from the last to the first: tag, classes and ids, and whether its parent (else any outer element) must fit the next."""
+    parts = _COMBINED.split(text.strip())
+    out = []
+    for k in range(len(parts) - 1, -1, -2):
+        m = _COMPOUND.fullmatch(parts[k])
+        if not m or not m[0]:
+            return None
+        marks = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+        out.append(((m[1] or "*").lower(), marks, k > 0 and parts[k - 1] == ">"))
+    return out
+
+
+def _within(place: Place, selector: list[tuple[str, frozenset[str], bool]], k: int = 0) -> bool:
+    """Whether ``place``, which fits the k-th compound, stands where the later ones want it."""
+    if k + 1 == len(selector):
+        return True
+    tag, marks, _ = selector[k + 1]
+    outer = place.parent
+    while outer is not None:
+        if outer.fits(tag, marks) and _within(outer, selector, k + 1):
+            return True
+        if selector[k][2]:
+            return False
+        outer = outer.parent
+    return False
+
+
 class Styles:
-    """Rules for display and visibility by tag, class and id."""
+    """Rules for display and visibility, by an id, a class or the tag of the element that they are for."""
 
     def __init__(self):
-        self.rules: dict[str, list[tuple[int, int, str, dict[str, tuple[bool, str]]]]] = {}
+        self.rules: dict[str, list[tuple[tuple, list, dict[str, tuple[bool, str]]]]] = {}
         self.count = 0
 
     def add(self, sheet: str) -> None:
@@ -102,27 +149,27 @@ class Styles:
             declared = _declared(body)
             if not declared:
                 continue
-            for selector in selectors.split(","):
-                m = _SELECTOR.fullmatch(selector.strip())
-                if m and m[0]:
+            for selector in map(_selector, selectors.split(",")):
+                if selector:
                     self.count += 1
-                    tag = (m[1] or "*").lower()
-                    key = m[2] + m[3] if m[2] else tag
-                    weight = {"#": 100, ".": 10}.get(m[2], 0) + (tag != "*")
-                    self.rules.setdefault(key, []).append((weight, self.count, tag, declared))
+                    tag, marks, _ = selector[0]
+                    every = [x for _, own, _ in selector for x in own]
+                    ids = sum(x[0] == "#" for x in every)
+                    weight = (0, ids, len(every) - ids, sum(t != "*" for t, _, _ in selector), self.count)
+                    self.rules.setdefault(min(marks, default=tag), []).append((weight, selector, declared))
 
-    def of(self, tag: str, attributes: dict[str, str]) -> dict[str, str]:
+    def of(self, place: Place, attributes: dict[str, str]) -> dict[str, str]:
         """The display and visibility that win, as far as any is set."""
         found = []
         if self.rules:
-            keys = {"*", tag, *(f".{c}" for c in attributes.get("class", "").split()), f"#{attributes.get('id', '')}"}
-            found = [(w, n, d) for k in keys for w, n, t, d in self.rules.get(k, ()) if t in ("*", tag)]
+            for key in {"*", place.tag, *place.marks}:
+                found += [(w, d) for w, s, d in self.rules.get(key, ()) if place.fits(s[0][0], s[0][1]) and _within(place, s)]
         if "style" in attributes:
-            found.append((1000, 0, _declared(_COMMENT.sub("", attributes["style"]))))
-        best: dict[str, tuple[tuple[bool, int, int], str]] = {}
-        for weight, n, declared in found:
+            found.append(((1,), _declared(_COMMENT.sub("", attributes["style"]))))
+        best: dict[str, tuple[tuple, str]] = {}
+        for weight, declared in found:
             for name, (important, value) in declared.items():
-                best[name] = max(best.get(name, ((False, -1, -1), "")), ((important, weight, n), value))
+                best[name] = max(best.get(name, ((False, ()), "")), ((important, weight), value))
         return {name: value for name, (_, value) in best.items()}
 
 
@@ -255,25 +302,39 @@ class Plain(Layout):
         return text.split("\n") if text else []
 
 
+def _broken(line: str) -> list[str]:
+    """Lines of up to ``MEASURE`` characters, broken at white space where there is some; the indent goes on."""
+    if len(line) <= MEASURE:
+        return [line]
+    indent = " " * min(len(line) - len(line.lstrip(" ")), MEASURE // 2)
+    out = []
+    while len(line) > MEASURE:
+        at = line.rfind(" ", len(indent) + 1, MEASURE + 1)
+        at = MEASURE if at < 0 else at
+        out.append(line[:at].rstrip(" "))
+        line = indent + line[at:].lstrip(" ")
+    return out + [line] * bool(line.strip())
+
+
 class Table(Layout):
     """Rows of cells; what stands between the parts (captions, stray text) comes before them, as browsers put it."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[list[tuple[int, int, str]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
         self.taken: dict[int, int] = {}  # column -> the first row that is free again
 
     def row(self) -> None:
         self.rows.append([])
         self.column = 0
 
-    def cell(self, text: str, columns: int, rows: int) -> None:
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
         if not self.rows:
             self.row()
         number = len(self.rows) - 1
         while self.taken.get(self.column, 0) > number:
             self.column += 1
-        self.rows[-1].append((self.column, columns, text))
+        self.rows[-1].append((self.column, columns, lines))
         for c in range(self.column, self.column + columns):
             self.taken[c] = number + rows
         self.column += columns
@@ -282,11 +343,15 @@ class Table(Layout):
         widths: Counter = Counter()
         later = []  # spans, by their last column
         for row in self.rows:
-            for column, columns, text in row[:-1]:  # nothing stands behind the last cell
+            # nothing stands behind the last cell that holds anything
+            last = max((k for k, (_, _, lines) in enumerate(row) if lines), default=0)
+            row[:last] = [(column, columns, [y for x in lines for y in _broken(x)]) for column, columns, lines in row[:last]]
+            for column, columns, lines in row[:last]:
+                need = max(map(len, lines), default=0)
                 if columns == 1:
-                    widths[column] = max(widths[column], min(len(text), WIDE))
+                    widths[column] = max(widths[column], need)
                 else:
-                    later.append((column + columns - 1, column, min(len(text), WIDE)))
+                    later.append((column + columns - 1, column, need))
         for last, column, need in sorted(later):
             widths[last] += max(0, need - 2 * (last - column) - sum(widths[c] for c in range(column, last + 1)))
         ends = max((c + n for row in self.rows for c, n, _ in row), default=0)
@@ -294,19 +359,15 @@ class Table(Layout):
         for c in range(ends + 1):
             starts.append(at)
             at += widths[c] + 2
-        lines = []
+        out = []
         for row in self.rows:
-            line = ""
-            for column, _, text in row:
-                if not text:
-                    continue
-                if line and len(line) + 2 > starts[column]:
-                    lines.append(line)
-                    line = ""
-                line = line.ljust(starts[column]) + text
-            if line:
-                lines.append(line)
-        return [x for x in super().told() if x] + lines
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for column, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        line = line.ljust(starts[column]) + lines[k]
+                out.append(line)
+        return [x for x in super().told() if x] + out
 
 
 def _whole(value: str | None, default: int, low: int, high: int) -> int:
@@ -318,9 +379,9 @@ def render(root: Node, styles: Styles) -> list[str]:
     """Lines of the page. One entry of ``work`` per open element: its children to come, how its text shows, what to do at its end."""
     frames: list[Layout] = [Layout()]
     # whether text shows, within svg (but for its text), the list's numbers ([next, step] or None), depth of lists
-    work = [(iter(root.children), (True, False, None, 0), None)]
+    work = [(iter(root.children), (True, False, None, 0), None, None)]
     while work:
-        children, (shown, drawn, numbers, deep), finish = work[-1]
+        children, (shown, drawn, numbers, deep), outer, finish = work[-1]
         x = next(children, None)
         if x is None:
             work.pop()
@@ -333,7 +394,8 @@ def render(root: Node, styles: Styles) -> list[str]:
                 out.text(x)
             continue
         tag, attributes = x.tag, x.attributes()
-        style = styles.of(tag, attributes)
+        place = Place(tag, attributes, outer)
+        style = styles.of(place, attributes)
         if tag in UNSEEN or style.get("display") == "none" or "hidden" in attributes and "display" not in style:
             continue
         if tag == "dialog" and "open" not in attributes and "display" not in style:
@@ -384,10 +446,11 @@ def render(root: Node, styles: Styles) -> list[str]:
                 back = "reversed" in attributes
                 first = sum(isinstance(y, Node) and y.tag == "li" for y in x.children) if back else 1
                 numbers = [_whole(attributes.get("start"), first, -(10**9), 10**9), -1 if back else 1]
-            finish = _block(out, tag in APART)
+            # lists within lists have no margin
+            finish = _block(out, tag in APART and not (tag in ("ul", "ol") and deep > 1))
         elif tag in ("td", "th"):
             out.space = True
-        work.append((inner, (shown, drawn, numbers, deep), finish))
+        work.append((inner, (shown, drawn, numbers, deep), place, finish))
     return frames[0].told()
 
 
@@ -404,19 +467,25 @@ def _put(frames: list[Layout], blank: bool):
     return finish
 
 
+def _trimmed(lines: list[str]) -> list[str]:
+    """Without empty lines at either end."""
+    full = [k for k, x in enumerate(lines) if x]
+    return lines[full[0] : full[-1] + 1] if full else []
+
+
 def _cell(frames: list[Layout], columns: int, rows: int):
     def finish() -> None:
-        text = " / ".join(x for x in frames.pop().told() if x)
-        frames[-1].cell(text, columns, rows)
+        lines = _trimmed(frames.pop().told())
+        frames[-1].cell(lines, columns, rows)
 
     return finish
 
 
 def _item(frames: list[Layout], mark: str, indent: bool):
     def finish() -> None:
-        lines = [x for x in frames.pop().told() if x]
+        lines = _trimmed(frames.pop().told())
         inset = " " * len(mark) if indent else ""
-        frames[-1].put([mark + lines[0], *(inset + x for x in lines[1:])] if lines else [], False)
+        frames[-1].put([mark + lines[0], *(inset + x if x else x for x in lines[1:])] if lines else [], False)
 
     return finish
 
