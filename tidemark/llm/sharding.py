@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+#: Numbers that a row is told for at once.
+RUN = 10_000
 KEYS = (0x3C6EF372, 0x1B873593, 0x2545F491, 0x41C64E6D)
 ROUNDS = len(KEYS)
 
@@ -95,9 +97,13 @@ def assign(docs: DataFrame, shards: int = 16, buckets: int = BUCKETS) -> DataFra
     def permuted(row_no: pd.Series) -> pd.Series:
         return pd.Series(permute(row_no.to_numpy(), n))
 
-    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1))
+    # rows alike in all three are spread before they are told one by one
+    own, last = ["doc_id", "size", "text_crc32"], F.col("first") + F.col("copies") - 1
+    parts = rows.filter(F.col("copies") > RUN).select(*own, F.explode(F.sequence("first", last, F.lit(RUN))).alias("first"), last.alias("last"))
+    dealt = parts.repartition("first").withColumn("last", F.least("last", F.col("first") + RUN - 1))
+    runs = rows.filter(F.col("copies") <= RUN).select(*own, "first", last.alias("last")).unionByName(dealt)
     return (
-        rows.select("doc_id", "size", "text_crc32", each.alias("row_no"))
+        runs.select(*own, F.explode(F.sequence("first", "last")).alias("row_no"))
         .withColumn("permuted", permuted("row_no"))
         .withColumn("shard", (F.col("permuted") % shards).cast("int"))
         .withColumn("slot", F.expr(f"permuted div {int(shards)}"))
