@@ -149,15 +149,19 @@ def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[Block]:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Adds ``_n_words``, ``_hits`` (array<struct<at, end>> in order) and ``_items`` (distinct, in order); keeps all columns."""
-    df = docs
-    for k, block in enumerate(_blocks(benchmark, block_windows)):
-        if k:
-            df = cut(df)
-        df = df.withColumn("_part", _finder(docs.sparkSession, block)("text"))
-        hits = F.arrays_zip(F.col("_part.at").alias("at"), F.col("_part.end").alias("end"))
-        df = df.withColumn("_hits", F.concat("_hits", hits) if k else hits)
-        df = df.withColumn("_items", F.array_union("_items", "_part.item") if k else F.col("_part.item"))
-        df = df.withColumn("_n_words", F.col("_part.n_words")).drop("_part")
+    hits = F.arrays_zip(F.col("_part.at").alias("at"), F.col("_part.end").alias("end")).alias("_hits")
+    blocks = _blocks(benchmark, block_windows)
+    df = docs.withColumn("_part", _finder(docs.sparkSession, next(blocks))("text")).select("*", hits, F.col("_part.item").alias("_items"), F.col("_part.n_words").alias("_n_words")).drop("_part")
+    more = None
+    for block in blocks:
+        if more is None:  # texts are written once, with numbers that a lost executor can't change
+            df = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+        found = df.select("_row", _finder(docs.sparkSession, block)("text").alias("_part")).filter(F.size("_part.at") > 0).select("_row", hits, F.col("_part.item").alias("_items"))
+        more = found if more is None else more.unionByName(found)
+    if more is not None:
+        joined = more.groupBy("_row").agg(F.flatten(F.collect_list("_hits")).alias("_more"), F.flatten(F.collect_list("_items")).alias("_also"))
+        none = lambda c, own: F.coalesce(c, F.filter(own, lambda x: F.lit(False)))
+        df = df.join(joined, "_row", "left").withColumns({"_hits": F.concat("_hits", none("_more", "_hits")), "_items": F.array_union("_items", none("_also", "_items"))}).drop("_row", "_more", "_also")
     return df.withColumn("_hits", F.array_sort("_hits")).withColumn("_items", F.array_sort("_items"))
 
 
