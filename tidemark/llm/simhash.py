@@ -15,9 +15,9 @@ jumping, with lineage cut each round.
 Rows get their component by fingerprint. A fingerprint of more than a ``SHARE`` of all rows (copies of one text, texts
 without words) would be one key of a join, but there are fewer than 1 / ``SHARE`` of those, so they travel by broadcast.
 
-``deduplicate`` doesn't shuffle the texts: rows that go, and keys with repeated rows, are marked in a Bloom filter of
-fixed size; what isn't marked stays where it stands, and only marked rows, few of them by mistake, meet the exact join.
-The filter only saves work: when it is full, more rows meet the join.
+``deduplicate`` doesn't shuffle the texts: rows that go, and keys with repeated rows, are marked in a Bloom filter whose size
+follows their number up to 64 MB; what isn't marked stays where it stands, and only marked rows, few of them by mistake, meet
+the exact join. The filter only saves work: when it is full, more rows meet the join.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any other; repeated
 rows share a fingerprint; null doc_ids have a fingerprint but never name a component that has another id; an empty
@@ -30,13 +30,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import bloom
 from tidemark.llm.common import cut, utf8
 
 SHINGLE = 3
@@ -47,8 +46,6 @@ BUCKET_CAP = 8192
 CHUNK = 1 << 15
 FAN = 8
 SHARE = 1 / 1000
-#: The Bloom filter: 4 MB, three places for each key.
-BLOOM_WORDS, BLOOM_PLACES = 1 << 19, 3
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -132,16 +129,17 @@ def links(fps: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
         keyed = level.join(F.broadcast(table), "path").select("fp", "kept", F.explode("next").alias("next"))
         kept = F.col("kept").bitwiseOR(F.col("fp").bitwiseAND(F.col("next.mask")))
         keyed = keyed.select("fp", F.col("next.path").alias("path"), kept.alias("kept"))
-        sized = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("path", "kept"))).filter("n > 1")
+        # buckets are counted before they are brought together; those over the cap never are
+        sizes = keyed.groupBy("path", "kept").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         paths = {f"{p}{i:x}": paths[p] & ~m for p, o in choices.items() for i, m in enumerate(o)}
         last = all(1 << free.bit_count() <= cap for free in paths.values())
-        light = sized if last else sized.filter(F.col("n") <= cap)
-        buckets = light.groupBy("path", "kept").agg(F.collect_list("fp").alias("fps"))
+        light = sizes if last else sizes.filter(F.col("n") <= cap)
+        buckets = keyed.join(light.drop("n"), ["path", "kept"]).groupBy("path", "kept").agg(F.collect_list("fp").alias("fps"))
         edges = buckets.select("fps").mapInArrow(_trees, "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         if last:
             break
-        level = cut(sized.filter(F.col("n") > cap).select("fp", "path", "kept"))
+        level = cut(keyed.join(sizes.filter(F.col("n") > cap).drop("n"), ["path", "kept"], "left_semi").select("fp", "path", "kept"))
         paths = {r.path: paths[r.path] for r in level.select("path").distinct().collect()}  # at most 15 ** depth
     return found.distinct()
 
@@ -187,46 +185,6 @@ def report(docs: DataFrame) -> DataFrame:
     return linked(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _places(key: np.ndarray) -> Iterator[np.ndarray]:
-    """Bit numbers of keys (signed 64-bit hashes) in the filter."""
-    k = key.astype(np.int64).view(np.uint64)
-    step = (k >> np.uint64(17)) | np.uint64(1)
-    for n in range(BLOOM_PLACES):
-        yield (k + np.uint64(n) * step) % np.uint64(64 * BLOOM_WORDS)
-
-
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """Filter of the column ``key``: one array of fixed size, whatever the number of keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(64 * BLOOM_WORDS, dtype=bool)
-        for b in batches:
-            for place in _places(b.column("key").to_numpy()):
-                bits[place] = True
-        words = np.packbits(bits, bitorder="little").view("<i8")
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
-
-    out = np.zeros(BLOOM_WORDS, dtype=np.int64)
-    parts = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    for b in parts.toArrow().to_batches():  # at most BLOOM_WORDS rows
-        out[b.column("at").to_numpy()] = b.column("bits").to_numpy()
-    return out
-
-
-def _in_bloom(bloom: np.ndarray, spark):
-    shared = spark.sparkContext.broadcast(bloom)
-
-    @F.pandas_udf("boolean")
-    def maybe(key: pd.Series) -> pd.Series:
-        found = np.ones(len(key), dtype=bool)
-        for place in _places(key.to_numpy()):
-            found &= (shared.value.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(found)
-
-    return maybe
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns."""
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
@@ -235,9 +193,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")
     first = kept.select(id_, "text_key")
     key = F.xxhash64("id", "text_key").alias("key")
-    # where a component has several rows, all but one go
-    crowded = rows.filter("size > 1").select(id_, "text_key")
-    maybe = _in_bloom(_bloom(crowded.select(key)), docs.sparkSession)
+    # where a component has several rows, all but its first one go, and copies of that
+    crowded = rows.filter("size > 1").select(id_, "text_key").groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    goes = cut(crowded.join(first.withColumn("is_first", F.lit(True)), ["id", "text_key"], "left").filter("is_first IS NULL OR n > 1").select(key))
+    maybe = bloom.may_hold(docs.sparkSession, bloom.build(goes, goes.count()))
     # the row travels as one struct, so its names can't clash with the ones used here
     placed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), _text_key().alias("text_key")).select("row", id_, "text_key")
     marked = placed.withColumn("marked", maybe(key))
