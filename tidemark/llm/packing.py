@@ -30,7 +30,8 @@ from tidemark.llm.common import cut
 
 SEQUENCE = 2048
 GROUP = 4096
-CACHED_WORDS = 700_000
+#: Words that a task remembers, and the bytes of them and their ids; then it forgets them.
+CACHED_WORDS, CACHED_BYTES = 700_000, 64_000_000
 #: Texts whose unknown words are encoded together.
 BLOCK = 32
 
@@ -64,6 +65,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         learned: dict[str, bytes] = {}
@@ -77,9 +79,11 @@ class Encoder:
             else:  # not one end per word: no use of the joined text
                 parts = [np.array(e.ids, dtype="<u4").tobytes() for e in self.words.encode_batch(some, add_special_tokens=False)]
             learned.update(zip(some, parts))
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS or self.size > CACHED_BYTES:
             self.known.clear()
+            self.size = 0
         self.known.update(learned)
+        self.size += sum(len(w) + len(x) for w, x in learned.items())
         return learned
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:

@@ -50,6 +50,8 @@ LISTED = 2.0
 PSEUDO_DOCS = 5.0
 EM_ROUNDS = 25
 KNOWN_WORDS = 1_000_000
+#: Bytes of the words that a task remembers; then it forgets them.
+KNOWN_BYTES = 64_000_000
 #: Common insults of four languages.
 INSULTS = {
     "en": "idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb filth vermin imbecile",
@@ -84,6 +86,7 @@ class Wanted:
     def __init__(self, names: frozenset[str]):
         self.names = names
         self.known: dict[str, tuple[tuple[str, ...], tuple[str, ...]] | None] = {}
+        self.size = 0
 
     def _meet(self, word: str):
         parts = stems(word)
@@ -93,11 +96,12 @@ class Wanted:
 
     def __call__(self, text: str | None) -> set[str]:
         out, held = set(), Counter()
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
+        if len(self.known) > KNOWN_WORDS or self.size > KNOWN_BYTES:
+            self.known, self.size = {}, 0
         for w in words_of(set(word_bytes(text))):
             if w not in self.known:
                 self.known[w] = self._meet(w)
+                self.size += len(w)
             named = self.known[w]
             if named:
                 out.update(named[0])
@@ -113,10 +117,11 @@ class Model:
     # words met so far, and what is known of the telling ones: strength, voters, lists, stems that tell if shared
     met: set[bytes] = field(default_factory=set, repr=False)
     telling: dict[bytes, tuple[float, tuple[int, ...], tuple[int, ...], tuple[str, ...]]] = field(default_factory=dict, repr=False)
+    size: int = field(default=0, repr=False)
 
     def _meet(self, words: set[bytes]) -> None:
-        if len(self.met) > KNOWN_WORDS:
-            self.met, self.telling = set(), {}
+        if len(self.met) > KNOWN_WORDS or self.size > KNOWN_BYTES:
+            self.met, self.telling, self.size = set(), {}, 0
         starts = {k.rstrip("*") for k in self.strength}  # of stems, and whole words
         for raw in words:
             for w in _WORD.findall(raw.decode("utf-8", "surrogatepass").lower()):
@@ -130,6 +135,7 @@ class Model:
                     own = max([self.strength[k] for k in mined] + [LISTED] * bool(lists), default=0.0)
                     self.telling[raw] = own, tuple({self.voter[k] for k in mined}), lists, shared
         self.met |= words
+        self.size += sum(map(len, words))
 
     def look(self, text: str | None) -> tuple[tuple[int, ...], list[float]]:
         """Votes and features of a text."""
