@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back from there, so a lost executor can't change its rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a table that was written to the shared folder and is no longer read."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
