@@ -73,10 +73,10 @@ def is_tag(tag: Column) -> Column:
 def is_noise(text: Column) -> Column:
     """Fewer than 3 characters, with or without emoji, or one character makes up over 70 % of more than 5."""
     clean = strip(F.coalesce(text, F.lit("")))
-    symbols = F.split(clean, "")
-    counts = F.transform(F.array_distinct(symbols), lambda s: F.size(F.filter(symbols, lambda t: t == s)))
-    most = F.coalesce(F.array_max(counts), F.lit(0))
     n = F.length(clean)
+    # a character that makes up over half stands in the middle of all in order: the only one to count
+    middle = F.element_at(F.array_sort(F.regexp_extract_all(clean, F.lit("(?s)."), F.lit(0))), (n / 2).cast("int") + 1)
+    most = F.when(n > 5, n - F.length(F.replace(clean, middle, F.lit("")))).otherwise(0)
     return (
         (n < 3)
         | (F.length(strip(F.regexp_replace(clean, EMOJI, ""))) < 3)

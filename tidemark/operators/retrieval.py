@@ -143,9 +143,14 @@ def expand_threads(anchors: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def fill_budget(rows: DataFrame, cost: Column, budget: int, header: int, partition: list[str], key: str) -> DataFrame:
-    """The greedy prefix by falling salience whose cost, with the header's, stays within the budget."""
-    order = W.partitionBy(*partition).orderBy(F.col("salience").desc(), key).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("cost", cost).withColumn("used", header + F.sum("cost").over(order)).filter(F.col("used") <= budget)
+    """The greedy prefix by falling salience whose cost, with the header's, stays within the budget. A row costs one at least.
+
+    So no more rows than the budget can be in it: tasks keep as many of each group, and only those are brought together.
+    """
+    order = W.partitionBy(*partition).orderBy(F.col("salience").desc(), key)
+    few = rows.withColumn("cost", cost).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= budget - header)
+    used = header + F.sum("cost").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return few.withColumn("used", used).filter(F.col("used") <= budget).drop("_n")
 
 
 def sample_softmax(rows: DataFrame, score: str, key: str, k: int, temperature: float, seed: int) -> DataFrame:
@@ -197,24 +202,6 @@ def _weight(idf: Column, average) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bm25_batch(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int | None) -> DataFrame:
-    """query_id, key, score, rank of the best ``k`` for each question of (query_id, term): question terms meet postings by term.
-
-    Terms that no question has are dropped before the shuffle; counts are made where the texts stand.
-    """
-    wanted = queries.select("query_id", F.lower("term").alias("term")).distinct()
-    sizes = docs.select(key, F.size(word_list(F.col(text))).alias("len"))
-    total = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average")))  # one row
-    held = postings(docs, key, text).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = wanted.join(df, "term").crossJoin(total)  # one row against each
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = asked.join(held, "term").groupBy("query_id", key).agg(F.sum(_weight(idf, F.col("average"))).alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), key))
-    ranked_ = scored.withColumn("rank", place)
-    return ranked_ if k is None else ranked_.filter(F.col("rank") <= k)
-
-
 def knn_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, key, similarity, rank: the nearest ``k`` of all vectors for each of (query_id, embedding); ties by key.
 
@@ -246,9 +233,7 @@ def knn_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block: i
                 step = max(1, MATRIX // len(own))
                 for at in range(0, len(ids), step):
                     for j, s in enumerate(asked_[at : at + step] @ units.T, at):
-                        s, names = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], own])
-                        top = np.lexsort((names, -s))[:k]
-                        best[j] = s[top], names[top]
+                        best[j] = _best(best[j], s, own, k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([n for _, n in best] or [np.empty(0, dtype=np.int64)])), pa.array(np.concatenate([s for s, _ in best] or [np.empty(0)]))],
                 names=["query_id", key, "similarity"],
@@ -260,6 +245,21 @@ def knn_batch(vectors: DataFrame, key: str, queries: DataFrame, k: int, block: i
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _best(held, s, names, k: int):
+    """The best ``k`` of those held and new ones, ties by name. Only what reaches the k-th best is sorted."""
+    import numpy as np
+
+    if len(held[0]) == k:
+        near = s >= held[0][-1]
+        s, names = s[near], names[near]
+    s, names = np.concatenate([held[0], s]), np.concatenate([held[1], names])
+    if len(s) > 4 * k:
+        near = s >= np.partition(s, len(s) - k)[len(s) - k]
+        s, names = s[near], names[near]
+    top = np.lexsort((names, -s))[:k]
+    return s[top], names[top]
+
+
 def _unit(vectors):
     import numpy as np
 

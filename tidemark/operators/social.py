@@ -10,11 +10,32 @@ from pyspark.sql import functions as F
 from tidemark.functions import circumplex as C
 
 
-def pairs(members: DataFrame, directed: bool = True) -> DataFrame:
-    """event_id, observer, subject: who met whom. An event's members are few, so the join grows with them only."""
-    a, b = members.select("event_id", F.col("uid").alias("observer")), members.select("event_id", F.col("uid").alias("subject"))
+#: Members of an event that meet in one task, and the most tasks for pairs of their blocks.
+BLOCK, MOST_TASKS = 2000, 10_000
+
+
+def pairs(members: DataFrame, directed: bool = True, block: int = BLOCK) -> DataFrame:
+    """event_id, observer, subject: who met whom.
+
+    The members of an event with more than ``block`` are dealt into blocks, and pairs of blocks meet, so a large event is the work
+    of many tasks.
+    """
     apart = F.col("observer") != F.col("subject") if directed else F.col("observer") < F.col("subject")
-    return a.join(b, "event_id").filter(apart)
+    blocks = F.ceil(F.col("n") / block)
+    sizes = members.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    n_pairs = sizes.agg(F.sum(blocks * blocks)).first()[0] or 0
+    small = members.join(sizes, "event_id", "left_anti") if n_pairs else members
+    a, b = (small.select("event_id", F.col("uid").alias(name)) for name in ("observer", "subject"))
+    met = a.join(b, "event_id").filter(apart)
+    if not n_pairs:
+        return met
+    # a pair of blocks is little to read and much to tell, so tasks are not made by what they read
+    tasks = min(MOST_TASKS, n_pairs)
+    large = members.join(sizes, "event_id").select("event_id", "uid", F.pmod(F.xxhash64("uid"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    c = large.select("event_id", F.col("uid").alias("observer"), F.col("own").alias("_i"), F.col("other").alias("_j"))
+    d = large.select("event_id", F.col("uid").alias("subject"), F.col("other").alias("_i"), F.col("own").alias("_j"))
+    dealt = (x.repartition(tasks, "event_id", "_i", "_j") for x in (c, d))
+    return met.unionByName(next(dealt).join(next(dealt), ["event_id", "_i", "_j"]).filter(apart).drop("_i", "_j"))
 
 
 def shared_events(members: DataFrame, directed: bool = True) -> DataFrame:

@@ -39,13 +39,15 @@ def context_state(position: Column, window: int, recalled: Column, drifted: Colu
     )
 
 
-def prune(rows: DataFrame, key: str, order: list[str], cost: str, locked: str, most: int, batch: int) -> DataFrame:
-    """Rows that stay when the oldest unlocked ones go until ``most - batch`` units are left; only where more than ``most`` are."""
-    free = W.partitionBy(key, locked).orderBy(*order)
-    total = F.sum(F.when(~F.col(locked), F.col(cost)).otherwise(0)).over(W.partitionBy(key))
-    before = F.coalesce(F.sum(cost).over(free.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    goes = ~F.col(locked) & (total > most) & (total - before > most - batch)
-    return rows.withColumn("_goes", goes).filter(~F.col("_goes")).drop("_goes")
+def prune(rows: DataFrame, key: str, order: list[str], cost: str, locked: str, most: int, batch: int, bucket: Column | None = None) -> DataFrame:
+    """Rows that stay when the oldest unlocked ones go until ``most - batch`` units are left; only where more than ``most`` are.
+
+    ``bucket`` rises with the order; with it no task sees a whole key.
+    """
+    free = F.when(~F.col(locked), F.col(cost)).otherwise(0)
+    told = scanned(rows, [key], order, F.lit(0) if bucket is None else bucket, sums={"_used": free}, totals={"_total": free})
+    goes = ~F.col(locked) & (F.col("_total") > most) & (F.col("_total") - (F.col("_used") - F.col(cost)) > most - batch)
+    return told.filter(~goes).drop("_used", "_total")
 
 
 def latest_per_group(rows: DataFrame, key: str | list[str], newest: list, n: int) -> DataFrame:
@@ -81,3 +83,43 @@ def rolling(rows: DataFrame, key: str, position: str, size: int, block: int, **v
     placed = rows.withColumn("_block", F.explode(blocks)).withColumn("_context", F.col("_block") != own)
     w = W.partitionBy(key, "_block").orderBy(position).rowsBetween(1 - size, 0)
     return placed.withColumns({name: value.over(w) for name, value in values.items()}).filter("NOT _context").drop("_block", "_context")
+
+
+def scanned(
+    rows: DataFrame, keys: list[str], order: list, bucket: Column, sums: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
+    before: dict[str, str] | None = None, after: dict[str, str] | None = None,
+) -> DataFrame:
+    """Adds, per key in the given order: running sums with the row's own value, sums of the whole key, and a column's value in the
+    row before or after (null at the ends). Null keys are keys.
+
+    ``order`` rises, and ``bucket`` rises with it. Only buckets meet in a task: their sums and border rows, one row each, are lined
+    up by key, and rows get from there what stands outside their bucket.
+    """
+    sums, totals, before, after = sums or {}, totals or {}, before or {}, after or {}
+    placed = rows.withColumns({"_bucket": bucket, **{f"_s_{k}": v for k, v in {**sums, **totals}.items()}})
+    place = F.struct(*order)
+    # names are taken as values of a struct, so that a null in the border row is not a missing one
+    border = lambda columns: F.struct(F.lit(1).alias("there"), *(F.col(c).alias(f"_c_{n}") for n, c in columns.items()))
+    ends = placed.groupBy(*keys, "_bucket").agg(
+        *(F.sum(f"_s_{k}").alias(f"_s_{k}") for k in {**sums, **totals}), F.max_by(border(before), place).alias("_last"), F.min_by(border(after), place).alias("_first"),
+    )
+    line = W.partitionBy(*keys).orderBy("_bucket")
+    borders = ends.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_b"),
+        *(F.coalesce(F.sum(f"_s_{k}").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{k}") for k in sums),
+        *(F.sum(f"_s_{k}").over(W.partitionBy(*keys)).alias(f"_t_{k}") for k in totals),
+        F.lag("_last").over(line).alias("_last"), F.lead("_first").over(line).alias("_first"),
+    )
+    own = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = placed.withColumns({
+        **{f"_r_{k}": F.sum(f"_s_{k}").over(own.rowsBetween(W.unboundedPreceding, 0)) for k in sums},
+        "_prior": F.lag(border(before)).over(own), "_next": F.lead(border(after)).over(own),
+    })
+    same = F.col("_bucket") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return inside.join(borders, same).select(
+        *(F.col(c) for c in rows.columns),
+        *((F.col(f"_o_{k}") + F.coalesce(f"_r_{k}", F.lit(0))).alias(k) for k in sums), *(F.col(f"_t_{k}").alias(k) for k in totals),
+        *(F.coalesce("_prior", "_last")[f"_c_{n}"].alias(n) for n in before), *(F.coalesce("_next", "_first")[f"_c_{n}"].alias(n) for n in after),
+    )

@@ -189,10 +189,10 @@ def fallback_extract(spark, sf_dir):
 )
 def episode_chain(spark, sf_dir):
     """Each active memory's predecessor, which it inherits from, and successor, in its group, and the last words before the shift."""
-    order = W.partitionBy("group_id").orderBy("start_time", "event_id")
     active = memories(spark, sf_dir).filter("status = 'active'").select("event_id", "group_id", "start_time", F.substring("text", -30, 30).alias("preview"))
-    after = F.lead("event_id").over(order)
-    return active.select("event_id", F.lag("event_id").over(order).alias("inherit_from"), after.alias("shifts_to"), F.when(after.isNotNull(), F.col("preview")).alias("preview"))
+    thousand_hours = F.floor(F.col("start_time") / 3_600_000)
+    met = O.scanned(active, ["group_id"], ["start_time", "event_id"], thousand_hours, before={"inherit_from": "event_id"}, after={"shifts_to": "event_id"})
+    return met.select("event_id", "inherit_from", "shifts_to", F.when(F.col("shifts_to").isNotNull(), F.col("preview")).alias("preview"))
 
 
 @query(

@@ -101,4 +101,4 @@ def remember(spark, sf_dir):
 
     rows = memories(spark, sf_dir, text=False).select("event_id", "group_id", "n_chars", "start_time", "is_locked")
     new = spark.createDataFrame([(-1, "src3", 200, 1e9, False)], rows.schema)
-    return prune(L.upsert(rows, new, ["event_id"]), "group_id", ["start_time", "event_id"], "n_chars", "is_locked", 60_000, 5_000).select("event_id", "group_id")
+    return prune(L.upsert(rows, new, ["event_id"]), "group_id", ["start_time", "event_id"], "n_chars", "is_locked", 60_000, 5_000, F.floor(F.col("start_time") / 3_600_000)).select("event_id", "group_id")

@@ -47,7 +47,7 @@ SELECT event_id, group_id FROM sums WHERE NOT (NOT is_locked AND total > 60000 A
 )
 def prune_history(spark, sf_dir):
     rows = memories(spark, sf_dir, text=False)
-    return windows.prune(rows, "group_id", ["start_time", "event_id"], "n_chars", "is_locked", 60_000, 5_000).select("event_id", "group_id")
+    return windows.prune(rows, "group_id", ["start_time", "event_id"], "n_chars", "is_locked", 60_000, 5_000, F.floor(F.col("start_time") / 3_600_000)).select("event_id", "group_id")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import retrieval as R
+from tidemark.operators import tags as T
 from tidemark.plans.registry import query
 from tidemark.sources.tables import MEMORIES, memories, table
 
@@ -190,8 +191,7 @@ def nearest_tag_alignment(spark, sf_dir):
     """Each vector takes the nearest canonical one, the first of a label, if it is near enough, else stays itself."""
     vectors = table(spark, sf_dir, "embeddings")
     canonical = vectors.join(vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id")), ["label", "vec_id"], "left_semi")
-    best = R.knn_batch(canonical, "vec_id", vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
-    found = best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("tag"), "similarity")
+    found = T.nearest(vectors, canonical, "vec_id").withColumnRenamed("id", "vec_id")
     near = F.when(F.col("similarity") >= 0.3, F.col("tag")).otherwise(F.col("vec_id"))
     return found.select("vec_id", near.cast("long").alias("aligned"), F.round("similarity", 6).alias("similarity"))
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import indexes as I
+from tidemark.operators import questions as Q
 from tidemark.operators import retrieval as R
+from tidemark.operators import tags as T
 from tidemark.operators.lineage import shared_folder
 from tidemark.plans.recall import _LEXICAL, K, TERMS
 from tidemark.plans.registry import query
@@ -39,7 +43,7 @@ def _asked_vectors(spark, sf_dir):
 @query("SELECT query_id, doc_id, round(score, 4) AS score FROM bm25_ranked WHERE rank <= 20", _BATCH)
 def bm25_batch(spark, sf_dir):
     """Documents most like each asked one, by all of its words."""
-    top = R.bm25_batch(table(spark, sf_dir, "documents"), "doc_id", "text", _asked_words(spark, sf_dir), K)
+    top = Q.bm25_batch(table(spark, sf_dir, "documents"), "doc_id", "text", _asked_words(spark, sf_dir), K)
     return top.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -57,7 +61,7 @@ SELECT query_id, id, round(rrf, 6) AS rrf FROM fused QUALIFY row_number() OVER (
 )
 def hybrid_batch(spark, sf_dir):
     """Both searches for all questions, fused by rank; a question without a vector has its words alone."""
-    words = R.bm25_batch(table(spark, sf_dir, "documents"), "doc_id", "text", _asked_words(spark, sf_dir), K)
+    words = Q.bm25_batch(table(spark, sf_dir, "documents"), "doc_id", "text", _asked_words(spark, sf_dir), K)
     near = R.knn_batch(table(spark, sf_dir, "embeddings"), "vec_id", _asked_vectors(spark, sf_dir), K)
     lists = words.select("query_id", F.col("doc_id").alias("id"), "rank").unionByName(near.select("query_id", F.col("vec_id").alias("id"), "rank"))
     fused = lists.groupBy("query_id", "id").agg(F.sum(1 / (R.RRF_K + F.col("rank"))).alias("rrf"))
@@ -97,16 +101,57 @@ def tag_nearest(spark, sf_dir):
     return top.select("query_id", F.col("vec_id").alias("tag"), F.round("similarity", 6).alias("similarity"))
 
 
+_NEAR = """near AS (
+  SELECT v.vec_id, c.vec_id AS other, list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings v JOIN embeddings c ON c.vec_id < v.vec_id WHERE s >= 0.3
+), placed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n, coalesce((SELECT list(other) FROM near WHERE near.vec_id = e.vec_id), []) AS others FROM embeddings e),
+walk AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS canonical
+  UNION ALL SELECT p.n, CASE WHEN list_has_any(w.canonical, p.others) THEN w.canonical ELSE list_append(w.canonical, p.vec_id) END FROM walk w JOIN placed p ON p.n = w.n + 1
+), canonical AS (SELECT unnest(canonical) AS vec_id FROM (SELECT canonical FROM walk ORDER BY n DESC LIMIT 1))"""
+
+
 @query(
-    """, best AS (SELECT v.vec_id, c.vec_id AS tag, list_cosine_similarity(v.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s FROM embeddings v, embeddings c
-  WHERE c.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label) QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY s DESC, c.vec_id) = 1)
-SELECT vec_id, CASE WHEN s >= 0.85 THEN tag ELSE vec_id END AS tag, s < 0.85 AS registered FROM best""",
-    "one AS (SELECT 1)",
+    "SELECT e.vec_id, CASE WHEN c.vec_id IS NULL THEN (SELECT other FROM near JOIN canonical k ON k.vec_id = other WHERE near.vec_id = e.vec_id ORDER BY s DESC, other LIMIT 1) ELSE e.vec_id END AS tag, "
+    "c.vec_id IS NOT NULL AS registered FROM embeddings e LEFT JOIN canonical c ON c.vec_id = e.vec_id",
+    _NEAR,
 )
 def tag_align(spark, sf_dir):
-    """Raw tags take the nearest canonical one at .85 or nearer; the others are registered as canonical themselves."""
-    vectors = table(spark, sf_dir, "embeddings")
-    canonical = vectors.join(vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id")), ["label", "vec_id"], "left_semi")
-    best = R.knn_batch(canonical, "vec_id", vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
-    new = F.col("similarity") < 0.85
-    return best.select(F.col("query_id").alias("vec_id"), F.when(new, F.col("query_id")).otherwise(F.col("vec_id")).alias("tag"), new.alias("registered"))
+    """Tags in order: each takes the most similar canonical tag before it, or is registered as canonical for those behind it."""
+    return T.register(table(spark, sf_dir, "embeddings"), "vec_id", 0.3).select(F.col("id").alias("vec_id"), "tag", "registered")
+
+
+@query("SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM knn_ranked", _KNN)
+def cell_knn(spark, sf_dir):
+    """The nearest of all vectors by a written index of cells, exact: cells are read until none can hold a nearer one."""
+    vectors, path = table(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    I.write_cells(vectors, "vec_id", I.fit_cells(vectors, "vec_id", 16), path)
+    return I.search_cells(spark, path, "vec_id", _asked_vectors(spark, sf_dir), K).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def cell_knn_recall(spark, sf_dir):
+    """How many of the nearest twenty a search of twelve of sixteen cells finds, for each question."""
+    vectors, path = table(spark, sf_dir, "embeddings"), f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    I.write_cells(vectors, "vec_id", I.fit_cells(vectors, "vec_id", 16), path)
+    asked = _asked_vectors(spark, sf_dir)
+    some = I.search_cells(spark, path, "vec_id", asked, K, probes=12).select("query_id", "vec_id")
+    every = R.knn_batch(vectors, "vec_id", asked, K).select("query_id", "vec_id")
+    hits = every.join(some.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found"))
+
+
+_NEEDLES = ("idiot", "src1", "Clown", "fr")
+
+
+@query(
+    "SELECT needle, event_id FROM memories, (VALUES ('idiot'), ('src1'), ('Clown'), ('fr')) q(needle) WHERE contains(lower(text), lower(needle)) "
+    "OR contains(lower(lang), lower(needle)) OR contains(lower(group_id), lower(needle)) OR contains(lower(status), lower(needle))",
+    MEMORIES,
+)
+def substring_indexed(spark, sf_dir):
+    """Needles in texts, tags (language, status) and participants by an index of trigrams; one of two characters reads all rows."""
+    rows, path = memories(spark, sf_dir), f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    fields = {"text": F.col("text"), "tags": F.array("lang", "status"), "participants": F.array("group_id")}
+    I.write_trigrams(rows, "event_id", fields, path)
+    parts = [I.search_trigrams(rows, "event_id", fields, path, needle).select(F.lit(needle).alias("needle"), "event_id") for needle in _NEEDLES]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -14,15 +14,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from tidemark.operators import windows
-
 #: Messages that go through the rules together, but for a longer stretch without a gap.
 PART = 10_000
 WINDOW = "session_id string, first_message long, last_message long, started timestamp, ended timestamp, messages long, close_reason string"
@@ -110,27 +110,31 @@ def _seconds(ts) -> float:
 def close_windows(messages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Batch: all windows of (session_id, message_id, ts, [embedding]).
 
-    A gap that is too long closes a window whatever came before, so a session is cut at those first; what lies between two
-    of them meets in one task, in time order, with ids, times and vectors only.
+    A gap that is too long closes a window whatever came before, so a session is cut at those first; whole stretches between
+    gaps, some thousand messages, meet in one task, in time order, with ids, times and vectors only. One sort places them all.
     """
     columns = [c for c in ("session_id", "message_id", "ts", "embedding") if c in messages.columns]
-    cut = windows.sessions(messages.select(*columns), "session_id", "ts", "message_id", f"{rules.gap_s} SECONDS")
-    # whole stretches between gaps, some thousand messages to a task
-    position = F.row_number().over(W.partitionBy("session_id").orderBy("ts", "message_id"))
-    first = F.min("position").over(W.partitionBy("session_id", "session"))
-    cut = cut.withColumn("position", position).withColumn("part", F.floor((first - 1) / PART)).drop("position", "session")
-    last = F.max("part").over(W.partitionBy("session_id")) == F.col("part")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "message_id"])
-        vectors = pdf["embedding"] if "embedding" in pdf else [None] * len(pdf)
+    order = W.partitionBy("session_id").orderBy("ts", "message_id")
+    gap = F.col("ts") - F.lag("ts").over(order) > F.expr(f"INTERVAL {rules.gap_s} SECONDS")
+    placed = messages.select(*columns, F.row_number().over(order).alias("position"), F.coalesce(gap, F.lit(True)).alias("fresh"), F.lead("ts").over(order).isNull().alias("last"))
+    first = F.max(F.when(F.col("fresh"), F.col("position"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    cut = placed.withColumn("part", F.floor((first - 1) / PART)).drop("fresh")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position")
+        ids, vectors = table.column("message_id").to_pylist(), table.column("embedding").to_pylist() if "embedding" in table.column_names else [None] * len(table)
+        stamps = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
         w, rows = Window(), []
-        for message, ts, vector in zip(pdf["message_id"], pdf["ts"], vectors):
-            w, closed = step(w, int(message), _seconds(ts), vector, rules)
+        for message, now, vector in zip(ids, (stamps / 1e6).tolist(), vectors):
+            w, closed = step(w, message, now, vector, rules)
             rows += [closed] if closed else []
-        return _frame(key[0], rows + [told(w, "end" if key[2] else "gap")])
+        rows.append(told(w, "end" if table.column("last")[-1].as_py() else "gap"))
+        first, last, started, ended, n, reason = zip(*rows)
+        stamp = lambda x: pa.array(np.round(np.array(x) * 1e6).astype(np.int64)).cast(pa.timestamp("us"))
+        session = pa.array([table.column("session_id")[0].as_py()] * len(rows), pa.string())
+        return pa.table([session, pa.array(first, pa.int64()), pa.array(last, pa.int64()), stamp(started), stamp(ended), pa.array(n, pa.int64()), pa.array(reason)], names=[x.split()[0] for x in WINDOW.split(", ")])
 
-    return cut.withColumn("last", last).groupBy("session_id", "part", "last").applyInPandas(run, WINDOW.replace("timestamp", "timestamp_ntz"))
+    return cut.groupBy("session_id", "part").applyInArrow(run, WINDOW.replace("timestamp", "timestamp_ntz"))
 
 
 class SessionProcessor(StatefulProcessor):
