@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import activity, episodes, evidence, filtering, ingest, lifecycle, persona, prompts, recall, rendering, search, social  # noqa: F401  they register their queries
+from tidemark.plans import activity, episodes, evidence, filtering, ingest, lifecycle, memory, persona, prompts, recall, rendering, search, social  # noqa: F401  they register their queries
 from tidemark.plans.registry import QUERIES, SQL
 
 
