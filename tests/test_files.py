@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import markdown
 from tidemark.sources import files
+from tidemark.streaming import watch
 
 
 def test_chat_log_keeps_the_order(spark, tmp_path):
@@ -67,3 +68,29 @@ def test_migrate(spark):
     assert version == 2 and [tuple(r) for r in out.collect()] == [(2, "4", False)]
     again, version = files.migrate(out, schema, steps, version)
     assert version == 2 and again.schema == out.schema and again.collect() == out.collect()
+
+
+def test_edited_files_arrive_again(spark, tmp_path):
+    watch.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def write(name, said, time):
+        (folder / name).write_text(said)
+        os.utime(folder / name, (time, time))
+
+    def run():
+        stream = spark.readStream.format("file_changes").option("path", str(folder)).option("suffix", ".md").option("files", 2).load()
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(processingTime="1 second").start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted((r.path.rsplit("/", 1)[1], r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for k in range(5):
+        write(f"{k}.md", f"v{k}", 1_700_000_000 + k)
+    write("no.txt", "no", 1_700_000_009)
+    assert run() == [(f"{k}.md", f"v{k}") for k in range(5)]
+    write("1.md", "edited", 1_700_000_100)
+    write("new.md", "n", 1_700_000_100)
+    assert run() == sorted([(f"{k}.md", f"v{k}") for k in range(5)] + [("1.md", "edited"), ("new.md", "n")])
+    assert len(run()) == 7  # nothing new

@@ -339,3 +339,16 @@ def test_written_postings(spark, tmp_path):
     assert {r.id: pytest.approx(r.score) for r in found.collect()} == want and {r.id: r.matched for r in found.collect()} == {1: 2, 2: 1}
     plan = found._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "In(term" in plan
+
+
+def test_moods_of_any_shape(spark):
+    people = F.array(F.struct(F.lit("u1").alias("uid"), F.lit("Ann").alias("name")), F.struct(F.lit("u2").alias("uid"), F.lit(None).cast("string").alias("name")))
+    told = lambda answer: one(spark, text.mood_text(F.lit(answer), people))
+    head = "群体情感动态整体偏向[%s] | [平均亲和度：%s；平均支配度：%s] | "
+    at = lambda names, label: f"[{names}处于群体中的{label}位置]"
+    assert told('x ```json\n{"orientation": "主动", "benevolence": 0.5, "positions": {"u1": "亲和", "u9": {"position": "冷淡"}}}\n``` y') == head % ("主动", "+0.50", "+0.00") + " | ".join([at("Ann", "亲和"), at("u9", "冷淡"), at("u2", "未知")])
+    assert told('{"power": -1, "positions": {"u1": {"orientation": "未知"}, "u2": 3}}') == head % ("亲和", "+0.00", "-1.00") + " | ".join([at("Ann", "未知"), at("u2", "3")])
+    assert told('{"benevolence": "0.25", "positions": [1, 2]}') == head % ("亲和", "+0.25", "+0.00") + at("Ann, u2", "未知")
+    assert told("{}") == head % ("亲和", "+0.00", "+0.00") + at("Ann, u2", "未知")
+    assert told('{"positions": {"u1": null, "u2": {}}}') == head % ("亲和", "+0.00", "+0.00") + " | ".join([at("Ann", "None"), at("u2", "未知")])
+    assert told('{"broken": [') is None and told("none") is None and told(None) is None and told("") is None

@@ -113,6 +113,43 @@ def percent_of_trait(value: Column) -> Column:
     return F.rint((value + 1) / 2 * 100).cast("int")
 
 
+def json_object(text: Column) -> Column:
+    """The object of a model's answer as a variant, whatever it holds: inside a code fence if there is one; null if it can't be read."""
+    found = F.try_parse_json(json_body(text, "{", "}"))
+    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+
+
+#: What stands in for a missing orientation and a missing position, and the sentences of a mood.
+NO_ORIENTATION, NO_POSITION = "亲和", "未知"
+POSITION = "[%s处于群体中的%s位置]"
+MOOD = "群体情感动态整体偏向[%s] | [平均亲和度：%+.2f；平均支配度：%+.2f] | "
+
+
+def mood_text(answer: Column, people: Column) -> Column:
+    """A model's mood object as text: the overall orientation, and who stands where; null if there is no object.
+
+    ``people``: array of (uid, name). Positions are texts, or objects with an ``orientation`` or a ``position``; people that the
+    answer leaves out stand at the unknown one. Positions come in the order of their first uid, as variants order their keys.
+    """
+    v = json_object(answer)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    entries = F.coalesce(F.map_entries(get("$.positions", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    own = lambda x, path: F.try_variant_get(x, path, "string")
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+    place = lambda x: F.when(is_object(x), F.coalesce(own(x, "$.orientation"), own(x, "$.position"), F.lit(NO_POSITION))).otherwise(F.coalesce(own(x, "$"), F.lit("None")))
+    named = lambda uid: F.coalesce(F.get(F.filter(people, lambda p: p["uid"] == uid), F.lit(0))["name"], uid)
+    placed = F.transform(entries, lambda e: F.struct(named(e["key"]).alias("name"), place(e["value"]).alias("label")))
+    covered = F.transform(placed, lambda x: x["name"])
+    missing = F.array_sort(F.array_except(F.transform(people, lambda p: F.coalesce(p["name"], p["uid"])), covered))
+    every = F.concat(placed, F.transform(missing, lambda n: F.struct(n.alias("name"), F.lit(NO_POSITION).alias("label"))))
+    labels = F.array_distinct(F.transform(every, lambda x: x["label"]))
+    names = lambda label: F.array_join(F.transform(F.filter(every, lambda x: x["label"] == label), lambda x: x["name"]), ", ")
+    positions = F.array_join(F.transform(labels, lambda label: F.format_string(POSITION, names(label), label)), " | ")
+    number = lambda path: F.coalesce(get(path, "double"), F.lit(0.0))
+    head = F.format_string(MOOD, F.coalesce(get("$.orientation", "string"), F.lit(NO_ORIENTATION)), number("$.benevolence"), number("$.power"))
+    return F.when(v.isNotNull(), F.concat(head, positions))
+
+
 def affect_label(value: Column) -> Column:
     sign = F.when(value >= 0.6, "positive").when(value <= -0.6, "negative").otherwise("neutral")
     return F.concat(sign, F.format_string(" (%+.2f)", value))

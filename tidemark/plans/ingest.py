@@ -11,7 +11,7 @@ from tidemark.operators import retrieval as R
 from tidemark.plans.recall import first_vector
 from tidemark.plans.registry import query
 from tidemark.plans.social import _PROJECTED, _projected
-from tidemark.sources.tables import IMPRESSIONS, MEMORIES, memories, table
+from tidemark.sources.tables import IMPRESSIONS, MEMORIES, impressions, memories, table
 
 
 @query(
@@ -68,6 +68,39 @@ def vector_fallback(spark, sf_dir):
     return lexical.unionByName(flat.join(F.broadcast(empty), F.col("empty")).drop("empty"))
 
 
+_LABEL = "CASE WHEN benevolence >= 0 THEN '亲和' WHEN power >= 0 THEN '支配' ELSE '冷淡' END"
+
+
+@query(
+    f""", told AS (SELECT observer, scope, subject::VARCHAR AS uid, {_LABEL} AS label, n FROM impressions),
+heads AS (SELECT observer, scope, sum(n)::BIGINT AS k FROM told GROUP BY ALL),
+people AS (SELECT DISTINCT observer, uid FROM told),
+every AS (SELECT observer, scope, 'n' || uid AS name, label, 0 AS late, uid FROM told
+  UNION ALL SELECT h.observer, h.scope, 'n' || p.uid, '未知', 1, 'n' || p.uid FROM heads h JOIN people p USING (observer) WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.observer = h.observer AND t.scope = h.scope AND t.uid = p.uid)),
+places AS (SELECT observer, scope, label, min((late, uid)) AS first, string_agg(name, ', ' ORDER BY late, uid) AS names FROM every GROUP BY ALL),
+lines AS (SELECT observer, scope, string_agg('[' || names || '处于群体中的' || label || '位置]', ' | ' ORDER BY first) AS line FROM places GROUP BY ALL)
+SELECT observer, scope, CASE WHEN observer % 5 > 0 THEN '群体情感动态整体偏向[' || CASE WHEN observer % 5 = 2 THEN '亲和' ELSE '主动' END || '] | [平均亲和度：' || printf('%+.2f', (k % 100) / 100.0::DOUBLE)
+  || '；平均支配度：' || printf('%+.2f', CASE WHEN observer % 5 = 2 THEN 0.0 ELSE -((k % 37 + 1) / 100.0::DOUBLE) END) || '] | ' || line END AS mood FROM heads JOIN lines USING (observer, scope)""",
+    IMPRESSIONS,
+)
+def mood_json(spark, sf_dir):
+    """Moods from objects that a model wrote: positions as texts and as objects, in code fences or prose, without some fields, or broken off."""
+    label = F.when(F.col("benevolence") >= 0, "亲和").when(F.col("power") >= 0, "支配").otherwise("冷淡")
+    rows = impressions(spark, sf_dir).select("observer", "scope", F.col("subject").cast("string").alias("uid"), label.alias("label"), "n")
+    quoted = F.concat(F.lit('"'), F.col("label"), F.lit('"'))
+    kind = F.col("uid").cast("int") % 3
+    value = F.when(kind == 0, F.concat(F.lit('{"orientation": '), quoted, F.lit(', "x": [1, {}]}'))).when(kind == 1, quoted).otherwise(F.concat(F.lit('{"position": '), quoted, F.lit("}")))
+    entry = F.concat(F.lit('"'), F.col("uid"), F.lit('": '), value)
+    told = rows.groupBy("observer", "scope").agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("positions"), F.sum("n").alias("k"))
+    fields = F.concat(F.lit('"benevolence": '), ((F.col("k") % 100) / 100).cast("string"), F.lit(', "positions": {'), F.col("positions"), F.lit("}"))
+    rest = F.concat(F.lit(', "orientation": "主动", "power": -'), ((F.col("k") % 37 + 1) / 100).cast("string"))
+    five = F.col("observer") % 5
+    whole = F.concat(F.lit("{"), fields, F.when(five == 2, "").otherwise(rest), F.lit("}"))
+    answer = F.when(five == 0, F.concat(F.lit("{"), fields)).when(five == 1, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\n{bye}"))).otherwise(F.concat(F.lit("so: "), whole, F.lit(" ok")))
+    people = rows.groupBy("observer").agg(F.collect_set(F.struct("uid", F.concat(F.lit("n"), "uid").alias("name"))).alias("people"))
+    return told.join(people, "observer").select("observer", "scope", text.mood_text(answer, F.col("people")).alias("mood"))
+
+
 @query(
     "SELECT orientation, string_agg(DISTINCT subject::VARCHAR, ',' ORDER BY subject::VARCHAR) AS names, count(*) FILTER (confidence < 0.3) AS unsure FROM projected WHERE scope = 'A' GROUP BY orientation",
     IMPRESSIONS, _PROJECTED,

@@ -120,18 +120,23 @@ def rrf_fuse(spark, sf_dir):
     return R.rrf([R.ranked(people, "id", "c_acctbal", 50), by_name], "id")
 
 
-_QUESTIONS = ["最近怎么样", "他具体说了什么", "上次总结一下", "hello", "为什么这周没有回顾"]
+_FIRST = ("最近怎么样", "他具体说了什么", "上次总结一下", "hello", "为什么这周没有回顾", "那次怎么说，详细概括过去")
+_WORDS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
 @query(
-    "SELECT * FROM (VALUES ('最近怎么样', 'macro', 4::BIGINT, 3::BIGINT), ('他具体说了什么', 'micro', 1, 5), ('上次总结一下', 'both', 2, 5), ('hello', 'both', 2, 5), "
-    "('为什么这周没有回顾', 'macro', 4, 3)) t(question, granularity, narratives, episodes)"
+    f"""asked AS (SELECT conv_id, turn, role, (CASE turn % 6 {" ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_FIRST))} END) || ' ' || text AS question FROM conversations),
+counted AS (SELECT conv_id, turn, role, len(list_filter({_WORDS(R.MACRO)}, lambda w: contains(question, w))) AS macro, len(list_filter({_WORDS(R.MICRO)}, lambda w: contains(question, w))) AS micro FROM asked),
+told AS (SELECT conv_id, turn, role, CASE WHEN macro > micro THEN 'macro' WHEN micro > macro THEN 'micro' ELSE 'both' END AS granularity FROM counted)
+SELECT conv_id, turn, role, granularity, CASE granularity WHEN 'macro' THEN 4 WHEN 'micro' THEN 1 ELSE 2 END::BIGINT AS narratives, CASE granularity WHEN 'macro' THEN 3 ELSE 5 END::BIGINT AS episodes FROM told""".join(("WITH ", ""))
 )
 def recall_tiered_limits(spark, sf_dir):
-    rows = spark.createDataFrame([(q,) for q in _QUESTIONS], "question string").withColumn("granularity", R.granularity(F.col("question")))
+    """How broad the question of each turn is, and how many narratives and episodes it gets."""
+    first = F.element_at(F.array(*map(F.lit, _FIRST)), (F.col("turn") % len(_FIRST) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").withColumn("granularity", R.granularity(F.concat(first, F.lit(" "), F.col("text"))))
     limits = {kind: R.tier_limits(kind, 5) for kind in ("macro", "micro", "both")}
     pick = lambda i: reduce(lambda c, kv: c.when(F.col("granularity") == kv[0], kv[1][i]), limits.items(), F).cast("long")
-    return rows.select("question", "granularity", pick(0).alias("narratives"), pick(1).alias("episodes"))
+    return rows.select("conv_id", "turn", "role", "granularity", pick(0).alias("narratives"), pick(1).alias("episodes"))
 
 
 @query(
