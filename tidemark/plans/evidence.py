@@ -147,14 +147,14 @@ def impression_recalc(spark, sf_dir):
 
 
 #: Members of groups: who showed up in every 97th event; a group's scope, and the private one's.
-_GROUPS = """joined AS (SELECT DISTINCT CASE WHEN event_type = 'signup' THEN '__private__' WHEN event_type = 'click' THEN 'R' WHEN event_type = 'view' THEN 'A' ELSE event_type END AS group_id, user_id % 40 AS uid FROM events WHERE event_id % 97 = 0),
+_GROUPS = """joined AS (SELECT DISTINCT CASE WHEN event_type = 'signup' THEN '__private__' WHEN event_type = 'click' THEN 'R' WHEN event_type = 'view' THEN 'A' ELSE event_type END AS group_id, user_id % 40 AS uid FROM events),
 inside AS (SELECT s.group_id, e.* FROM projected e JOIN joined s ON s.uid = e.observer JOIN joined t ON t.uid = e.subject AND t.group_id = s.group_id WHERE e.scope = CASE WHEN s.group_id = '__private__' THEN 'N' ELSE s.group_id END)"""
 
 
 def joined(spark, sf_dir):
     kind = F.col("event_type")
     group = F.when(kind == "signup", "__private__").when(kind == "click", "R").when(kind == "view", "A").otherwise(kind)
-    return table(spark, sf_dir, "events").filter("event_id % 97 = 0").select(group.alias("group_id"), (F.col("user_id") % 40).alias("uid")).distinct()
+    return table(spark, sf_dir, "events").select(group.alias("group_id"), (F.col("user_id") % 40).alias("uid")).distinct()
 
 
 def inside(spark, sf_dir):
@@ -197,16 +197,17 @@ def group_cards_full(spark, sf_dir):
     return out.select("group_id", "nodes", "members", "last_active", F.coalesce("edge_pairs", F.lit(0)).alias("edge_pairs"), "top_tags")
 
 
-_OWNED = "owned AS (SELECT observer, subject, scope, CASE WHEN observer % 3 > 0 THEN 'p' || (observer % 3) END AS persona, benevolence FROM impressions WHERE (observer + subject) % 2 = 0 OR observer % 3 < 2)"
+_OWNED = "owned AS (SELECT observer, subject, scope, CASE WHEN (observer + subject) % 3 > 0 THEN 'p' || ((observer + subject) % 3) END AS persona, benevolence FROM impressions)"
 
 
 def _owned(spark, sf_dir):
     """Impressions by persona; a third are from before there were any."""
-    persona = F.when(F.col("observer") % 3 > 0, F.concat(F.lit("p"), (F.col("observer") % 3).cast("string")))
-    return impressions(spark, sf_dir).filter("(observer + subject) % 2 = 0 OR observer % 3 < 2").select((F.col("observer") % 8).alias("observer"), "subject", "scope", persona.alias("persona"), "benevolence")
+    kind = (F.col("observer") + F.col("subject")) % 3
+    persona = F.when(kind > 0, F.concat(F.lit("p"), kind.cast("string")))
+    return impressions(spark, sf_dir).select((F.col("observer") % 20).alias("observer"), "subject", "scope", persona.alias("persona"), "benevolence")
 
 
-_OWN = "own AS (SELECT observer % 8 AS observer, subject, scope, persona, benevolence FROM owned), one AS (SELECT observer, subject, scope, persona, max(benevolence) AS benevolence FROM own GROUP BY ALL)"
+_OWN = "own AS (SELECT observer % 20 AS observer, subject, scope, persona, benevolence FROM owned), one AS (SELECT observer, subject, scope, persona, max(benevolence) AS benevolence FROM own GROUP BY ALL)"
 
 
 def _one(spark, sf_dir):

@@ -24,7 +24,7 @@ def markdown_impressions(spark, sf_dir):
     return out.withColumn("evidence", F.array_join("evidence", ","))
 
 
-_WRAPPED = "'<memory>' || chr(10) || substr(text, 1, 200) || chr(10) || '</memory>'"
+_WRAPPED = "'<memory>' || chr(10) || text || chr(10) || '</memory>'"
 
 
 @query(
@@ -36,7 +36,7 @@ def inject_position(spark, sf_dir):
     """The memory block put behind the system prompt, before or behind the user's message."""
     rows = memories(spark, sf_dir)
     position = F.element_at(F.array(*map(F.lit, P.POSITIONS[:3])), (F.col("event_id") % 3 + 1).cast("int"))
-    system, prompt = P.inject(F.lit("be brief"), F.col("lang"), F.substring("text", 1, 200), position)
+    system, prompt = P.inject(F.lit("be brief"), F.col("lang"), F.col("text"), position)
     return rows.select("event_id", system.alias("system_prompt"), prompt.alias("prompt"))
 
 
