@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import embedding, text
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, traits
 from tidemark.streaming import sessions as S
 
 SCHEMA = "message_id long, ts timestamp, platform string, physical_id string, name string, group_id string, text string"
@@ -62,3 +62,38 @@ def test_soul_on_a_stream(spark, tmp_path):
             x = 20 * math.tanh((x * 0.9 + r[3]) / 20)
         last = max((r for r in told if r.session_id == s), key=lambda r: r.turns)
         assert last.turns == len(own) and math.isclose(last.state, x)
+
+
+def _run(stream, name, mode, tmp_path):
+    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    assert run.awaitTermination(120)
+    return stream.sparkSession.table(name).collect()
+
+
+def test_traits_on_a_stream_equal_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), i, at(i), rng.choice([None, f"said {i}"])) for i in range(90)]
+    schema = "uid string, message_id long, ts timestamp, said string"
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(map(tuple, _run(traits.stream_traits(stream, 7), "traits", "append", tmp_path)))
+    assert got == sorted(map(tuple, traits.traits(spark.createDataFrame(rows, schema), 7).collect()))
+    own = [r for r in rows if r[0] == "b"]
+    assert ("b", own[0][1], own[6][1], "\n".join(r[3] or "" for r in own[:7])) in got
+
+
+def test_open_windows_come_out_at_the_end(spark, tmp_path):
+    rows = [("a", 1, at(0)), ("a", 2, at(10)), ("b", 3, at(20)), ("a", 4, at(5000)), ("c", 5, at(5001)), ("c", 6, at(5002.5))]
+    schema = "session_id string, message_id long, ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = S.stream_windows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), S.Rules(gap_s=600), idle_s=100_000)
+    closed = _run(stream, "open", "append", tmp_path)
+    assert [(r.session_id, r.first_message, r.close_reason) for r in closed] == [("a", 1, "gap")]
+    left = S.flush(spark, str(tmp_path / "ck"))
+    assert left.columns == stream.columns
+    assert sorted(map(tuple, left.collect())) == [("a", 4, 4, at(5000), at(5000), 1, "end"), ("b", 3, 3, at(20), at(20), 1, "end"), ("c", 5, 6, at(5001), at(5002.5), 2, "end")]
+    batch = S.close_windows(spark.createDataFrame(rows, schema), S.Rules(gap_s=600)).collect()
+    assert sorted((r.session_id, r.first_message, r.messages, r.close_reason) for r in batch) == sorted((r.session_id, r.first_message, r.messages, r.close_reason) for r in [*closed, *left.collect()])

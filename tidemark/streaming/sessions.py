@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -187,3 +187,14 @@ def stream_windows(messages: DataFrame, rules: Rules = Rules(), idle_s: float =
         .groupBy("session_id")
         .transformWithStateInPandas(SessionProcessor(rules, idle_s), WINDOW, "append", "EventTime")
     )
+
+
+def flush(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that a stopped stream of ``stream_windows`` left open, read from its state, closed with the reason ``end``."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "window").load()
+    open_ = state.filter("value.count > 0")
+    at = lambda c: F.timestamp_micros(F.round(F.col(f"value.{c}") * 1_000_000).cast("long")).alias(c)
+    return open_.select(
+        F.col("key.session_id"), F.col("value.first").alias("first_message"), F.col("value.last").alias("last_message"), at("started"), at("ended"),
+        F.col("value.count").alias("messages"), F.lit("end").alias("close_reason"),
+    )
