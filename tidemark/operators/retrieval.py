@@ -155,11 +155,19 @@ def fill_budget(rows: DataFrame, cost: Column, budget: int, header: int, partiti
 
 def sample_softmax(rows: DataFrame, score: str, key: str, k: int, temperature: float, seed: int) -> DataFrame:
     """k rows without replacement, by softmax: the Gumbel-top-k trick. The noise is a hash of key and seed, so it repeats."""
-    uniform = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 13)  # 52 bits
+    uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     noisy = F.col(score) / temperature - F.log(-F.log(uniform))
     return rows.orderBy(noisy.desc(), key).limit(k)
 
 
+def choose(rows: DataFrame, score: str, key: str, limit: int, temperature: float | None = None, seed: int = 0) -> DataFrame:
+    """What a search hands on of its candidates: the best, or, with a temperature, a sample by softmax of their scores."""
+    if temperature is None:
+        return rows.orderBy(F.col(score).desc(), key).limit(limit)
+    return sample_softmax(rows, score, key, limit, temperature, seed)
+
+
 # many questions at once
 
 #: Query vectors that travel to the tasks together, and the numbers that a task compares at a time.

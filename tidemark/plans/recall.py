@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import retrieval as R
 from tidemark.operators import tags as T
+from tidemark.operators.lineage import cut
 from tidemark.plans.registry import query
 from tidemark.sources.tables import MEMORIES, memories, table
 
@@ -217,8 +218,32 @@ def centroid_drift(spark, sf_dir):
     return vectors.join(centroids, "label").select("vec_id", "label", F.round(drift, 6).alias("drift"))
 
 
-@query()
+_NOISE = lambda key, seed: f"- ln(-ln((('0x' || substr(md5({key}::VARCHAR || ':{seed}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE))"
+
+
+@query(f"SELECT event_id, salience FROM memories ORDER BY salience / 0.5::DOUBLE {_NOISE('event_id', 7)} DESC, event_id LIMIT 10", MEMORIES)
 def softmax_sample(spark, sf_dir):
     """Ten memories without replacement, by softmax of their salience."""
     rows = memories(spark, sf_dir, text=False)
     return R.sample_softmax(rows, "salience", "event_id", 10, 0.5, 7).select("event_id", "salience")
+
+
+@query(
+    f""", fused AS (SELECT id AS event_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (
+    SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM lexical ORDER BY score DESC, doc_id LIMIT 20)
+    UNION ALL SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) FROM (SELECT * FROM nearest ORDER BY similarity DESC, vec_id LIMIT 20)
+  ) GROUP BY id)
+SELECT * FROM (SELECT 'best' AS way, event_id, round(rrf, 9) AS rrf FROM fused ORDER BY fused.rrf DESC, event_id LIMIT 10) UNION ALL
+SELECT * FROM (SELECT 'sampled', event_id, round(rrf, 9) FROM fused ORDER BY fused.rrf / 0.005::DOUBLE {_NOISE('event_id', 3)} DESC, event_id LIMIT 10)""",
+    _LEXICAL, _VECTOR,
+)
+def hybrid_sampled(spark, sf_dir):
+    """Fused candidates of both searches: the best ten, and ten drawn by softmax of their scores."""
+    vectors = R.knn(table(spark, sf_dir, "embeddings"), "vec_id", first_vector(spark, sf_dir), K)
+    lists = [
+        R.ranked(lexical(spark, sf_dir).withColumnRenamed("doc_id", "event_id"), "event_id", "score", K),
+        R.ranked(vectors.withColumnRenamed("vec_id", "event_id"), "event_id", "similarity", K),
+    ]
+    fused = cut(R.rrf(lists, "event_id"))  # 40 rows at most
+    ways = {"best": R.choose(fused, "rrf", "event_id", 10), "sampled": R.choose(fused, "rrf", "event_id", 10, 0.005, 3)}
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(way).alias("way"), "event_id", F.round("rrf", 9).alias("rrf")) for way, rows in ways.items()))
