@@ -286,6 +286,10 @@ def test_null_keys_are_keys(spark):
     assert rows(lifecycle.merge_persona(old, "p", "Bob", None, ["o", "s"])) == [("a", "b", "-", 0.1), ("c", "d", "-", 0.3)]
     assert tuple(lifecycle.merge_preview(old, "p", None, "Bob", ["o", "s"]).first()) == (1, 1)
     assert tuple(lifecycle.merge_preview(old, "p", "Nobody", "Bob", ["o", "s"]).first()) == (0, 0)
+    empty = spark.createDataFrame([("a", "b", "", 0.7)], schema)
+    assert rows(lifecycle.upsert(old, empty, ["o", "s", "p"], ("p",))) == [("a", "b", "", 0.7), ("a", "b", "Bob", 0.2), ("c", "d", "-", 0.3)]
+    assert rows(lifecycle.merge_persona(old.unionByName(empty), "p", "Bob", None, ["o", "s"])) == [("a", "b", "", 0.7), ("a", "b", "-", 0.1), ("c", "d", "-", 0.3)]
+    assert tuple(lifecycle.merge_preview(empty.unionByName(old.filter("p = 'Bob'")), "p", "Bob", None, ["o", "s"]).first()) == (0, 1)
     out = social.smooth(old, new, ["o", "s", "p"], ["b"], 0.5)
     assert rows(out) == [("a", "b", "-", 0.5), ("a", "b", "Bob", 0.2), ("c", "d", "-", 0.3)]
 

@@ -14,14 +14,15 @@ def _keys(rows: DataFrame, keys: list[str], also: list[Column] = ()) -> DataFram
     return rows.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *also)
 
 
-def _same(keys: list[str]) -> Column:
-    """Keys are equal, null with null."""
-    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
+def _same(keys: list[str], folds: tuple[str, ...] = ()) -> Column:
+    """Keys are equal, null with null; in ``folds`` (personas) also null with the empty text."""
+    own = lambda name, k: F.coalesce(name, F.lit("")) if k in folds else F.col(name)
+    return reduce(lambda a, b: a & b, (own(k, k).eqNullSafe(own(f"_key_{k}", k)) for k in keys))
 
 
-def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+def without(rows: DataFrame, others: DataFrame, keys: list[str], folds: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose keys ``others`` doesn't have; null is a key like any other."""
-    return rows.join(_keys(others, keys), _same(keys), "left_anti")
+    return rows.join(_keys(others, keys), _same(keys, folds), "left_anti")
 
 
 def latest(delta: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
@@ -30,9 +31,9 @@ def latest(delta: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame
     return delta.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(old: DataFrame, delta: DataFrame, keys: list[str], folds: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``delta``, which has one per key, replace rows of ``old``."""
-    return without(old, delta, keys).unionByName(delta)
+    return without(old, delta, keys, folds).unionByName(delta)
 
 
 def upsert_keep(old: DataFrame, delta: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
@@ -66,19 +67,23 @@ def cleanup(rows: DataFrame, before: float, below: float) -> DataFrame:
     return archive(expire(rows, before), below)
 
 
+def _owned(persona: str, owner: str | None) -> Column:
+    return F.coalesce(persona, F.lit("")) == F.lit(owner or "")
+
+
 def merge_persona(rows: DataFrame, persona: str, source: str | None, target: str | None, keys: list[str]) -> DataFrame:
     """Rows of the source persona move to the target, unless the target has a row with the same keys: then they go.
 
-    Source and target may be null, which stands for rows from before there were personas.
+    Source and target may be null, which stands for rows from before there were personas; as a target it is the empty text, too.
     """
-    own = rows.filter(F.col(persona).eqNullSafe(target))
+    own = rows.filter(_owned(persona, target) & ~F.col(persona).eqNullSafe(source))
     moving = without(rows.filter(F.col(persona).eqNullSafe(source)), own, keys).withColumn(persona, F.lit(target).cast("string"))
     return rows.filter(~F.col(persona).eqNullSafe(source)).unionByName(moving.select(*rows.columns))
 
 
 def merge_preview(rows: DataFrame, persona: str, source: str | None, target: str | None, keys: list[str]) -> DataFrame:
     """One row: how many rows a merge would move and drop."""
-    own = _keys(rows.filter(F.col(persona).eqNullSafe(target)), keys).distinct().withColumn("_own", F.lit(True))
+    own = _keys(rows.filter(_owned(persona, target) & ~F.col(persona).eqNullSafe(source)), keys).distinct().withColumn("_own", F.lit(True))
     moving = rows.filter(F.col(persona).eqNullSafe(source)).join(own, _same(keys), "left")
     count = lambda when: F.coalesce(F.sum(F.when(when, 1).otherwise(0)), F.lit(0))
     return moving.agg(count(F.col("_own").isNull()).alias("moved"), count(F.col("_own")).alias("dropped"))

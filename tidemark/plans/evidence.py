@@ -235,7 +235,7 @@ def upsert_impression(spark, sf_dir):
     keys = ["observer", "subject", "scope", "persona"]
     changed = rows.filter("scope = 'R' AND subject % 5 = 0").withColumn("benevolence", -F.col("benevolence"))
     new = rows.filter("subject % 5 = 0").select(F.lit(99).cast("long").alias("observer"), "subject", F.lit("R").alias("scope"), F.lit(None).cast("string").alias("persona"), F.lit(0.5).alias("benevolence")).distinct()
-    return L.upsert(rows, changed.unionByName(new), keys)
+    return L.upsert(rows, changed.unionByName(new), keys, ("persona",))
 
 
 @query(
