@@ -208,11 +208,33 @@ def featured_argmax(spark, sf_dir):
 
 
 @query(
-    "SELECT round(avg(n), 6) AS mean_participants, round(avg(tags), 6) AS mean_tags, max(n) AS most FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_returnflag) AS tags FROM lineitem GROUP BY 1)"
+    """SELECT round(avg(n), 6) AS mean_participants, round(avg(tags), 6) AS mean_tags, max(n) AS most, round(avg(salience), 6) AS mean_salience,
+  round((SELECT sum(n) FROM impressions) / count(*), 6)::DOUBLE AS citations
+FROM (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_returnflag) AS tags, least(1.0::DOUBLE, sum(l_quantity::BIGINT)::DOUBLE / 200) AS salience FROM lineitem GROUP BY 1)""",
+    IMPRESSIONS,
 )
 def event_averages(spark, sf_dir):
-    per_event = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n"), F.countDistinct("l_returnflag").alias("tags"))
-    return per_event.agg(F.round(F.avg("n"), 6).alias("mean_participants"), F.round(F.avg("tags"), 6).alias("mean_tags"), F.max("n").alias("most"))
+    """Means over all events: who took part, tags, salience, and how often an edge cites one."""
+    salience = F.least(F.lit(1.0), F.sum(F.col("l_quantity").cast("long")) / 200).alias("salience")
+    per_event = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n"), F.countDistinct("l_returnflag").alias("tags"), salience)
+    means = per_event.agg(F.avg("n").alias("p"), F.avg("tags").alias("t"), F.max("n").alias("most"), F.avg("salience").alias("s"), F.count(F.lit(1)).alias("events"))
+    cited = impressions(spark, sf_dir).agg(F.sum("n").alias("cited"))
+    return means.crossJoin(cited).select(  # one row each
+        F.round("p", 6).alias("mean_participants"), F.round("t", 6).alias("mean_tags"), "most", F.round("s", 6).alias("mean_salience"),
+        F.round(F.col("cited") / F.col("events"), 6).alias("citations"),
+    )
+
+
+@query(
+    """, phases AS (SELECT event_type AS phase, avg(value) / 1000 AS seconds FROM events WHERE value > 0 GROUP BY 1 HAVING avg(value) > 0)
+SELECT phase, round(seconds, 8) AS seconds FROM phases UNION ALL SELECT 'total', round(sum(seconds), 8) FROM phases""",
+    "one AS (SELECT 1)",
+)
+def perf_totals(spark, sf_dir):
+    """Seconds of each phase without idle samples, and all together; phases that take none are left out."""
+    phases = _events(spark, sf_dir).filter("value > 0").groupBy(F.col("event_type").alias("phase")).agg((F.avg("value") / 1000).alias("seconds")).filter("seconds > 0")
+    total = phases.agg(F.lit("total").alias("phase"), F.sum("seconds").alias("seconds"))
+    return phases.unionByName(total).select("phase", F.round("seconds", 8).alias("seconds"))
 
 
 @query(
@@ -226,17 +248,19 @@ def perf_phases(spark, sf_dir):
 
 
 @query(
-    "SELECT task, count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(prompt + completion)::BIGINT AS tokens, round(sum(prompt + completion) / sum(sum(prompt + completion)) OVER (), 6)::DOUBLE AS share "
+    "SELECT task, count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(prompt + completion)::BIGINT AS tokens, round(sum(prompt + completion) / sum(sum(prompt + completion)) OVER (), 6)::DOUBLE AS share, round(sum(sum(prompt)) OVER () / sum(sum(prompt + completion)) OVER (), 6)::DOUBLE AS prompt_share "
     "FROM (SELECT 't' || conv_id % 5 AS task, CASE WHEN role = 'assistant' THEN 0 ELSE greatest(1, length(text) // 2) END AS prompt, CASE WHEN role = 'assistant' THEN greatest(1, length(text) // 2) ELSE 0 END AS completion FROM conversations) GROUP BY task"
 )
 def token_usage(spark, sf_dir):
-    """Tokens of prompts and of completions by task, and the task's share of all."""
+    """Tokens of prompts and of completions by task, the task's share of all, and the share of prompts in all."""
     cost = tokens(F.col("text")).cast("long")
     said = lambda own: F.sum(F.when((F.col("role") == "assistant") == F.lit(own), cost).otherwise(0))
     task = F.concat(F.lit("t"), (F.col("conv_id") % 5).cast("string")).alias("task")
     per = table(spark, sf_dir, "conversations").groupBy(task).agg(F.count(F.lit(1)).alias("calls"), said(False).alias("prompt"), said(True).alias("completion"))
     per = per.withColumn("tokens", F.col("prompt") + F.col("completion"))
-    return per.select("*", F.round(F.col("tokens") / F.sum("tokens").over(W.partitionBy()), 6).alias("share"))
+    every = per.agg(F.sum("tokens").alias("all_tokens"), F.sum("prompt").alias("all_prompts"))  # one row
+    shares = F.round(F.col("tokens") / F.col("all_tokens"), 6).alias("share"), F.round(F.col("all_prompts") / F.col("all_tokens"), 6).alias("prompt_share")
+    return per.crossJoin(every).select(*per.columns, *shares)
 
 
 @query(

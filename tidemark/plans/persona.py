@@ -67,13 +67,38 @@ def group_members(spark, sf_dir):
     return found.select("group_id", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
 
 
-@query("SELECT s_suppkey AS uid, s_name AS name, row_number() OVER (ORDER BY n DESC, s_name) AS place FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (s_suppkey) QUALIFY place <= 50")
+_ORDERS = {"most": "n DESC, s_name", "fewest": "n, s_name", "a to z": "s_name, s_suppkey", "z to a": "s_name DESC, s_suppkey"}
+
+
+@query(
+    "WITH said AS (SELECT s_suppkey, s_name, n FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (s_suppkey)) "
+    + " UNION ALL ".join(f"SELECT * FROM (SELECT '{way}' AS way, s_suppkey AS uid, s_name AS name, row_number() OVER (ORDER BY {order}) AS place FROM said QUALIFY place <= 50)" for way, order in _ORDERS.items())
+)
 def member_sort(spark, sf_dir):
-    """The first page of members by messages, then by name."""
+    """The first page of members in each of the four orders: by messages, most or fewest first, and by name, from either end."""
     said = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
-    rows = table(spark, sf_dir, "supplier").join(said, "s_suppkey").orderBy(F.col("n").desc(), "s_name").limit(50)
-    place = F.row_number().over(W.orderBy(F.col("n").desc(), "s_name")).cast("long")
-    return rows.select(F.col("s_suppkey").alias("uid"), F.col("s_name").alias("name"), place.alias("place"))
+    rows = table(spark, sf_dir, "supplier").join(said, "s_suppkey").select("s_suppkey", "s_name", "n")
+    name, n = F.col("s_name"), F.col("n")
+    pages = []
+    for way, order in {"most": [n.desc(), name], "fewest": [n, name], "a to z": [name, F.col("s_suppkey")], "z to a": [name.desc(), F.col("s_suppkey")]}.items():
+        place = F.row_number().over(W.orderBy(*order)).cast("long")
+        pages.append(rows.orderBy(*order).limit(50).select(F.lit(way).alias("way"), F.col("s_suppkey").alias("uid"), F.col("s_name").alias("name"), place.alias("place")))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+
+
+@query(
+    """, counts AS (SELECT group_id, tag, count(*) AS n FROM (SELECT group_id, unnest([lang, status]) AS tag FROM memories) GROUP BY group_id, tag),
+top AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, tag) <= 3)
+SELECT group_id, string_agg(tag || ':' || n, ',' ORDER BY n DESC, tag) AS top_tags FROM top GROUP BY group_id""",
+    MEMORIES,
+)
+def graph_top_tags(spark, sf_dir):
+    """The most frequent tags over all nodes of each group's graph."""
+    tags = memories(spark, sf_dir, text=False).select("group_id", F.explode(F.array("lang", "status")).alias("tag"))
+    counts = tags.groupBy("group_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    n = F.row_number().over(W.partitionBy("group_id").orderBy(F.col("n").desc(), "tag"))
+    top = counts.withColumn("k", n).filter("k <= 3").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("k", "tag", "n"))).alias("t"))
+    return top.select("group_id", F.array_join(F.transform("t", lambda x: F.concat(x["tag"], F.lit(":"), x["n"].cast("string"))), ",").alias("top_tags"))
 
 
 @query("SELECT c_custkey AS uid FROM customer WHERE contains(lower(c_name), '1') AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 5000")

@@ -158,18 +158,19 @@ _UUID = (
 
 
 @query(
-    f""", days AS (SELECT group_id, floor(start_time / 86400)::BIGINT AS day, min(start_time) AS started, max(start_time) AS ended, count(*) AS episodes FROM memories WHERE event_type = 'episode' GROUP BY ALL),
+    f""", days AS (SELECT group_id, floor(start_time / 86400)::BIGINT AS day, min(start_time) AS started, max(start_time) AS ended, count(*) AS episodes, left(arg_min(text, event_id), 300) AS summary FROM memories WHERE event_type = 'episode' GROUP BY ALL),
 named AS (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(group_id || '|' || day)) AS h FROM days)
-SELECT {_UUID} AS event_id, group_id, day, started, ended, CASE WHEN day % 4 = 1 THEN 0 ELSE episodes END AS episodes, 0.85::DOUBLE AS salience FROM named""",
+SELECT {_UUID} AS event_id, group_id, day, started, ended, CASE WHEN day % 4 = 1 THEN 0 ELSE episodes END AS episodes, 0.85::DOUBLE AS salience, 0.95::DOUBLE AS confidence, summary FROM named""",
     MEMORIES,
 )
 def narrative_upsert(spark, sf_dir):
     """A narrative per group and day under a name-based identifier: the days that were summed up anew replace what stood there."""
     day = F.floor(F.col("start_time") / 86400).alias("day")
-    episodes = memories(spark, sf_dir, text=False).filter("event_type = 'episode'").groupBy("group_id", day)
-    days = episodes.agg(F.min("start_time").alias("started"), F.max("start_time").alias("ended"), F.count(F.lit(1)).alias("episodes"))
+    episodes = memories(spark, sf_dir).filter("event_type = 'episode'").withColumn("text", F.substring("text", 1, 300)).groupBy("group_id", day)
+    summary = F.min_by("text", "event_id").alias("summary")
+    days = episodes.agg(F.min("start_time").alias("started"), F.max("start_time").alias("ended"), F.count(F.lit(1)).alias("episodes"), summary)
     name = F.concat("group_id", F.lit("|"), F.col("day").cast("string"))
-    new = days.select(text.name_uuid(name).alias("event_id"), "group_id", "day", "started", "ended", "episodes", F.lit(0.85).alias("salience"))
+    new = days.select(text.name_uuid(name).alias("event_id"), "group_id", "day", "started", "ended", "episodes", F.lit(0.85).alias("salience"), F.lit(0.95).alias("confidence"), "summary")
     old = new.filter("day % 2 = 1").withColumn("episodes", F.lit(0).cast("long"))
     return L.upsert(old, new.filter("day % 4 <> 1"), ["event_id"])
 
@@ -227,11 +228,24 @@ def parse_summary_sections(spark, sf_dir):
     return rows.select("group_id", "event_id", *(text.section(F.col("d"), h).alias(n) for h, n in zip(heads, ("topics", "events", "mood"))))
 
 
-@query("SELECT DISTINCT group_id FROM memories WHERE lang = 'de' AND event_id % 13 = 0", MEMORIES)
+_ASKED = (("tag", "de", None, None), ("day", None, 5, 9), ("both", "fr", 3, 12), ("all", None, None, None))
+
+
+@query(
+    ", one AS (SELECT 1) "
+    + " UNION ALL ".join(
+        f"SELECT DISTINCT '{name}' AS asked, group_id FROM memories WHERE " + " AND ".join([f"lang = '{tag}'" if tag else "true", f"floor(start_time / 86400) BETWEEN {low} AND {high}" if low else "true"]) for name, tag, low, high in _ASKED
+    ),
+    MEMORIES,
+)
 def filter_groups_by_member(spark, sf_dir):
-    """Groups in which a given member has taken part."""
-    rows = memories(spark, sf_dir, text=False).groupBy("group_id").agg(F.bool_or((F.col("lang") == "de") & (F.col("event_id") % 13 == 0)).alias("there"))
-    return rows.filter("there").select("group_id")
+    """Groups of which any member has a tag, was active on some days, or both at once; without a filter all."""
+    rows, parts = memories(spark, sf_dir, text=False), []
+    for name, tag, low, high in _ASKED:
+        hit = F.col("lang") == tag if tag else F.lit(True)
+        hit = hit & F.floor(F.col("start_time") / 86400).between(low, high) if low else hit
+        parts.append(rows.filter(hit).select(F.lit(name).alias("asked"), "group_id").distinct())
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query(

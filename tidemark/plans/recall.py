@@ -126,10 +126,10 @@ _WORDS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"  # noqa: E
 
 
 @query(
-    f"""asked AS (SELECT conv_id, turn, role, (CASE turn % 6 {" ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_FIRST))} END) || ' ' || text AS question FROM conversations),
+    f"""WITH asked AS (SELECT conv_id, turn, role, (CASE turn % 6 {" ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_FIRST))} END) || ' ' || text AS question FROM conversations),
 counted AS (SELECT conv_id, turn, role, len(list_filter({_WORDS(R.MACRO)}, lambda w: contains(question, w))) AS macro, len(list_filter({_WORDS(R.MICRO)}, lambda w: contains(question, w))) AS micro FROM asked),
 told AS (SELECT conv_id, turn, role, CASE WHEN macro > micro THEN 'macro' WHEN micro > macro THEN 'micro' ELSE 'both' END AS granularity FROM counted)
-SELECT conv_id, turn, role, granularity, CASE granularity WHEN 'macro' THEN 4 WHEN 'micro' THEN 1 ELSE 2 END::BIGINT AS narratives, CASE granularity WHEN 'macro' THEN 3 ELSE 5 END::BIGINT AS episodes FROM told""".join(("WITH ", ""))
+SELECT conv_id, turn, role, granularity, CASE granularity WHEN 'macro' THEN 4 WHEN 'micro' THEN 1 ELSE 2 END::BIGINT AS narratives, CASE granularity WHEN 'macro' THEN 3 ELSE 5 END::BIGINT AS episodes FROM told"""
 )
 def recall_tiered_limits(spark, sf_dir):
     """How broad the question of each turn is, and how many narratives and episodes it gets."""
