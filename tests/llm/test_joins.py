@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import pairs
-from tidemark.llm import alignment, audit, bloom, jaccard
+from tidemark.llm import alignment, audit, bloom, decontaminate, jaccard, packing, sharding, simhash, toxicity
 
 
 def tables():
@@ -125,8 +125,8 @@ ODD_TEXTS = [
 
 
 @tables()
-@pytest.mark.parametrize("frequent", [3, 250_000])
-def test_alignment(table, frequent, request, spark):
+@pytest.mark.parametrize(("frequent", "sent"), [(3, 10), (400_000, 400_000)])
+def test_alignment(table, frequent, sent, request, spark):
     df = request.getfixturevalue(table)
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     if table == "odd":
@@ -135,7 +135,7 @@ def test_alignment(table, frequent, request, spark):
     elif table == "docs":
         rows, df = rows[:60], spark.createDataFrame(rows[:60], "doc_id long, text string")
     expected = Counter((i, *f) for (i, _), f in zip(rows, aligned_by_bytes([t for _, t in rows])))
-    assert Counter(map(tuple, alignment.report(df, frequent=frequent).collect())) == expected
+    assert Counter(map(tuple, alignment.report(df, frequent=frequent, pairs_sent=sent, shapes_sent=sent).collect())) == expected
 
 
 def test_links_are_of_id_pairs(spark):
@@ -234,3 +234,65 @@ def test_bloom_filter(spark):
     assert set(range(20_000)) <= held
     assert len(held) < 20_000 + 200
     assert bloom.words_for(10**12) == bloom.MOST and bloom.words_for(0) == bloom.LEAST
+
+
+# bounds at scale
+
+
+def test_rows_alike_are_spread(spark):
+    """A third of all rows alike in all that sharding looks at."""
+    n = sharding.RUN * 2 + 5
+    df = spark.range(n).selectExpr("7L AS doc_id", "'same' AS text").unionByName(spark.range(100).selectExpr("id AS doc_id", "'x' AS text"))
+    got = sharding.assign(df, 16, buckets=8).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert all(r["max(slot)"] + 1 == r["count(1)"] for r in got) and sum(r["count(1)"] for r in got) == n + 100
+    assert max(r["count(1)"] for r in got) - min(r["count(1)"] for r in got) <= 1
+
+
+@pytest.mark.parametrize("block", [1, 7, 200_000])
+def test_benchmark_in_blocks(spark, docs, benchmark, block):
+    some = benchmark.limit(5)
+    got = Counter(map(tuple, decontaminate.report(docs, some, block_windows=block).collect())) if block > 1 else None
+    if got is None:
+        some = some.selectExpr("item_id", "substring(text, 1, 60) AS text")
+        got = Counter(map(tuple, decontaminate.report(docs, some, block_windows=3).collect()))
+    assert got == Counter(map(tuple, decontaminate.report(docs, some).collect()))
+
+
+def test_tasks_forget_long_words():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for k in range(4):
+        list(encoder.encode([f"{chr(97 + k)}" * 30_000_000 if k % 2 else "short words"]))
+        assert encoder.size < packing.CACHED_BYTES + 200_000_000
+    model = toxicity.Model()
+    for k in range(3):
+        model.look(chr(97 + k) * 40_000_000)
+    assert model.size <= toxicity.KNOWN_BYTES + 40_000_000 and len(model.met) <= 2
+
+
+def test_groups_over_the_cap_are_split(spark):
+    """Many fingerprints that share most masks, with a cap that most buckets break."""
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, size=(120, 2))})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = {r.fp: r.root for r in simhash.components(simhash.links(df, cap=8)).collect()}
+    root = {x: x for x in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(fps, 2):
+        if (a ^ b).bit_count() <= 3:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    linked = {x for x in fps if any(x != y and (x ^ y).bit_count() <= 3 for y in fps)}
+    assert got == {x: top(x) for x in linked}
+
+
+def test_only_rows_that_go_are_marked(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "x y z"), (1, "a b c d e"), (None, "x y z"), (5, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, simhash.deduplicate(df).collect()))
+    assert got == Counter({(1, "a b c d e"): 1, (3, "x y z"): 1, (5, "other words here"): 1})
