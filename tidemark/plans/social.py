@@ -40,7 +40,7 @@ def octant_distribution(spark, sf_dir):
     return _projected(spark, sf_dir).groupBy("scope", "orientation").agg(F.count(F.lit(1)).alias("n"))
 
 
-_MOOD = "mood AS (SELECT scope || subject % 25 AS scope, avg(benevolence) AS benevolence, avg(power) AS power, count(*) AS n FROM impressions WHERE confidence >= 0.3 GROUP BY 1 HAVING count(*) >= 2 OR count(DISTINCT subject) = 1)"
+_MOOD = "mood AS (SELECT scope || subject % 25 AS scope, sum(round(100 * benevolence)::BIGINT)::DOUBLE / (100 * count(*)) AS benevolence, sum(round(100 * power)::BIGINT)::DOUBLE / (100 * count(*)) AS power, count(*) AS n FROM impressions WHERE confidence >= 0.3 GROUP BY 1 HAVING count(*) >= 2 OR count(DISTINCT subject) = 1)"
 
 
 @query(
@@ -51,7 +51,9 @@ def mood_centroid(spark, sf_dir):
     """Where a group stands on the whole: at least two sure impressions, or one if it has a single member."""
     sure = impressions(spark, sf_dir).filter("confidence >= 0.3")
     group = F.concat("scope", (F.col("subject") % 25).cast("string")).alias("scope")
-    mood = sure.groupBy(group).agg(F.avg("benevolence").alias("b"), F.avg("power").alias("p"), F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("people")).filter("n >= 2 OR people = 1")
+    # values are whole hundredths, whose sums don't depend on their order
+    mean = lambda c: F.sum(F.round(100 * F.col(c)).cast("long")).cast("double") / (100 * F.count(F.lit(1)))
+    mood = sure.groupBy(group).agg(mean("benevolence").alias("b"), mean("power").alias("p"), F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("people")).filter("n >= 2 OR people = 1")
     label = C.octant(F.col("b"), F.col("p"))
     return mood.select("scope", F.round("b", 6).alias("benevolence"), F.round("p", 6).alias("power"), "n", label.alias("orientation"))
 
