@@ -170,6 +170,8 @@ def choose(rows: DataFrame, score: str, key: str, limit: int, temperature: float
 
 # many questions at once
 
+#: Files of a bucket of postings at most.
+FILES = 8
 #: Query vectors that travel to the tasks together, and the numbers that a task compares at a time.
 QUERY_BLOCK, MATRIX = 4096, 4_000_000
 
@@ -185,12 +187,18 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_postings(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
-    """The index as files by bucket of terms: a question reads the buckets of its terms, and of those the row groups that hold them."""
-    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+def write_postings(docs: DataFrame, key: str, text: str, path: str, buckets: int | None = None, per_bucket: int = 4_000_000) -> None:
+    """The index as files by bucket of terms: a question reads the buckets of its terms, and of those the row groups that hold them.
+
+    There are as many buckets as the words need; a bucket is several files, so the postings of a frequent term are not one task's.
+    """
     sizes = docs.select(word_list(F.col(text)).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("average"))
-    sizes.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/sizes")
+    n, average = sizes.first()
+    buckets = buckets or max(1, math.ceil(n * (average or 0) / per_bucket))
+    docs.sparkSession.createDataFrame([(n, average, buckets)], sizes.withColumn("buckets", F.lit(buckets)).schema).coalesce(1).write.parquet(f"{path}/sizes")
+    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(FILES)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def search_postings(spark, path: str, key: str, terms: list[str]) -> DataFrame:
