@@ -37,15 +37,15 @@ from tidemark.llm.common import cut
 from tidemark.operators.lineage import forget, shared_folder
 
 #: Stretches that every task gets: the most frequent ones that are no longer, nor their groups, than so many characters.
-FREQUENT, SHORT = 600_000, 200
+FREQUENT, SHORT = 400_000, 200
 #: Shapes of stretches, with their groups, that are sent to all tasks.
 SHAPES_SENT = 400_000
 #: Pairs of ids, with their counts, that are sent to all tasks.
 PAIRS_SENT = 4_000_000
 #: Entries after which a task hands on what it has counted or forgets which texts it has seen.
-HELD = 600_000
-#: Documents that are told at once.
-DOCUMENTS = 256
+HELD = 300_000
+#: Bytes of documents that are told at once.
+TOLD = 1_000_000
 CUTS = " \n\t"
 _CUT = re.compile(rf"(?<=\S)(?=[{CUTS}])")
 #: White space that the plain way of splitting can't take: other than one space or line break between other characters.
@@ -307,6 +307,7 @@ def _known(shared) -> Known:
     """One table for a worker, made when its first task wants it."""
     if shared.value[0] not in _KNOWN:
         _KNOWN.clear()
+        _tokenizers.cache_clear()  # the worker has done with them
         _KNOWN[shared.value[0]] = Known(*shared.value[1:])
     return _KNOWN[shared.value[0]]
 
@@ -347,8 +348,10 @@ def report(docs: DataFrame, files: tuple[str, str] | None = None, frequent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(shared)
         for whole in batches:
-            for start in range(0, whole.num_rows, DOCUMENTS):
-                b = whole.slice(start, DOCUMENTS)
+            size = np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0))
+            starts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // TOLD, prepend=-1)).tolist()
+            for start, stop in zip(starts, [*starts[1:], whole.num_rows]):
+                b = whole.slice(start, stop - start)
                 brought = b.column("others").flatten()
                 more = Known(brought.field("stretch"), _values(dict(zip(SUMS, map(brought.field, SUMS))), len(brought)), brought.field("groups"))
                 found, sizes = [], []
