@@ -224,7 +224,7 @@ def _grouped(ids: pa.ListArray, stops: pa.ListArray, numbers: pa.Array) -> tuple
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and where it is."""
     path = f"{shared_folder(df.sparkSession)}/alignment-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path), path
 
 
