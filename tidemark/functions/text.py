@@ -105,6 +105,12 @@ def age_label(seconds: Column) -> Column:
     )
 
 
+def hours_label(seconds: Column) -> Column:
+    """Whole hours below a day, else days; what lies ahead counts below zero."""
+    whole = lambda unit: F.floor(seconds / unit).cast("string")
+    return F.when(seconds < 86400, F.concat(whole(3600), F.lit("小时前"))).otherwise(F.concat(whole(86400), F.lit("天前")))
+
+
 def strip_thoughts(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
