@@ -80,6 +80,30 @@ def test_common_terms_are_passed_over():
     assert share[1] < share[0] and share[1] < 0.9, share
 
 
+def test_many_questions_are_a_product(spark):
+    """Common terms of many questions are multiplied, not met one by one, with the results of the exhaustive sum."""
+    rng = np.random.default_rng(8)
+    rows = documents(rng, 1200)
+    docs = spark.createDataFrame(rows + [(i + 5000, t) for i, t in rows[:1200:40]], "id long, t string").repartition(2)
+    asked = spark.createDataFrame([(i, w) for i, t in rows[:1200:10] for w in set(t.split())], "query_id long, term string")
+    got = {}
+    for r in questions.bm25_batch(docs, "id", "t", asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == exhaustive(spark, docs, asked, 5) and len(got) == 120
+    held = rng.random((3000, 200)) < np.where(np.arange(200) < 120, 0.4, 0.02)
+    question, term = np.nonzero(held[:100])
+    order = np.lexsort((question, term))
+    idf, length = np.log(3000 / (held.sum(axis=0) + 1.0)), held.sum(axis=1)
+    search = questions.Search(question[order], term[order], idf, idf * 2.2, 100, 5, length.mean(), held.mean(axis=0))
+    for a in range(0, 3000, questions.ROWS):
+        row, at = np.nonzero(held[a : a + questions.ROWS])
+        search.show(np.arange(a, min(3000, a + questions.ROWS)), row, at, np.ones(len(row)), length[a : a + questions.ROWS])
+    assert search.met < 0.1 * held[:100].sum(axis=0) @ held.sum(axis=0)
+    weight = held * idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / length.mean()))[:, None]
+    for j, s in enumerate((weight @ held[:100].T).T):
+        assert search.best[j][1].tolist() == sorted(range(3000), key=lambda i: (-round(s[i], 6), i))[:5]
+
+
 # tags
 
 
