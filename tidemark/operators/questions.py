@@ -99,8 +99,8 @@ class Search:
             self.place = np.full(len(idf), -1)
             self.place[some] = np.arange(len(some))
             common = self.place[term] >= 0
-            self.holds = np.zeros((len(some), n_questions), dtype=np.float32)
-            self.holds[self.place[term[common]], question[common]] = 1
+            self.holds = np.zeros((n_questions, len(some)), dtype=np.float32)
+            self.holds[question[common], self.place[term[common]]] = 1
             self.rest = np.flatnonzero(~common)
             self.many, self.start, self.asked = self._index(self.rest)
 
@@ -165,15 +165,16 @@ class Search:
 
     def _by_product(self, row: np.ndarray, at: np.ndarray, gain: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         common = self.place[at] >= 0
-        weight = np.zeros((n_rows, len(self.holds)))
+        n_common = self.holds.shape[1]
+        weight = np.zeros((n_rows, n_common))
         weight[row[common], self.place[at[common]]] = gain[common]
         left = ~common & (self.many[at] > 0)
         source, cell = self._cells((self.many, self.start, self.asked), row[left], at[left])
         others = np.bincount(cell, gain[left][source], minlength=n_rows * self.n).reshape(n_rows, self.n)
-        rough = weight.astype(np.float32) @ self.holds
+        rough = weight.astype(np.float32) @ self.holds.T
         rough += others  # rounded to single precision
         # all gains are positive, so a sum is off by a share of itself at most for each of its operations
-        off = 1 - (len(self.holds) + 4) * SINGLE
+        off = 1 - (n_common + 4) * SINGLE
         least = self.threshold * off - MARGIN
         if n_rows > self.k:  # what is behind the k-th best of these rows alone is no candidate either
             open_ = np.flatnonzero((rough >= least.astype(np.float32)).sum(axis=0) > self.k)
@@ -181,10 +182,9 @@ class Search:
             least[open_] = np.maximum(least[open_], part * off**2 - MARGIN)
         rows, asked = np.nonzero((rough >= least.astype(np.float32)) & (rough > 0))
         score = others[rows, asked]
-        step = max(1, 4_000_000 // max(1, len(self.holds)))
-        by_question = self.holds.T
+        step = max(1, 1_000_000 // max(1, n_common))
         for a in range(0, len(rows), step):
-            score[a : a + step] += np.einsum("ij,ij->i", weight[rows[a : a + step]], by_question[asked[a : a + step]])
+            score[a : a + step] += np.einsum("ij,ij->i", weight[rows[a : a + step]], self.holds[asked[a : a + step]])
         return rows, asked, score
 
 
