@@ -177,6 +177,18 @@ def test_a_large_cell_is_many_files(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 600 and len(sizes) > 2 and max(sizes) < 400
 
 
+def test_needles_together_find_what_each_does(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab aba"[i % 4 :] + " needle ÉÉÉ" * (i % 3), ["Red tag", None][i % 2 :]) for i in range(60)] + [(None, "ab", None), (9000, None, None)], "id long, t string, tags array<string>")
+    fields, path = {"t": F.col("t"), "tags": F.col("tags")}, str(tmp_path / "x")
+    indexes.write_trigrams(df, "id", fields, path, per_bucket=500)
+    df = df.filter("id IS NOT NULL")
+    needles = ["ab", "BAB", "red t", "needle", "none of these", "ééé", "a"]
+    want = sorted((n, r.id) for n in needles for r in indexes.search_trigrams(df, "id", fields, path, n).collect())
+    assert sorted((r.needle, r.id) for r in indexes.search_needles(df, "id", fields, path, needles).collect()) == want
+    once = indexes.search_needles(df, "id", fields, path, needles[1:3])
+    assert sorted(tuple(r) for r in once.collect()) == [(n, i) for n, i in want if n in needles[1:3]]
+
+
 def test_trigrams(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, "".join(rng.choice("abAB é\n") for _ in range(rng.randint(0, 40))), [rng.choice(["Red tag", "blue", "", None]) for _ in range(rng.randint(0, 3))]) for i in range(300)]

@@ -24,8 +24,8 @@ from tidemark.operators.tags import _matrix, _unit
 
 #: Rows of the sample a cell, and its most; rounds of k-means; rows of a file; questions that travel together; cells that an exact search looks into first.
 SAMPLE, MOST_SAMPLE, ROUNDS, FILE, QUESTIONS, FIRST = 64, 262_144, 12, 100_000, 4096, 8
-#: Row numbers of a list of a trigram.
-LIST = 4096
+#: Row numbers of a list of a trigram; pairs of row and trigram that a task keeps at a time.
+LIST, HELD = 4096, 1_000_000
 
 
 # vectors
@@ -139,24 +139,66 @@ def _ranked(found: DataFrame, key: str, k: int) -> DataFrame:
 # texts
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of three characters of the lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
-
-
-def write_trigrams(docs: DataFrame, key: str, fields: dict[str, Column], path: str, per_bucket: int = 2_000_000) -> int:
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """Distinct runs of three characters, as numbers, in order; ``codes``: code points, 21 bits each."""
+    c = codes.astype(np.int64)
+    return np.unique(c[:-2] | c[1:-1] << 21 | c[2:] << 42)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, block, places (key less the block's first): lists of the rows at hand; at most ``HELD`` pairs of them are kept at a time."""
+    firsts: list[int] = []
+    keys: list[np.ndarray] = []
+    grams: list[np.ndarray] = []
+
+    def told() -> pa.RecordBatch:
+        by_key = sorted(range(len(keys)), key=firsts.__getitem__)
+        key, gram = np.concatenate([keys[i] for i in by_key]), np.concatenate([grams[i] for i in by_key])
+        order = np.argsort(gram, kind="stable")
+        key, gram = key[order], gram[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]))
+        key, gram = key[new], gram[new]
+        block = key // LIST
+        first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))
+        ends = pa.array(np.append(first, len(key)), pa.int32())
+        places = pa.ListArray.from_arrays(ends, pa.array(key - block * LIST, pa.int16()))
+        for held in (firsts, keys, grams):
+            held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(block[first]), places], names=["gram", "block", "places"])
+
+    n = 0
+    for b in batches:
+        for key, text in zip(b.column("key").to_numpy(), b.column("v")):
+            own = _grams(_codes(text.as_py()))
+            firsts.append(int(key))
+            keys.append(np.full(len(own), key))
+            grams.append(own)
+            n += len(own)
+            if n > HELD:
+                yield told()
+                n = 0
+    if n:
+        yield told()
+
+
+def write_trigrams(docs: DataFrame, key: str, fields: dict[str, Column], path: str, per_bucket: int = 16_000_000) -> int:
     """Lists of keys by field and trigram, in as many buckets as the rows need; returns how many. ``fields``: texts or arrays of texts.
 
-    Keys are numbers. A trigram that most rows hold has a list for each ``LIST`` numbers, so none is long and no task has all.
+    Keys are numbers. A task writes the lists of its rows, for each ``LIST`` numbers apart, so none is long and no task has all of
+    a trigram that most rows hold.
     """
     found = None
     for name, value in fields.items():
         kind = docs.select(value.alias("v")).schema["v"].dataType.typeName()
-        each = docs.select(F.col(key).cast("long").alias("key"), (F.explode(value) if kind == "array" else value).alias("v")).filter("key IS NOT NULL")
-        rows = each.select(F.lit(name).alias("field"), "key", F.explode(_grams(F.col("v"))).alias("gram"))
+        each = docs.select(F.col(key).cast("long").alias("key"), (F.explode(value) if kind == "array" else value).alias("v")).filter("key IS NOT NULL AND length(v) > 2")
+        rows = each.select("key", F.lower("v").alias("v")).mapInArrow(_lists, "gram long, block long, places array<short>").withColumn("field", F.lit(name))
         found = rows if found is None else found.unionByName(rows)
-    lists = cut(found.groupBy("field", "gram", F.floor(F.col("key") / LIST).alias("block")).agg(F.sort_array(F.collect_set("key")).alias("keys")))
-    buckets = max(1, -(-(lists.agg(F.sum(F.size("keys"))).first()[0] or 0) // per_bucket))
+    lists = cut(found)
+    buckets = max(1, -(-(lists.agg(F.sum(F.size("places"))).first()[0] or 0) // per_bucket))
     placed = lists.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
     placed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(16))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/lists")
     placed.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/size")
@@ -165,23 +207,41 @@ def write_trigrams(docs: DataFrame, key: str, fields: dict[str, Column], path: s
 
 def candidates(spark: SparkSession, path: str, needle: str, fields: list[str]) -> DataFrame | None:
     """Keys whose field holds all trigrams of the needle; None if it has none."""
-    grams = [r.gram for r in spark.range(1).select(F.explode(_grams(F.lit(needle))).alias("gram")).collect()]
+    grams = _grams(_codes(spark.range(1).select(F.lower(F.lit(needle))).first()[0])).tolist()
     if not grams:
         return None
     (buckets,) = spark.read.parquet(f"{path}/size").first()
     held = F.pmod(F.xxhash64("gram"), F.lit(buckets))
-    places = {r.b for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(held.cast("int").alias("b")).collect()}
+    places = {r.b for r in spark.createDataFrame([(g,) for g in grams], "gram long").select(held.cast("int").alias("b")).collect()}
     lists = spark.read.parquet(f"{path}/lists").filter(F.col("bucket").isin(*sorted(places)) & F.col("gram").isin(*grams) & F.col("field").isin(*fields))
-    # the lists of a field and block meet, and keys are in all of them or go
-    met = lists.groupBy("field", "block").agg(F.count(F.lit(1)).alias("n"), F.collect_list("keys").alias("lists")).filter(F.col("n") == len(grams))
+    # the lists of a field and block meet, and places are in all of them or go
+    own = lists.groupBy("field", "block", "gram").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    met = own.groupBy("field", "block").agg(F.count(F.lit(1)).alias("n"), F.collect_list("places").alias("lists")).filter(F.col("n") == len(grams))
     both = F.aggregate(F.slice("lists", 2, len(grams)), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
-    return met.select(F.explode(both).alias("key")).distinct()
+    return met.select(F.explode(both).alias("place"), "block").select((F.col("block") * LIST + F.col("place")).alias("key")).distinct()
 
 
 def search_trigrams(docs: DataFrame, key: str, fields: dict[str, Column], path: str, needle: str) -> DataFrame:
     """Rows of ``docs`` of which any of the fields holds the needle, in either case. A needle of under three characters reads all rows."""
     found = candidates(docs.sparkSession, path, needle, list(fields))
     rows = docs if found is None else docs.join(found.withColumnRenamed("key", key), key, "left_semi")
+    return rows.filter(_holds(docs, fields, needle))
+
+
+def search_needles(docs: DataFrame, key: str, fields: dict[str, Column], path: str, needles: list[str]) -> DataFrame:
+    """needle, key: what ``search_trigrams`` finds for each of the needles, by one pass over ``docs`` for all of them."""
+    found = [candidates(docs.sparkSession, path, n, list(fields)) for n in needles]
+    some = [f.select(F.col("key").alias("_key"), F.lit(i).alias("_i")) for i, f in enumerate(found) if f is not None]
+    rows = docs.withColumn("_asked", F.lit(None).cast("array<int>"))
+    if some:
+        asked = reduce(DataFrame.unionByName, some).groupBy("_key").agg(F.collect_set("_i").alias("_asked"))
+        rows = docs.join(asked, F.col(key) == F.col("_key"), "inner" if len(some) == len(needles) else "left")
+    could = lambda i: F.lit(True) if found[i] is None else F.coalesce(F.array_contains("_asked", i), F.lit(False))
+    hits = F.array(*(F.when(could(i) & _holds(docs, fields, n), F.lit(n)) for i, n in enumerate(needles)))
+    return rows.select(F.explode(F.array_compact(hits)).alias("needle"), key)
+
+
+def _holds(docs: DataFrame, fields: dict[str, Column], needle: str) -> Column:
     holds = lambda v: F.contains(F.lower(v), F.lower(F.lit(needle)))
     tests = [F.exists(v, holds) if docs.select(v.alias("v")).schema["v"].dataType.typeName() == "array" else holds(v) for v in fields.values()]
-    return rows.filter(reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests)))
+    return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests))

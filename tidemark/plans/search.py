@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -153,5 +152,4 @@ def substring_indexed(spark, sf_dir):
     rows, path = memories(spark, sf_dir), f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
     fields = {"text": F.col("text"), "tags": F.array("lang", "status"), "participants": F.array("group_id")}
     I.write_trigrams(rows, "event_id", fields, path)
-    parts = [I.search_trigrams(rows, "event_id", fields, path, needle).select(F.lit(needle).alias("needle"), "event_id") for needle in _NEEDLES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return I.search_needles(rows, "event_id", fields, path, list(_NEEDLES))
