@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import indexes, questions, retrieval, social, tags, windows
+from tidemark.sources import tables
 
 
 def documents(rng, n, common=40, rare=400):
@@ -249,6 +250,38 @@ def test_one_large_event_is_the_work_of_many_tasks(spark):
     assert sum(shares) == 5000 * 4999 // 2 + 1 and max(shares) < 0.35 * sum(shares)
 
 
+def test_small_events_are_dealt_by_their_pairs(spark):
+    """Few members make many pairs: tasks go by the pairs, and are not joined again because they read little."""
+    members = spark.range(4000).selectExpr("id % 400 AS event_id", "id AS uid").unionByName(spark.range(500).selectExpr("CAST(NULL AS LONG) AS event_id", "id AS uid"))
+    shares = [r["count"] for r in social.pairs(members, per_task=1000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 400 * 10 * 9 and len(shares) > 30 and max(shares) < 4000
+
+
+@pytest.mark.parametrize("directed", [True, False])
+@pytest.mark.parametrize("size", [60, 1000, 10**9])
+def test_newest_shared_events(spark, directed, size):
+    """Pairs that the newest events fill, pairs that they don't, and pairs that met long ago only."""
+    rng = random.Random(5)
+    rows = list({(e, int(12 * rng.random() ** 2)) for e in range(200) for _ in range(6)} | {(e, 20 + e % 3) for e in range(9)} | {(e, 30) for e in range(9)}) + [(None, 1), (None, 2), (3, None)]
+    met = {}
+    for e in range(200):
+        for a, b in combinations(sorted(u for x, u in rows if x == e and u is not None), 2):
+            for pair in ((a, b), (b, a)) if directed else ((a, b),):
+                met.setdefault(pair, []).append(e)
+    want = Counter((e, *pair) for pair, es in met.items() for e in sorted(es)[-5:])
+    assert Counter(map(tuple, social.newest_shared(spark.createDataFrame(rows, "event_id long, uid long"), 5, directed, size).collect())) == want
+    assert social.newest_shared(spark.createDataFrame([], "event_id long, uid long"), 5, directed, size).count() == 0
+
+
+def test_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """What is joined for impressions is dealt to tasks of bounded size, whatever the session's partitions."""
+    want = sorted(map(tuple, tables.impressions(spark, sf_dir).collect()))
+    monkeypatch.setattr(tables, "ROWS", 500)
+    line = tables.table(spark, sf_dir, "lineitem")
+    assert tables.dealt(line, "l_orderkey").rdd.getNumPartitions() == -(-line.count() // 500)
+    assert sorted(map(tuple, tables.impressions(spark, sf_dir).collect())) == want
+
+
 def test_noise_in_linear_time(spark):
     noisy = lambda s: spark.createDataFrame([(s,)], "s string").select(text.is_noise(F.col("s")).alias("x")).first().x
     assert noisy("aaaaaab") and not noisy("aaaabbb") and noisy("😀" * 9 + "a") and not noisy("aaaaa") and noisy("aa") and noisy(None)

@@ -11,7 +11,7 @@ from tidemark.operators import social as O
 from tidemark.operators import windows
 from tidemark.plans.registry import query
 from tidemark.plans.social import _LABELS, _OCTANT, _PROJECTED, _projected
-from tidemark.sources.tables import IMPRESSIONS, impressions, table
+from tidemark.sources.tables import IMPRESSIONS, dealt, impressions, table
 
 ALPHA, DEBOUNCE, THRESHOLD, EVIDENCE = 0.4, 1000, 3, 100
 
@@ -23,7 +23,7 @@ scopes AS (SELECT l_orderkey AS event_id, min(l_returnflag) AS scope FROM lineit
 def said(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), (F.col("l_suppkey") % 40).alias("uid"), "l_returnflag")
     scopes = line.groupBy("event_id").agg(F.min("l_returnflag").alias("scope"))
-    return line.groupBy("event_id", "uid").agg(F.count(F.lit(1)).alias("n")), scopes
+    return dealt(line.select("event_id", "uid"), "event_id", "uid").groupBy("event_id", "uid").agg(F.count(F.lit(1)).alias("n")), scopes
 
 
 def _shared(spark, sf_dir):
@@ -138,7 +138,7 @@ SELECT observer, subject, scope, orientation, round(intensity, 6)::DOUBLE AS int
 def impression_recalc(spark, sf_dir):
     """Derived fields from benevolence and power anew, confidence from the fit, evidence from the newest hundred shared events."""
     rows, _ = said(spark, sf_dir)
-    newest = windows.latest_per_group(O.pairs(rows.select("event_id", "uid")), ["observer", "subject"], [F.col("event_id").desc()], EVIDENCE)
+    newest = O.newest_shared(rows.select("event_id", "uid"), EVIDENCE)
     pairs = newest.groupBy("observer", "subject").agg(F.count(F.lit(1)).alias("evidence"), F.min("event_id").alias("oldest"), F.max("event_id").alias("newest"))
     return _projected(spark, sf_dir).join(pairs, ["observer", "subject"], "left").select(
         "observer", "subject", "scope", "orientation", F.round("intensity", 6).alias("intensity"), F.round("fit", 6).alias("confidence"),

@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that meet in a task.
+ROWS = 250_000
+
+
+def dealt(rows: DataFrame, *keys: str, others: tuple[DataFrame, ...] = ()) -> DataFrame | list[DataFrame]:
+    """``rows`` by ``keys``, in as many tasks as their number needs, so a task's memory doesn't grow with the table; ``others`` likewise, to be joined."""
+    tasks = max(1, -(-rows.count() // ROWS))
+    found = [x.repartition(tasks, *keys) for x in (rows, *others)]
+    return found if others else found[0]
+
+
 def memories(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
     """Documents as memories: one hour per id, salience from the length, archived if toxic, a third without a parent, others after one of the five ids before."""
     labels = table(spark, sf_dir, "labels")
@@ -60,6 +71,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    line, orders = dealt(line, "l_orderkey", others=(orders,))
     per_pair = (
         line.join(orders, "l_orderkey")
         .groupBy((F.col("o_custkey") % 40).alias("observer"), (F.col("l_suppkey") % 40).alias("subject"), F.col("l_returnflag").alias("scope"))
