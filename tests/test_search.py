@@ -274,9 +274,10 @@ def test_newest_shared_events(spark, directed, size):
 
 
 def test_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
-    """What is joined for impressions is dealt to tasks of bounded size, whatever the session's partitions."""
+    """Distinct members and what is joined for impressions are made in tasks of bounded size, whatever the session's partitions."""
     want = sorted(map(tuple, tables.impressions(spark, sf_dir).collect()))
     monkeypatch.setattr(tables, "ROWS", 500)
+    assert tables.members(spark, sf_dir).rdd.getNumPartitions() == -(-tables.table(spark, sf_dir, "lineitem").count() // 500)
     line = tables.table(spark, sf_dir, "lineitem")
     assert tables.dealt(line, "l_orderkey").rdd.getNumPartitions() == -(-line.count() // 500)
     assert sorted(map(tuple, tables.impressions(spark, sf_dir).collect())) == want

@@ -107,9 +107,7 @@ def pair_cooccurrence(spark, sf_dir):
 )
 def evidence_intersection(spark, sf_dir):
     """The newest hundred shared events of every pair."""
-    met = O.pairs(members(spark, sf_dir), directed=False)
-    n = F.row_number().over(W.partitionBy("observer", "subject").orderBy(F.col("event_id").desc()))
-    newest = met.withColumn("n", n).filter("n <= 100").groupBy("observer", "subject").agg(F.sort_array(F.collect_list("event_id"), asc=False).alias("e"))
+    newest = O.newest_shared(members(spark, sf_dir), 100, directed=False).groupBy("observer", "subject").agg(F.sort_array(F.collect_list("event_id"), asc=False).alias("e"))
     return newest.select("observer", "subject", F.size("e").cast("long").alias("shared"), F.array_join(F.col("e").cast("array<string>"), ",").alias("evidence"))
 
 

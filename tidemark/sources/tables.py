@@ -58,7 +58,8 @@ MEMORIES = """memories AS (
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who took part in what: suppliers of an order."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("uid")).distinct()
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("uid"))
+    return dealt(line, "event_id", "uid").distinct()
 
 
 MEMBERS = "members AS (SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS uid FROM lineitem)"
