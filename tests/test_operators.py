@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -345,6 +346,27 @@ def test_written_postings(spark, tmp_path):
     assert "PushedFilters" in plan and "In(term" in plan
 
 
+def test_postings_are_counted_where_rows_stand(spark, tmp_path, monkeypatch):
+    """Words don't travel: no exchange below the postings; the written ones are those of the rows, sorted; rows of one key and length are one document."""
+    monkeypatch.setattr(retrieval, "LIST_WORDS", 50)
+    rows = [(f"k{i}", " ".join(f"w{i * j % 17}" for j in range(i % 30))) for i in range(90)] + [("d", "w1 w2 w1"), ("d", "w1 w3 w4"), ("n", None), ("n", ""), (None, "w1")]
+    docs = spark.createDataFrame(rows, "id string, t string").repartition(3)
+    want = Counter((w, k, len(t.split()), t.split().count(w)) for k, t in rows if t for w in set(t.split()))
+    held = retrieval.postings(docs, "id", "t")
+    assert held.columns == ["term", "id", "len", "tf"] and Counter(map(tuple, held.collect())) == want
+    assert retrieval.postings(spark.createDataFrame(rows, "id string, t string"), "id", "t")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    path = str(tmp_path / "x")
+    retrieval.write_postings(docs, "id", "t", path, buckets=2)
+    assert Counter((r.term, r.id, r.len, r.tf) for r in spark.read.parquet(f"{path}/postings").collect()) == want
+    both = {r.id: r.matched for r in retrieval.search_postings(spark, path, "id", ["w1", "w2"]).collect()}
+    assert both["d"] == 2 and both[None] == 1
+    merged = spark.createDataFrame([("d", "a a b"), ("d", "a c e"), ("x", "b b b"), ("y", "c"), ("z", "q"), ("v", "q")], "id string, t string")
+    retrieval.write_postings(merged, "id", "t", f"{path}2")
+    found = {r.id: r.score for r in retrieval.search_postings(spark, f"{path}2", "id", ["a"]).collect()}
+    average = (3 + 3 + 3 + 1 + 1 + 1) / 6
+    assert found == {"d": pytest.approx(math.log(5.5 / 1.5) * 3 * 2.2 / (3 + 1.2 * (0.25 + 0.75 * 3 / average)))}
+
+
 def test_moods_of_any_shape(spark):
     people = F.array(F.struct(F.lit("u1").alias("uid"), F.lit("Ann").alias("name")), F.struct(F.lit("u2").alias("uid"), F.lit(None).cast("string").alias("name")))
     told = lambda answer: one(spark, text.mood_text(F.lit(answer), people))

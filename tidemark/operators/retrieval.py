@@ -170,8 +170,8 @@ def choose(rows: DataFrame, score: str, key: str, limit: int, temperature: float
 
 # many questions at once
 
-#: Files of a bucket of postings at most.
-FILES = 8
+#: Files of a bucket of postings at most; words that a task turns into lists at a time.
+FILES, LIST_WORDS = 8, 1_000_000
 #: Query vectors that travel to the tasks together, and the numbers that a task compares at a time.
 QUERY_BLOCK, MATRIX = 4096, 4_000_000
 
@@ -180,25 +180,57 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _term_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, keys, lens, tfs: which of some rows hold a term, how long they are, and how often it stands there. Rows are counted where they stand."""
+    import numpy as np
+    import pyarrow as pa
+
+    def told(keys: pa.Array, words: pa.Array, length: np.ndarray) -> pa.RecordBatch:
+        flat, n = words.flatten().dictionary_encode(), len(keys)
+        pair = flat.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length)
+        pair, tf = np.unique(pair, return_counts=True)
+        term, row = pair // n, pair % n
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+        ends = pa.array(np.append(first, len(term)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (keys.take(pa.array(row)), pa.array(length[row], pa.int32()), pa.array(tf, pa.int32()))]
+        return pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(term[first])), *lists], names=["term", "keys", "lens", "tfs"])
+
+    def run(batches):
+        for b in batches:
+            length = np.asarray(b.column("w").value_lengths().fill_null(0))
+            part = np.cumsum(length, dtype=np.int64) // LIST_WORDS
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                if length[at:end].any():
+                    yield told(b.column("key").slice(at, end - at), b.column("w").slice(at, end - at), length[at:end])
+
+    words = docs.select(F.col(key).alias("key"), word_list(F.col(text)).alias("w"))
+    return words.mapInArrow(run, f"term string, keys array<{words.schema['key'].dataType.simpleString()}>, lens array<int>, tfs array<int>")
+
+
+def _told(lists: DataFrame, key: str, *more: str) -> DataFrame:
+    rows = lists.select("term", *more, F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("lens").alias("len"), F.col("tfs").alias("tf"))))
+    return rows.select("term", F.col("key").alias(key), "len", F.col("tf").cast("long").alias("tf"), *more)
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf, len: an index to be written once, by term, and read by the terms of the questions."""
-    words = docs.select(key, word_list(F.col(text)).alias("w"))
-    rows = words.select(key, F.size("w").alias("len"), F.explode("w").alias("term"))
-    return rows.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
+    """term, key, len, tf of each row of ``docs``: an index to be written once, by term, and read by the terms of the questions."""
+    return _told(_term_lists(docs, key, text), key)
 
 
 def write_postings(docs: DataFrame, key: str, text: str, path: str, buckets: int | None = None, per_bucket: int = 4_000_000) -> None:
     """The index as files by bucket of terms: a question reads the buckets of its terms, and of those the row groups that hold them.
 
     There are as many buckets as the words need; a bucket is several files, so the postings of a frequent term are not one task's.
+    Only lists of terms travel, once, to as many tasks as there are files, so that their rows are sorted in memory.
     """
     sizes = docs.select(word_list(F.col(text)).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("average"))
     n, average = sizes.first()
     buckets = buckets or max(1, math.ceil(n * (average or 0) / per_bucket))
     docs.sparkSession.createDataFrame([(n, average, buckets)], sizes.withColumn("buckets", F.lit(buckets)).schema).coalesce(1).write.parquet(f"{path}/sizes")
-    rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(FILES)))
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lists = _term_lists(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    dealt = lists.repartition(buckets * FILES, "bucket", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(FILES)))
+    _told(dealt, key, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def search_postings(spark, path: str, key: str, terms: list[str]) -> DataFrame:
@@ -208,6 +240,7 @@ def search_postings(spark, path: str, key: str, terms: list[str]) -> DataFrame:
     held = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     places = sorted({r.b for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(held.alias("b")).collect()})
     found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*places) & F.col("term").isin(*wanted))
+    found = found.groupBy("term", key, "len").agg(F.sum("tf").alias("tf"))  # rows of one key and length are one document
     df = {r.term: r.n for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per term of the question
     idf = reduce(lambda c, t: c.when(F.col("term") == t, max(1e-6, math.log((n - df[t] + 0.5) / (df[t] + 0.5)))), sorted(df), F) if df else F.lit(0.0)
     return found.groupBy(key).agg(F.sum(_weight(idf, average)).alias("score"), F.count(F.lit(1)).alias("matched"))
